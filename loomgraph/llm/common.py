@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.functions.shipping import ship
 
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/loomgraph-checkpoints"
@@ -46,20 +47,17 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with one function from a batch to a batch."""
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with this package on the workers and wrapping integer arithmetic."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
-                out = f(batch)
-                if out is not None and out.num_rows:
-                    yield out
+            yield from f(batches)
 
     return df.mapInArrow(run, schema)
 
 
-def salted_key(*cols: str | Column) -> Column:
-    """128 bits of a text or row as two longs, packed in one string-free struct."""
-    named = [F.col(c) if isinstance(c, str) else c for c in cols]
-    return F.struct(F.xxhash64(*named).alias("a"), F.xxhash64(F.lit(0x5BD1E995), *named).alias("b"))
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+    """map_arrow with one function from a batch to a batch."""
+    return map_arrow(df, lambda batches: (out for batch in batches if (out := f(batch)).num_rows), schema)
