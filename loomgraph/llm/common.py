@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship
 
@@ -61,3 +62,9 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """map_arrow with one function from a batch to a batch."""
     return map_arrow(df, lambda batches: (out for batch in batches if (out := f(batch)).num_rows), schema)
+
+
+def repeated(documents: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether any id and text come in more than one row."""
+    keys = documents.groupBy(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body")).agg(F.count("*").alias("n"))
+    return keys.where("n > 1").limit(1).count() > 0
