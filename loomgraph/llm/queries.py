@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, jaccard, mixing, quality, sharding
+from loomgraph.llm import chat, decontaminate, jaccard, mixing, quality, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,25 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The conversation that op4 adds to the table: a text full of control strings.
+EXTRA_CONVERSATION = -7
+EXTRA_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted string."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(EXTRA_CONVERSATION).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
+    records = chat.canonical(rows.unionByName(extra), F.to_variant_object(F.struct("role", "text"))).select("conv_id", "turn", F.posexplode("turns"))
+    turns = records.select("conv_id", "turn", "pos", "col.role", "col.text")
+    out = chat.format_turns(turns, order=("turn", "pos"))
+    back, masked = chat.read_back(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss"))
+    whole = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size(back).cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(masked).cast("bigint").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars")
+    )
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,15 +53,40 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The rules of op8 (fixed values of its contract).
+URL_RULES = [
+    urls.Rule("com", "/", "allow"),
+    urls.Rule("example.com", "/en/", "block"),
+    urls.Rule("www.example.com", "/en/", "allow"),
+    urls.Rule("net", "/es/", "block"),
+    urls.Rule("net", "/fr/", "block"),
+]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_sharding, op6_ngram_jaccard_join, op7_source_mixing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_sharding, op4_chat_formatting, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op10_benchmark_decontamination)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_T = chat.Template()
+
+
+def _escaped(column: str) -> str:
+    """The template's escaping in SQL."""
+    out = f"replace({column}, '{chat.ESCAPE}', '{chat.ESCAPE}0')"
+    for string, code in _T.controls:
+        out = f"replace({out}, '{string}', '{code}')"
+    return out
+
 
 SQL = {
     "op1_quality_rules": rf"""
@@ -64,6 +108,26 @@ s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lam
 SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > 50 * n_words AS kept, removed_words FROM s
+""",
+    "op4_chat_formatting": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {EXTRA_CONVERSATION}, 0, 'user', '{EXTRA_TEXT}' UNION ALL SELECT {EXTRA_CONVERSATION}, 1, 'assistant', '{EXTRA_TEXT}'),
+e AS (SELECT *, {_escaped("role")} AS er, {_escaped("text")} AS et FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(er) + length(et) + {sum(map(len, (_T.start, _T.middle, _T.end)))})::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op8_url_filters": rf"""
+WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+u AS (SELECT page_id, {_LOWER.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)}),
+fit AS (SELECT page_id, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r_host) DESC, length(r_path) DESC) AS n
+  FROM u JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+SELECT u.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM u LEFT JOIN fit ON u.page_id = fit.page_id AND n = 1
 """,
     "op10_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents WHERE text IS NOT NULL),
