@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, jaccard, mixing, quality, sharding, urls
+from loomgraph.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding, token_counts, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own or inherited licence of every document.
+
+    The table has no paths, so documents stand as files in a folder of their
+    source, language and thousand of ids; every tenth is called LICENSE-<id>.
+    """
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000").cast("string"), name)
+    return licenses.scan(table(spark, sf_dir, "documents"), id_col="doc_id", path=path)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law of row counts at most one apart."""
     placed = sharding.place(table(spark, sf_dir, "documents"))
@@ -43,6 +54,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths, with its sums for every limit."""
+    return token_counts.histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,7 +89,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_sharding, op4_chat_formatting, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op10_benchmark_decontamination)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
