@@ -4,17 +4,17 @@ A document's set holds its distinct k-word shingles.  Sets are ordered rare
 shingles first.  Two sets of sizes x and y whose Jaccard similarity reaches t
 share at least o = ceil(t/(1+t)*(x+y)) shingles, so the first l shared ones lie
 among the first x-o+l of the one and y-o+l of the other.  Each document picks
-its own l out of MATCHES from an estimate of what its prefix will cost: reading
-the postings of the longer prefix against verifying those that share l of it
-(at most postings / l).  A pair is a candidate when it shares min(l, l') of
+its own l out of MATCHES from an estimate of what its prefix will cost: index rows and
+postings of the longer prefix against candidates, which are fewer for more
+matches where rare shingles meet by chance, but not where frequent ones come
+together in a family of near copies.  A pair is a candidate when it shares min(l, l') of
 these prefix shingles, and is then verified on whole sets.
 
 Work that grows with the square of a group is avoided without losing a link:
 
 1. Documents with equal sets collapse to one class.
-2. In each posting list every class is first paired with one hub only (the
-   least key, so near copies mostly meet the same hub); verified links are
-   joined to components.
+2. In long posting lists classes are first paired with a few hubs of the list
+   only, in rounds with other hubs each; verified links join components.
 3. Only then are all remaining pairs of a list taken, and of these just the
    pairs between different components: any other pair is connected already.
    Long lists are cut into blocks of bounded size that join block by block.
@@ -47,12 +47,19 @@ from loomgraph.llm.components import components
 
 #: Numbers of shared prefix shingles to choose from.
 MATCHES = (1, 2, 4, 8, 16)
+#: What one more index row costs, and how likely a shingle of unknown frequency is in another document,
+#: both against comparing one shingle of a candidate.
+ROW_COST, CHANCE = 20.0, 0.2
 #: Shingles of one run of documents, and how often a run must see one to report it.
 RUN, LOCAL = 1 << 21, 4
 #: Bound of the broadcast frequency table (16 bytes each).
 MAX_RANKED = 200_000
 #: Rows of a posting list in one block.
 BLOCK = 1024
+#: Lists from this size on meet hubs first: how many in a round, how many of them a class tries, rounds at most.
+LONG, HUBS, TRIES, ROUNDS = 8, 8, 8, 4
+#: Up to so many candidate classes (24 bytes each) are broadcast to fetch their texts; beyond, they are joined by a shuffle.
+MAX_NEEDED = 400_000
 #: Keys that a task remembers to leave out copies early.
 SEEN = 1 << 16
 
@@ -132,18 +139,21 @@ class Order:
             seen[maybe] = np.where(self.hashes[at] == own[maybe], self.counts[at], 0)
         rare = own[seen == 0]
         if len(rare) >= longest:
-            ordered, cost = rare[:longest], np.arange(1, longest + 1, dtype=np.float64)
+            ordered = rare[:longest]
+            cost = most_seen = np.zeros(longest)
         else:
             often = np.flatnonzero(seen)
             often = often[np.lexsort((own[often], seen[often]))]
             ordered = np.concatenate([rare, own[often]])[:longest]
-            cost = np.cumsum(np.concatenate([np.ones(len(rare)), seen[often] + 1.0])[:longest])
+            counts = np.concatenate([np.zeros(len(rare)), seen[often]])[:longest]
+            cost, most_seen = np.cumsum(counts), np.maximum.accumulate(counts)
         best, least = 1, np.inf
         for l in MATCHES:
             if l > needed:
                 break
-            postings = cost[min(free + l, longest) - 1]
-            total = postings + n * postings / l
+            length = min(free + l, longest)
+            postings, most = cost[length - 1], most_seen[length - 1]
+            total = ROW_COST * length + postings + n * (CHANCE * length / l + most)
             if total < least:
                 best, least = l, total
         return ordered[: free + best], best
@@ -211,7 +221,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
     """The pairs of keys whose whole sets reach the threshold."""
     pairs = materialise(pairs)
     needed = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct().join(classes, "key").select("key", "id", "body")
-    texts = _texts(documents, id_col, text_col).alias("t").join(needed.alias("n").hint("shuffle_hash"), (F.col("t.body") == F.col("n.body")) & F.col("t.id").eqNullSafe(F.col("n.id"))).select("key", "text")
+    needed = materialise(needed)
+    needed = F.broadcast(needed) if needed.count() <= MAX_NEEDED else needed.hint("shuffle_hash")
+    texts = _texts(documents, id_col, text_col).alias("t").join(needed.alias("n"), (F.col("t.body") == F.col("n.body")) & F.col("t.id").eqNullSafe(F.col("n.id"))).select("key", "text")
     # A repeated row, or two rows with one id and text, would give the pair twice; links are made distinct later.
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -225,6 +237,34 @@ def _verify(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
     return map_batches(both, check, "a bigint, b bigint")
 
 
+def _labelled(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """Index rows with the component that is known of their key."""
+    rows = rows.select("token", "key", "info")
+    if stars is None:
+        return rows.withColumn("label", F.col("key"))
+    return rows.join(stars.select(F.col("a").alias("key"), F.col("b").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _worth_hubs(rows: DataFrame) -> bool:
+    """Whether the lists hold more pairs across components than a few for each row."""
+    parts = rows.groupBy("token", "label").agg(F.count("*").cast("double").alias("m"))
+    lists = parts.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"))
+    across, n = lists.agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.sum("m")).head()
+    return bool(n) and across > 2 * n
+
+
+def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each class with the hubs, out of its lists', that it shares most lists with, if they are not connected yet."""
+    token = Window.partitionBy("token")
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + h), "key").alias("z"), "key", "info", "label")).over(token) for h in range(HUBS)]
+    met = rows.withColumn("hubs", F.array(*hubs)).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
+    # Lists have different hubs, so a part of the matches asked for is enough here; a wrong guess costs one verification.
+    counted = met.groupBy("key", "a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).where(F.col("shared") * 4 >= F.col("l"))
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "a", "b"))
+    return counted.withColumn("best", best).where(F.col("best") <= TRIES).select("a", "b").distinct()
+
+
 def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(documents: id, body, key, n; components: key, component) where component is a key and keys without links are left out."""
     seen = materialise(_survey(documents, id_col, text_col, k))
@@ -235,24 +275,26 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     token = Window.partitionBy("token")
     index = _index(documents, id_col, text_col, k, order)
-    shared = index.withColumn("hub", F.min("key").over(token)).withColumn("last", F.max("key").over(token)).where("hub != last").drop("last")
-    hub_info = F.max(F.when(F.col("key") == F.col("hub"), F.col("info"))).over(token)
-    shared = materialise(shared.withColumn("hub_info", hub_info).distinct())
-
-    stars = shared.where((F.col("key") != F.col("hub")) & _fits(F.col("info"), F.col("hub_info"), percent))
-    stars = _candidates(stars.select(F.col("hub").alias("a"), F.col("key").alias("b"), F.least(_matches(F.col("info")), _matches(F.col("hub_info"))).alias("l")))
-    first = components(_verify(stars, classes, documents, id_col, text_col, k, percent))
-
-    labelled = shared.select("token", "key", "info").join(first.withColumnRenamed("a", "key").withColumnRenamed("b", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    labelled = materialise(labelled)
+    shared = index.withColumn("low", F.min("key").over(token)).withColumn("high", F.max("key").over(token)).where("low != high").select("token", "key", "info").distinct()
+    shared = materialise(shared.withColumn("size", F.count("*").over(token)))
+
+    verify = lambda pairs: _verify(pairs, classes, documents, id_col, text_col, k, percent)
+    stars = None
+    for turn in range(ROUNDS):
+        rows = _labelled(shared.where(F.col("size") >= LONG), stars)
+        if not _worth_hubs(rows):
+            break
+        links = verify(_hub_pairs(rows, turn, percent))
+        stars = components(links if stars is None else links.unionAll(stars))
+    labelled = materialise(_labelled(shared, stars))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_rows = labelled.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     left = open_rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("info").alias("x"), F.col("label").alias("p"))
     right = open_rows.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("info").alias("y"), F.col("label").alias("q"))
     pairs = left.join(right, ["token", "i", "j"]).where((F.col("p") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _fits(F.col("x"), F.col("y"), percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(_matches(F.col("x")), _matches(F.col("y"))).alias("l"))
-    rest = _verify(_candidates(pairs), classes, documents, id_col, text_col, k, percent)
-    final = components(rest.unionAll(first))
+    rest = verify(_candidates(pairs))
+    final = components(rest if stars is None else rest.unionAll(stars))
     return docs, final.select(F.col("a").alias("key"), F.col("b").alias("component"))
 
 
