@@ -9,13 +9,15 @@ last), then by a hash of the text; lines in the order of the text.
 1. Equal lines meet by a 128-bit hash; minima combine before the shuffle, so a
    line that every document has costs one row a task.
 2. One edit leaves the first or the last half of a line as it was.  Lines are
-   keyed by their halves, cut for their own length and for one more or less;
-   only lines that share such a key with another line go on.  This loses none.
+   keyed by their halves, cut for their own length and for one less; only lines
+   that share such a key with another line go on.  This loses none.
 3. These emit their deletion neighbourhood as hashed keys: the line, and the
-   line without each one of its code points.  All are made from two running
-   hashes, without building the strings.  Lines with an equal key meet.  In a
-   posting list all lines meet the earliest one, and others of the list only
-   across blocks of bounded size; see _meetings().
+   line without each one of its code points, with the place.  All are made from
+   two running hashes, without building the strings.  Lines that equal one
+   another but for one code point share a key and a place; where one lacks a
+   code point of the other, it is itself a key of the other.  Every line of a
+   key is compared with the earliest one only, never pair by pair: whatever
+   shares key and place is alike, so that one decides.
 4. Candidates fetch their texts and are verified by edit distance.
 
 Lines without a word are never dropped; lines shorter than `min_chars` code
@@ -34,11 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words
-from loomgraph.llm.common import map_batches, materialise
+from loomgraph.llm.common import map_batches, materialise, repeated
 
 U = words.U
-#: Rows of a posting list in one block.
-BLOCK = 512
+#: Up to so many lines (some 60 bytes each) are broadcast to fetch their texts; beyond, they are joined by a shuffle.
+MAX_NEEDED = 200_000
+#: Keys of a line: first and last part for its own length and for one less.
+KEYS = 4
 
 
 def _line_table(chunk: words.Chunk) -> tuple[np.ndarray, ...]:
@@ -78,53 +82,165 @@ class _Points:
         return words.mix(np.append(less, whole))
 
 
+def _half_keys(points: _Points, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """A line of n points meets lines of n - 1, n and n + 1; the lesser length m of a pair sets the cut.
+
+    For m both lines have their first m // 2 and last m - m // 2 points keyed,
+    and m is part of the key.  One edit lies outside one of the two parts: at or
+    after point m // 2 it leaves the first part as it was, before it the last.
+    """
+    n, out = last - first, []
+    for m in (n, np.maximum(n - 1, 0)):
+        cut = m // 2
+        salt = m.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+        out.append(words.mix(points.spans(first, first + cut, 11) + salt).view(np.int64))
+        out.append(words.mix(points.spans(last - (m - cut), last, 13) + salt).view(np.int64))
+    return out
+
+
 def _scan(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, line_no, hash (a, b), chars and half keys of every line with a word."""
-    slim = documents.select("row", F.col(text_col).alias("text"))
+    """Every line with a word: where it is, its hash (a, b), code points and half keys; a row with line_no -1 for a text without any."""
+    body = F.xxhash64(text_col)
+    slim = documents.select(F.col(id_col).alias("id"), body.alias("body"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    names = ["id", "body", "row", "line_no", "a", "b", "chars", *(f"k{i}" for i in range(KEYS))]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.column(0).to_numpy(zero_copy_only=False)
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        keys, cuts = [], [0]
-        for chunk in words.chunks(batch.column(1)):
+        which, columns = [], [[] for _ in range(4 + KEYS)]
+        for chunk in words.chunks(batch.column(3)):
             docs, number, starts, ends = _line_table(chunk)
             points = _Points(chunk)
             first, last = points.at(starts), points.at(ends)
-            n = last - first
-            halves = [points.spans(first, first + n // 2, 1) + n.astype(np.uint64) * U(0), points.spans(last - (n - n // 2), last, 2)]
-            del halves
-            out[0].append(rows[chunk.first + docs])
-            out[1].append(number)
-            out[2].append(chunk.byte_spans(starts, ends).view(np.int64))
-            out[3].append(points.spans(first, last, 3).view(np.int64))
-            out[4].append(n)
-            keys.append(_half_keys(points, first, last))
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        flat = np.concatenate(keys) if keys else np.zeros((0, KEYS), np.int64)
-        cuts = np.arange(0, flat.size + 1, KEYS, dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.reshape(-1)))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), pa.array(columns[3]), pa.array(columns[4].astype(np.int32)), lists], names=["row", "line_no", "a", "b", "chars", "halves"])
-
-    return map_batches(slim, run, "row bigint, line_no int, a bigint, b bigint, chars int, halves array<bigint>")
-
-
-#: Keys of a line: first and last part for the lesser of two lengths n and n + 1, for n its own length and one less.
-KEYS = 4
+            values = [number, chunk.byte_spans(starts, ends).view(np.int64), points.spans(first, last, 3).view(np.int64), last - first, *_half_keys(points, first, last)]
+            none = np.setdiff1d(np.arange(chunk.n), docs)
+            which.append(chunk.first + np.concatenate([docs, none]))
+            for column, x, fill in zip(columns, values, [-1, *[0] * (3 + KEYS)], strict=True):
+                column.append(np.concatenate([x, np.full(len(none), fill, np.int64)]))
+        rows = pa.array(np.concatenate(which) if which else np.zeros(0, np.int64))
+        flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns]
+        flat[0], flat[3] = flat[0].cast(pa.int32()), flat[3].cast(pa.int32())
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *flat], names=names)
+
+    kinds = dict(slim.dtypes)
+    schema = f"id {kinds['id']}, body bigint, row bigint, line_no int, a bigint, b bigint, chars int, " + ", ".join(f"k{i} bigint" for i in range(KEYS))
+    return map_batches(slim, run, schema)
+
+
+def _texts_of(needed: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, ords, line_nos) of the documents that hold the lines `needed` (ord, first)."""
+    lists = needed.groupBy("first.id", "first.body").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "ord")).alias("l"))
+    lists = materialise(lists.select(F.col("id").alias("n_id"), F.col("body").alias("n_body"), F.col("l.ord").alias("ords"), F.col("l.line_no").alias("nos")))
+    lists = F.broadcast(lists) if needed.count() <= MAX_NEEDED else lists.hint("shuffle_hash")
+    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
+    return docs.join(lists, (F.col("body") == F.col("n_body")) & F.col("id").eqNullSafe(F.col("n_id"))).select("text", "ords", "nos")
+
+
+def _wanted(batch: pa.RecordBatch):
+    """For each chunk of a _texts_of() batch: the chunk, and (ord, start, end) of the wanted lines."""
+    ords, nos = batch.column(1), batch.column(2)
+    values, numbers, cuts = ords.values.to_numpy(zero_copy_only=False), nos.values.to_numpy(zero_copy_only=False), ords.offsets.to_numpy()
+    for chunk in words.chunks(batch.column(0)):
+        docs, starts, ends = chunk.lines()
+        edges = np.searchsorted(docs, np.arange(chunk.n))
+        found = []
+        for i in range(chunk.n):
+            own = slice(cuts[chunk.first + i], cuts[chunk.first + i + 1])
+            at = edges[i] + numbers[own]
+            found += zip(values[own].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)
+        yield chunk, found
+
+
+def _neighbourhood(texts: DataFrame) -> DataFrame:
+    """(v, place, ord): hashes of each line (place -1) and of it without the code point at place."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, places, ords = [], [], []
+        for chunk, found in _wanted(batch):
+            points = _Points(chunk)
+            for o, start, end in found:
+                first, last = points.at(np.array([start, end]))
+                keys.append(points.without(int(first), int(last)))
+                places.append(np.append(np.arange(last - first), -1))
+                ords.append(np.full(last - first + 1, o, np.int64))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, places, ords)]
+        return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2])], names=["v", "place", "ord"])
 
-def _half_keys(points: _Points, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A line of n points meets lines of n - 1, n and n + 1; the lesser length m of a pair sets the cut.
+    return map_batches(texts, run, "v bigint, place int, ord bigint")
 
-    For m both lines have their first m // 2 and last m - m // 2 points keyed,
-    and m is part of the key.  One edit lies outside one of the two parts: an
-    edit at or after point m // 2 of the shorter leaves the first part, an
-    earlier one the last.
-    """
-    n = last - first
-    out = np.zeros((len(n), KEYS), np.int64)
-    for j, m in enumerate((n, np.maximum(n - 1, 0))):
-        cut = m // 2
-        salt = m.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        out[:, 2 * j] = words.mix(points.spans(first, first + cut, 11) + salt).view(np.int64)
-        out[:, 2 * j + 1] = words.mix(points.spans(last - (m - cut), last, 13) + salt).view(np.int64)
-    return out
+
+def _strings(texts: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(o, chunk.data[a:b].tobytes().decode("utf-8", "replace")) for chunk, lines in _wanted(batch) for o, a, b in lines]
+        return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["ord", "line"])
+
+    return map_batches(texts, run, "ord bigint, line string")
+
+
+def dropped_lines(documents: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct lines with their first occurrence, (a, b) of those that an earlier alike line replaces)."""
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "body", "row", "line_no")
+    keys = [f"k{i}" for i in range(KEYS)]
+    distinct = materialise(lines.where("line_no >= 0").groupBy("a", "b").agg(F.min(place).alias("first"), F.max("chars").alias("chars"), *(F.max(k).alias(k) for k in keys)))
+    by_key = Window.partitionBy("key")
+    shared = distinct.where(F.col("chars") >= min_chars).select("a", "b", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    shared = shared.withColumn("low", F.min("a").over(by_key)).withColumn("high", F.max("a").over(by_key)).where("low != high").select("a", "b").distinct()
+    # Numbers that rise with the order of first occurrences name the lines from here on.
+    going = materialise(distinct.select("a", "b", "first").join(shared, ["a", "b"], "left_semi").orderBy("first").withColumn("ord", F.monotonically_increasing_id()))
+    hoods = _neighbourhood(_texts_of(going.select("first", "ord"), documents, id_col, text_col))
+    v, vp = Window.partitionBy("v"), Window.partitionBy("v", "place")
+    met = hoods.distinct().withColumn("low", F.min("ord").over(v)).withColumn("high", F.max("ord").over(v)).where("low != high")
+    met = materialise(met.withColumn("peer", F.min("ord").over(vp)).withColumn("whole", F.min(F.when(F.col("place") < 0, F.col("ord"))).over(v)).withColumn("longer", F.min(F.when(F.col("place") >= 0, F.col("ord"))).over(v)))
+    pairs = met.where((F.col("place") >= 0) & (F.col("ord") > F.col("peer"))).select("ord", F.col("peer").alias("by"))
+    pairs = pairs.unionAll(met.where((F.col("place") >= 0) & (F.col("ord") > F.col("whole"))).select("ord", "whole"))
+    pairs = materialise(pairs.unionAll(met.where((F.col("place") < 0) & (F.col("ord") > F.col("longer"))).select("ord", "longer")).distinct())
+    needed = pairs.select("ord").unionAll(pairs.select("by")).distinct().join(going.select("ord", "first"), "ord")
+    strings = _strings(_texts_of(needed, documents, id_col, text_col)).groupBy("ord").agg(F.min("line").alias("line"))
+    alike = pairs.join(strings.withColumnRenamed("line", "x"), "ord").join(strings.select(F.col("ord").alias("by"), F.col("line").alias("y")), "by").where(F.levenshtein("x", "y", 1) >= 0)
+    return distinct, alike.select("ord").distinct().join(going.select("ord", "a", "b"), "ord").select("a", "b")
+
+
+def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 10) -> DataFrame:
+    """One row per document row: the id, n_lines (with a word), n_kept, kept_lines (their numbers from 0) and body (hash of the text)."""
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits is 0 or 1")
+    lines = materialise(_scan(documents, id_col, text_col))
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "body", "row", "line_no")
+    if max_edits:
+        distinct, dropped = dropped_lines(documents, lines, id_col, text_col, min_chars)
+        first = distinct.select("a", "b", "first").join(dropped, ["a", "b"], "left_anti").select("first")
+    else:
+        first = lines.where("line_no >= 0").groupBy("a", "b").agg(F.min(place).alias("first")).select("first")
+    kept = first.groupBy(F.col("first.row").alias("k_row")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
+    docs = lines.groupBy("row").agg(F.first("id").alias("id"), F.first("body").alias("body"), F.count_if(F.col("line_no") >= 0).alias("n_lines"))
+    kept_lines = F.coalesce("kept_lines", F.array().cast("array<int>"))
+    return docs.join(kept, F.col("row") == F.col("k_row"), "left").select(F.col("id").alias(id_col), "n_lines", F.size(kept_lines).cast("bigint").alias("n_kept"), kept_lines.alias("kept_lines"), "body")
+
+
+def drop_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, with only the kept lines and those without a word left in the text."""
+    names = documents.columns
+    key = id_col
+    if repeated(documents, id_col, text_col):
+        # Rows that id and text do not tell apart are numbered in order, and written so that the numbers stay.
+        documents = materialise(documents.withColumn("__row", F.struct(F.col(id_col), F.monotonically_increasing_id().alias("n"))))
+        key = "__row"
+    verdict = dedup(documents, id_col=key, text_col=text_col, **options).withColumnRenamed(key, "v_id")
+    joined = documents.join(verdict, (F.xxhash64(text_col) == verdict["body"]) & documents[key].eqNullSafe(F.col("v_id")))
+    at = names.index(text_col)
+
+    def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(batch.columns)
+        kept = columns.pop()
+        out = []
+        for chunk in words.chunks(columns[at]):
+            docs, starts, ends = chunk.lines()
+            keep = np.searchsorted(chunk.starts, ends) <= np.searchsorted(chunk.starts, starts)
+            edges = np.searchsorted(docs, np.arange(chunk.n + 1))
+            for i in range(chunk.n):
+                keep[edges[i] + kept[chunk.first + i].values.to_numpy(zero_copy_only=False)] = True
+                rows = np.flatnonzero(keep[edges[i] : edges[i + 1]]) + edges[i]
+                text = b"\n".join(chunk.data[starts[r] : ends[r]].tobytes() for r in rows).decode("utf-8", "replace")
+                out.append(text if columns[at][chunk.first + i].is_valid else None)
+        columns[at] = pa.array(out, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return map_batches(joined.select(*(documents[c] for c in names), verdict["kept_lines"]), strip, joined.select(*(documents[c] for c in names)).schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding, token_counts, urls
+from loomgraph.llm import chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, sharding, token_counts, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,12 +84,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stay."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).drop("body")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
