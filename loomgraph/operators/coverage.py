@@ -144,3 +144,72 @@ def csv_rows(tests: DataFrame, area: str) -> DataFrame:
         F.lit("").alias("ID"), F.lit("Test Case").alias("Work Item Type"), F.col("title").alias("Title"), F.coalesce(number.cast("string"), F.lit("")).alias("Test Step"),
         text("s.action").alias("Step Action"), text("s.expected").alias("Step Expected"), F.lit(area).alias("Area Path"), F.lit("").alias("Assigned To"), F.lit("Design").alias("State"),
     )
+
+
+METHODOLOGIES = {
+    # rule type: (always, only with a numeric or date limit, only with a status)
+    "binary_flag": (("EP", "Linear Expansion", "RBAC"), (), ()),
+    "numeric_threshold": (("EP", "BVA", "Linear Expansion", "RBAC"), (), ()),
+    "lifecycle": (("EP", "State Transition", "Linear Expansion", "RBAC"), ("BVA",), ()),
+    "multi_attribute": (("EP", "Linear Expansion", "RBAC"), ("BVA",), ("State Transition",)),
+    "role_access": (("EP", "Linear Expansion", "RBAC"), (), ()),
+}
+
+
+def default_rule_type(kind: str = "type", text: str = "description") -> Column:
+    """The rule type that a node's type suggests, or null."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    k = F.col(kind)
+    return (
+        F.when(k == "validation_rule", F.when(t.rlike(r"\b(min|max|minimum|maximum|at least|at most)\b|[<>]=?|\b\d+\b"), "numeric_threshold").otherwise("binary_flag")).when(k == "eligibility_rule", "numeric_threshold")
+        .when(k == "ui_business_rule", "binary_flag").when(k == "security_rule", F.when(t.rlike("attempt|cooldown|expir"), "lifecycle").otherwise("role_access"))
+    )
+
+
+def methodologies(rules: DataFrame) -> DataFrame:
+    """Rules (rule_type, has_limit, has_status) with the methodologies that apply."""
+    out = F.array().cast("array<string>")
+    for kind, (always, with_limit, with_status) in METHODOLOGIES.items():
+        names = F.array(*(F.lit(n) for n in always), *(F.when(F.col("has_limit"), n) for n in with_limit), *(F.when(F.col("has_status"), n) for n in with_status))
+        out = F.when(F.col("rule_type") == kind, F.array_compact(names)).otherwise(out)
+    return rules.withColumn("methodologies", out)
+
+
+def analysis_violations(analysis: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rule_id, violation): methods both applied and skipped, classes of unknown attributes, attributes without exactly one straight-through class."""
+    both = analysis.where(F.arrays_overlap("applicable", "skipped")).select("rule_id", F.lit("methodology both applied and skipped").alias("violation"))
+    known = analysis.select("rule_id", F.explode("attributes").alias("attribute"))
+    unknown = classes.join(known, ["rule_id", "attribute"], "left_anti").select("rule_id", F.concat(F.lit("unknown attribute "), "attribute").alias("violation")).distinct()
+    straight = classes.groupBy("rule_id", "attribute").agg(F.count_if("is_straight_through").alias("n"))
+    odd = known.join(straight, ["rule_id", "attribute"], "left").where(F.coalesce("n", F.lit(0)) != 1).select("rule_id", F.concat(F.lit("not one straight-through class of "), "attribute").alias("violation"))
+    return both.unionAll(unknown).unionAll(odd)
+
+
+def gap_log_is_consistent(is_compliant: str = "is_compliant", gaps: str = "gaps") -> Column:
+    """A compliant log has no gaps, another has some."""
+    return F.col(is_compliant) == (F.size(F.coalesce(gaps, F.array())) == 0)
+
+
+def in_scope(proposals: DataFrame, scope: DataFrame) -> DataFrame:
+    """Proposals of the confirmed categories."""
+    return proposals.join(scope.select("category_id"), "category_id", "left_semi")
+
+
+def constraint_block(constraints: DataFrame) -> DataFrame:
+    """One row: the given limits (rule_id, constraint) as lines of text; the constraints of one session."""
+    lines = F.array_sort(F.collect_list(F.concat(F.lit("- "), "rule_id", F.lit(": "), "constraint")))
+    return constraints.agg(F.array_join(lines, "\n").alias("block"))
+
+
+def loop_history(iterations: DataFrame) -> DataFrame:
+    """(iterations, first_gaps, last_gaps, resolved) of a loop (iteration, gaps)."""
+    return iterations.agg(F.count("*").alias("iterations"), F.min_by("gaps", "iteration").alias("first_gaps"), F.max_by("gaps", "iteration").alias("last_gaps")).withColumn("resolved", F.col("first_gaps") - F.col("last_gaps"))
+
+
+def report_markdown(metrics: DataFrame, matrix: DataFrame, gaps: DataFrame) -> str:
+    """The coverage report of one run as Markdown; its tables are of a size that people read."""
+    m = metrics.head()
+    table = lambda rows, names: "\n".join(["| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *("| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows)])
+    parts = ["# Coverage", f"- Rules: {m.rule_coverage} %", f"- Conditions: {m.condition_coverage} %", f"- Tests: {m.total_tests}, steps: {m.total_steps}, {m.steps_per_test} each", "", "## Traceability"]
+    parts += [table(matrix.orderBy("rule_id").toLocalIterator(), ["rule_id", "scenarios", "technical"]), "", "## Gaps", table(gaps.orderBy("id").toLocalIterator(), ["id"])]
+    return "\n".join(parts) + "\n"
