@@ -40,11 +40,19 @@ def _digest(links: DataFrame) -> tuple:
     return tuple(links.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(a, b): every vertex that has a link, and the least vertex of its component."""
+def components(links: DataFrame, max_rounds: int = 40, settled: bool = True) -> DataFrame:
+    """(a, b): every vertex that has a link, and the least vertex of its component.
+
+    With settled=False two rounds are made and no more: b is then some vertex of
+    the component, often the least one, but not always the same for all of it.
+    """
     links = materialise(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
+    if not settled:
+        links = materialise(_star(_star(links, large=True), large=False))
+        links = _star(_star(links, large=True), large=False).groupBy("a").agg(F.min("b").alias("b"))
+        return materialise(links.unionAll(links.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("b")))
     before = _digest(links)
     for _ in range(max_rounds if before[0] else 0):
         links = materialise(_star(_star(links, large=True), large=False))

@@ -15,6 +15,8 @@ Work that grows with the square of a group is avoided without losing a link:
 1. Documents with equal sets collapse to one class.
 2. In long posting lists classes are first paired with a few hubs of the list
    only, in rounds with other hubs each; verified links join components.
+   Classes that share too few prefix shingles with any list for the matches asked
+   of them are left out before.
 3. Only then are all remaining pairs of a list taken, and of these just the
    pairs between different components: any other pair is connected already.
    Long lists are cut into blocks of bounded size that join block by block.
@@ -57,7 +59,7 @@ MAX_RANKED = 200_000
 #: Rows of a posting list in one block.
 BLOCK = 1024
 #: Lists from this size on meet hubs first: how many in a round, how many of them a class tries, rounds at most.
-LONG, HUBS, TRIES, ROUNDS = 8, 8, 8, 4
+LONG, HUBS, TRIES, ROUNDS = 8, 8, 12, 2
 #: Up to so many candidate classes (24 bytes each) are broadcast to fetch their texts; beyond, they are joined by a shuffle.
 MAX_NEEDED = 400_000
 #: Keys that a task remembers to leave out copies early.
@@ -276,16 +278,21 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     token = Window.partitionBy("token")
     index = _index(documents, id_col, text_col, k, order)
     shared = index.withColumn("low", F.min("key").over(token)).withColumn("high", F.max("key").over(token)).where("low != high").select("token", "key", "info").distinct()
-    shared = materialise(shared.withColumn("size", F.count("*").over(token)))
+    shared = shared.withColumn("asked", F.least(_matches(F.col("info")), F.min(_matches(F.col("info"))).over(token)))
+    # No pair of a class asks for fewer matches than the least of its lists does; a class with fewer shared shingles has no pair.
+    own = Window.partitionBy("key")
+    shared = shared.withColumn("held", F.count("*").over(own)).withColumn("asked", F.min("asked").over(own)).where("held >= asked").select("token", "key", "info")
+    shared = materialise(shared.withColumn("size", F.count("*").over(token)).where("size > 1"))
 
     verify = lambda pairs: _verify(pairs, classes, documents, id_col, text_col, k, percent)
-    stars = None
+    found = stars = None
     for turn in range(ROUNDS):
         rows = _labelled(shared.where(F.col("size") >= LONG), stars)
         if not _worth_hubs(rows):
             break
-        links = verify(_hub_pairs(rows, turn, percent))
-        stars = components(links if stars is None else links.unionAll(stars))
+        links = materialise(verify(_hub_pairs(rows, turn, percent)))
+        found = links if found is None else found.unionAll(links)
+        stars = components(found, settled=False)
     labelled = materialise(_labelled(shared, stars))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_rows = labelled.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -294,7 +301,7 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = left.join(right, ["token", "i", "j"]).where((F.col("p") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _fits(F.col("x"), F.col("y"), percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(_matches(F.col("x")), _matches(F.col("y"))).alias("l"))
     rest = verify(_candidates(pairs))
-    final = components(rest if stars is None else rest.unionAll(stars))
+    final = components(rest if found is None else rest.unionAll(found))
     return docs, final.select(F.col("a").alias("key"), F.col("b").alias("component"))
 
 
