@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontaminate, jaccard, mixing, quality, sharding
-from loomgraph.llm.common import shared_dir
+from loomgraph.llm.common import release, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{n}")
         docs = spark.read.parquet(f"{at}/{n}")
+        release(spark)  # what the stage has written for itself
     return docs

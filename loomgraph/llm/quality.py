@@ -113,7 +113,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64)).cast(kind))
 
 
-def score(documents: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, line_docs: int = 20, line_percent: float = 1.0, depleted_percent: int = 50) -> DataFrame:
+def score(documents: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, line_docs: int = 50, line_percent: float = 2.0, depleted_percent: int = 50) -> DataFrame:
     """One row per document row: id, host, text_key, the base counts, base_failed, removed_words, boilerplate (hashes), kept."""
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("key_a"), F.xxhash64(F.lit(1), text_col).alias("key_b"), F.col(text_col).alias("text"))
     kinds = dict(slim.dtypes)

@@ -120,7 +120,7 @@ lw AS (SELECT doc_id, source, text, l, len(w) AS k, array_to_string(list_transfo
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lw GROUP BY doc_id),
 host AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
 held AS (SELECT source, norm, count(DISTINCT text) AS n FROM lw GROUP BY source, norm),
-boiler AS (SELECT held.source, norm FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source WHERE n > 20 AND n * 100 > host_docs * 1.0),
+boiler AS (SELECT held.source, norm FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source WHERE n > 50 AND n * 100 > host_docs * 2.0),
 gone AS (SELECT doc_id, sum(k) AS removed_words FROM lw JOIN boiler ON lw.norm = boiler.norm AND lw.source IS NOT DISTINCT FROM boiler.source GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
@@ -140,6 +140,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length(er) + length(et) + {sum(map(len, (_T.start, _T.middle, _T.end)))})::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op6_ngram_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g, len(w) < 4 AS short FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.short = b.short AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS v FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.v = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.v) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
 """,
     "op8_url_filters": rf"""
 WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),

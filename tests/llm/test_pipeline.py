@@ -25,7 +25,7 @@ def test_stages_decide_as_their_operators(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         kept.append([tuple(r) for r in docs.collect()])
     quality, near, clean, mixed, sharded = kept
-    assert Counter(r[0] for r in quality) == Counter(r[0] for r in brute_quality(rows, 20).elements() if r[8])
+    assert Counter(r[0] for r in quality) == Counter(r[0] for r in brute_quality(rows, 50).elements() if r[8])
     counts, _ = brute_components(quality, 5, 80)
     assert Counter(r[0] for r in near) == Counter({c for _, _, c in counts})
     need = shingles(passage, 5)
