@@ -224,7 +224,7 @@ def drop_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         documents = materialise(documents.withColumn("__row", F.struct(F.col(id_col), F.monotonically_increasing_id().alias("n"))))
         key = "__row"
     verdict = dedup(documents, id_col=key, text_col=text_col, **options).withColumnRenamed(key, "v_id")
-    joined = documents.join(verdict, (F.xxhash64(text_col) == verdict["body"]) & documents[key].eqNullSafe(F.col("v_id")))
+    joined = documents.join(verdict, (F.xxhash64(documents[text_col]) == verdict["body"]) & documents[key].eqNullSafe(verdict["v_id"]))
     at = names.index(text_col)
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:

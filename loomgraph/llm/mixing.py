@@ -116,14 +116,14 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
 
 def mixed_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, once for each turn in which the mix begins them (not at all, or up to max_repeats times)."""
-    body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     names = documents.columns
     if repeated(documents, id_col, text_col):
         # Rows that id and text do not tell apart are numbered, and written so that the numbers stay.
         documents = materialise(documents.withColumn("__row", F.monotonically_increasing_id()))
         taken = mix(documents, id_col="__row", text_col=text_col, **options).where("copies > 0").withColumnRenamed("__row", "t_id")
-        joined = documents.join(taken, F.col("__row") == F.col("t_id"))
+        joined = documents.join(taken, documents["__row"] == taken["t_id"])
     else:
         taken = mix(documents, id_col=id_col, text_col=text_col, **options).where("copies > 0").withColumnRenamed(id_col, "t_id")
-        joined = documents.join(taken, (body == taken["body"]) & documents[id_col].eqNullSafe(F.col("t_id")))
+        body = F.xxhash64(F.coalesce(documents[text_col], F.lit("")))
+        joined = documents.join(taken, (body == taken["body"]) & documents[id_col].eqNullSafe(taken["t_id"]))
     return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), taken["copies"]))).select(*(documents[c] for c in names))

@@ -178,9 +178,9 @@ def apply_rules(documents: DataFrame, *, host_col: str = "source", text_col: str
     names = documents.columns
     joined = documents.join(
         changed,
-        (F.xxhash64(text_col) == F.col("v_a")) & (F.xxhash64(F.lit(1), text_col) == F.col("v_b")) & documents[host_col].eqNullSafe(F.col("v_host")),
+        (F.xxhash64(documents[text_col]) == changed["v_a"]) & (F.xxhash64(F.lit(1), documents[text_col]) == changed["v_b"]) & documents[host_col].eqNullSafe(changed["v_host"]),
         "left",
-    ).where(F.coalesce("v_kept", F.lit(True)))
+    ).where(F.coalesce(changed["v_kept"], F.lit(True)))
     at, schema = names.index(text_col), documents.schema
 
     def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,6 +190,6 @@ def apply_rules(documents: DataFrame, *, host_col: str = "source", text_col: str
             columns[at] = strip_lines(columns[at], flagged)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    flat = joined.select(*(documents[c] for c in names), F.coalesce("v_lines", F.array().cast("array<bigint>")).alias("__lines"))
+    flat = joined.select(*(documents[c] for c in names), F.coalesce(changed["v_lines"], F.array().cast("array<bigint>")).alias("__lines"))
     out = map_batches(flat, strip, schema)
     return out.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType)) if chars_col in names else out

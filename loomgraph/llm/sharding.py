@@ -129,15 +129,15 @@ def place(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns, with size, text_crc32, shard and slot."""
-    body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    names = documents.columns
+    """The documents, all columns, with size, text_crc32, shard and slot (in place of columns of these names)."""
+    names = [c for c in documents.columns if c not in ("size", "text_crc32", "shard", "slot")]
     if repeated(documents, id_col, text_col):
         # Rows that id and text do not tell apart are numbered, and written so that the numbers stay.
         documents = materialise(documents.withColumn("__row", F.monotonically_increasing_id()))
-        placed = place(documents, id_col="__row", text_col=text_col, **options)
-        joined = documents.join(placed.withColumnRenamed("__row", "p_row"), F.col("__row") == F.col("p_row"))
+        placed = place(documents, id_col="__row", text_col=text_col, **options).withColumnRenamed("__row", "p_id")
+        joined = documents.join(placed, documents["__row"] == placed["p_id"])
     else:
         placed = place(documents, id_col=id_col, text_col=text_col, **options).withColumnRenamed(id_col, "p_id")
-        joined = documents.join(placed, (body == placed["body"]) & documents[id_col].eqNullSafe(F.col("p_id")))
+        body = F.xxhash64(F.coalesce(documents[text_col], F.lit("")))
+        joined = documents.join(placed, (body == placed["body"]) & documents[id_col].eqNullSafe(placed["p_id"]))
     return joined.select(*(documents[c] for c in names), placed["size"], placed["text_crc32"], placed["shard"], placed["slot"])

@@ -42,7 +42,8 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     # An extra column, and one whose name some output has too.
-    return spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1)).withColumn("kept", F.lit("x"))
+    clash = {c: F.lit("x") for c in ("kept", "v_kept", "v_lines", "body", "n", "key", "component", "p_id", "t_id", "copies", "row", "rank", "id")}
+    return spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1)).withColumns(clash)
 
 
 @pytest.fixture(scope="module")
@@ -205,6 +206,11 @@ def test_sharded_documents_keep_their_rows(docs, rows):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t) for i, t, *_ in rows)
 
 
+def test_columns_of_the_results_replace_those_of_the_documents(docs):
+    out = sharding.shard_documents(docs.withColumn("size", F.lit("x")).withColumn("slot", F.lit("x")), shards=2)
+    assert len(set(out.columns)) == len(out.columns) and dict(out.dtypes)["size"] == "bigint"
+
+
 # 4. Chat formatting
 
 
