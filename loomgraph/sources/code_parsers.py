@@ -8,6 +8,7 @@ fail, whose error is a row of its own.
 from __future__ import annotations
 
 import ast
+import csv
 import io
 import json
 import re
@@ -418,6 +419,23 @@ def read_sheets(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, sheet string, headers array<string>, rows array<array<string>>")
 
 
+def read_csv_sheets(files: DataFrame) -> DataFrame:
+    """(path, sheet, headers, rows) of .csv files (path, content), one sheet each."""
+    ship(files.sparkSession)
+    kind = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for file in batch.to_pylist():
+                rows = [r for r in csv.reader(io.StringIO(_text(file["content"]))) if any(r)]
+                if rows:
+                    found.append({"path": file["path"], "sheet": re.sub(r"\.\w+$", "", file["path"].rsplit("/", 1)[-1]), "headers": rows[0], "rows": rows[1:]})
+            yield pa.RecordBatch.from_pylist(found, kind)
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, sheet string, headers array<string>, rows array<array<string>>")
+
+
 PARSERS: dict[str, Callable[[str, bytes], Parsed]] = {
     "gherkin": parse_gherkin, "schema": parse_schema, "java": parse_java, "typescript": parse_typescript, "python": parse_python, "go": parse_go, "playwright": parse_playwright, "qaf": parse_qaf, "word": parse_word,
 }

@@ -107,3 +107,10 @@ def dominant_folder(files: DataFrame, kind: str) -> DataFrame:
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     counts = files.where(F.contains(base_name(), F.lit(kind))).groupBy(folder.alias("folder")).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "folder").limit(1)
+
+
+def agents_for(files: DataFrame, triggers: DataFrame) -> DataFrame:
+    """(agent): those whose trigger (agent, ext, pattern or null) fits a file (path, text); a bounded table of triggers."""
+    t = F.broadcast(triggers)
+    hit = files.withColumn("e", extension()).join(t, F.col("e") == F.col("ext"))
+    return hit.where(F.col("pattern").isNull() | F.expr("text rlike pattern")).select("agent").distinct()
