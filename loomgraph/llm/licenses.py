@@ -9,7 +9,8 @@ a unit counts all of its words.
 Most text never gets that far.  From the templates follow anchors: words so
 heavy that a template's vector without them is shorter than `threshold` times
 its length.  By Cauchy and Schwarz a unit without any anchor stays below the
-threshold, so one regular expression sieves texts and lines without loss.
+threshold, so one regular expression sieves texts and lines without loss; a
+bound from the counts of known and unknown words takes most of the rest.
 
 A file without own licence takes that of the nearest ancestor directory with a
 licence file.  Directories, not files, are exploded to their ancestors and
@@ -97,11 +98,30 @@ def _units(text: Column, whole: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n"), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
 
 
+def candidate_units(text: Column, whole: Column, model: Model, threshold: float) -> Column:
+    """The units of a text that may reach the threshold; no other can.
+
+    A unit needs an anchor.  And if n of its words are terms of templates and m
+    are not, its vector has at least the square length m * unknown**2 outside
+    the templates and at most (n * unknown)**2 inside, so that its cosine is at
+    most n / sqrt(n * n + m).
+    """
+    sieve = F.lit(model.sieve())
+    term = lambda words: F.lit("(?<![a-z0-9])(?<![a-z0-9][.-])(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")(?![a-z0-9])(?![.-][a-z0-9])")
+    known, stop = term(model.idf), term(STOP)
+
+    def may(unit: Column) -> Column:
+        n = F.regexp_count(unit, known).cast("double")
+        m = F.regexp_count(unit, F.lit(TERM)) - n - F.regexp_count(unit, stop)
+        return unit.rlike(model.sieve()) & (n * n >= (n * n + m) * threshold**2 * (1 - 1e-9))
+
+    low = F.lower(text)
+    return F.when(F.regexp_like(low, sieve), F.filter(_units(low, whole), may)).otherwise(F.array().cast("array<string>"))
+
+
 def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """(row, own, similarity) of the files (row, text, whole) that have a licence of their own."""
-    sieve = model.sieve()
-    units = files.where(F.lower("text").rlike(sieve)).select("row", F.explode(_units(F.lower("text"), F.col("whole"))).alias("unit")).where(F.col("unit").rlike(sieve))
-    # Term counts as a sparse vector: one row for each unit and template, by literal maps of weights.
+    """(row, own, similarity) of the files (row, units) that have a licence of their own."""
+    units = files.select("row", F.explode("units").alias("unit"))
     stop = F.array(*map(F.lit, STOP))
     found = F.filter(F.regexp_extract_all("unit", F.lit(TERM), 0), lambda w: ~F.array_contains(stop, w))
     # Sparse vectors as rows: a unit's terms meet the templates' weights by equality.
@@ -123,10 +143,10 @@ def scan(files: DataFrame, *, id_col: str, path: Column, text_col: str = "text",
     model = Model(templates, threshold)
     named = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     named = named.withColumn("whole", F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False)))
-    # Rows keep their numbers only if they are written; texts without an anchor leave nothing but their path.
-    slim = materialise(named.withColumn("text", F.when(F.lower("text").rlike(model.sieve()), F.col("text"))).withColumn("dir", directory(F.col("path"))))
-    own = materialise(own_licences(slim.where("text is not null").select("row", "text", "whole"), model, threshold))
-    judged = slim.drop("text").join(own, "row", "left")
+    # Rows keep their numbers only if they are written; of the texts only the units that may match go along.
+    slim = materialise(named.withColumn("units", candidate_units(F.col("text"), F.col("whole"), model, threshold)).withColumn("dir", directory(F.col("path"))).drop("text"))
+    own = materialise(own_licences(slim.where(F.size("units") > 0), model, threshold))
+    judged = slim.drop("units").join(own, "row", "left")
     holders = judged.where(F.col("whole") & F.col("own").isNotNull() & F.col("path").isNotNull()).groupBy("dir").agg(F.max(F.struct("similarity", "own")).alias("m")).select(F.col("dir").alias("h_dir"), F.col("m.own").alias("h_own"))
     parts = F.split("dir", "/")
     dirs = slim.where("path is not null").select("dir").distinct()
