@@ -10,8 +10,8 @@ A template writes turns to one string.  Control strings inside roles and texts
 are escaped: the escape character becomes `\\0`, the n-th control string `\\` and
 a letter.  No control string holds the escape character, so the replacements
 can neither make nor hide one another and read_back() undoes them exactly.
-The loss mask is a list of spans (start and length in code points) over the
-texts of the assistant.
+The loss mask holds a span (start and length in code points) over the text of
+each turn of the assistant.
 
 A conversation's turns come together in one row, which is the result itself;
 offsets are running sums over a window, so work grows with the turns alone.
@@ -136,29 +136,38 @@ def canonical(records: DataFrame, record: Column) -> DataFrame:
     out = records.withColumn("__record", record).withColumn("fingerprint", fingerprint(F.col("__record")))
     out = out.withColumn("layout", F.element_at(F.create_map(*known), F.col("fingerprint")))
     v = F.col("__record")
-    turns = F.array().cast("array<struct<role:string,text:string>>")
-    for name, (_, may, make) in LAYOUTS.items():
-        made = make(v)
-        if "system" in may:
-            system = _get(v, "$.system")
-            made = F.when(system != "", F.concat(F.array(_turn(F.lit("system"), system)), made)).otherwise(made)
-        turns = F.when(F.col("layout") == name, made).otherwise(turns)
+
+    def turns_of(layout: Column) -> Column:
+        turns = F.array().cast("array<struct<role:string,text:string>>")
+        for name, (_, may, make) in LAYOUTS.items():
+            made = make(v)
+            if "system" in may:
+                system = _get(v, "$.system")
+                made = F.when(system != "", F.concat(F.array(_turn(F.lit("system"), system)), made)).otherwise(made)
+            turns = F.when(layout == name, made).otherwise(turns)
+        return turns
+
+    # The layout is bound to a variable, or each branch would work it out anew.
+    turns = F.get(F.transform(F.array("layout"), turns_of), F.lit(0))
     return out.withColumn("turns", turns).drop("__record")
 
 
 def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", order: tuple[str, ...] = ("turn",), template: Template = Template()) -> DataFrame:
-    """One row per conversation: the id, n_turns, formatted and loss (spans) from rows with role and text."""
+    """One row per conversation: the id, n_turns, formatted and loss (a span for each turn, null outside the mask) from rows with role and text.
+
+    A span has its start in the string, its length, and its offset in the turn.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select(F.col(conv_col), *order, role.alias("role"), text.alias("text"))
     rows = rows.withColumn("escaped", template.escape(F.col("text"))).withColumn("head", F.concat(F.lit(template.start), template.escape(F.col("role")), F.lit(template.middle)))
     by = Window.partitionBy(conv_col).orderBy(*order, "role", "text")
     whole = F.length("head") + F.length("escaped") + len(template.end)
     rows = rows.withColumn("no", F.row_number().over(by)).withColumn("at", F.sum(whole).over(by.rowsBetween(Window.unboundedPreceding, 0)) - whole)
-    span = F.when(F.col("role").isin(*template.assistant), F.struct((F.col("at") + F.length("head")).cast("bigint").alias("start"), F.length("escaped").cast("bigint").alias("length")))
+    span = F.when(F.col("role").isin(*template.assistant), F.struct((F.col("at") + F.length("head")).cast("bigint").alias("start"), F.length("escaped").cast("bigint").alias("length"), F.length("head").cast("bigint").alias("offset")))
     parts = F.array_sort(F.collect_list(F.struct("no", F.concat("head", "escaped", F.lit(template.end)).alias("part"), span.alias("span"))))
     grouped = rows.groupBy(conv_col).agg(parts.alias("parts"))
     return grouped.select(
-        conv_col, F.size("parts").cast("bigint").alias("n_turns"), F.array_join(F.col("parts.part"), "").alias("formatted"), F.array_compact(F.col("parts.span")).alias("loss")
+        conv_col, F.size("parts").cast("bigint").alias("n_turns"), F.array_join(F.col("parts.part"), "").alias("formatted"), F.col("parts.span").alias("loss")
     )
 
 
@@ -175,5 +184,7 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
 
 
 def masked_text(formatted: Column, loss: Column, template: Template = Template()) -> Column:
-    """All text under the loss mask, unescaped and joined."""
-    return F.array_join(F.transform(loss, lambda s: template.unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped and joined; turn by turn, so that the work is linear in the string."""
+    pieces = F.split(formatted, "\\Q" + template.end + "\\E")
+    texts = F.zip_with(F.slice(pieces, F.lit(1), F.size(loss)), loss, lambda p, s: F.when(s.isNotNull(), F.substring(p, (s["offset"] + 1).cast("int"), s["length"].cast("int"))))
+    return template.unescape(F.array_join(F.array_compact(texts), ""))
