@@ -111,9 +111,10 @@ def candidate_units(text: Column, whole: Column, model: Model, threshold: float)
     known, stop = term(model.idf), term(STOP)
 
     def may(unit: Column) -> Column:
-        n = F.regexp_count(unit, known).cast("double")
-        m = F.regexp_count(unit, F.lit(TERM)) - n - F.regexp_count(unit, stop)
-        return unit.rlike(model.sieve()) & (n * n >= (n * n + m) * threshold**2 * (1 - 1e-9))
+        # The count is bound to a variable, or each mention of it would search the unit anew.
+        counted = F.array(F.regexp_count(unit, known).cast("double"))
+        enough = F.exists(counted, lambda n: n * n >= (n * n + F.regexp_count(unit, F.lit(TERM)) - n - F.regexp_count(unit, stop)) * threshold**2 * (1 - 1e-9))
+        return unit.rlike(model.sieve()) & enough
 
     low = F.lower(text)
     return F.when(F.regexp_like(low, sieve), F.filter(_units(low, whole), may)).otherwise(F.array().cast("array<string>"))
