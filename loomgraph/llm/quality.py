@@ -4,8 +4,10 @@ Lines are normalised (A-Z lower-cased, white space collapsed) and hashed; for
 every host the distinct texts that hold a line are counted, exact copies of a
 text once, so that copies are left to deduplication.  A line is boilerplate on
 a host when more than `line_docs` distinct texts and more than `line_percent`
-per cent of the host's distinct texts hold it.  Such lines are removed, and a
-document is depleted when more than `depleted_percent` per cent of its words
+per cent of the host's distinct texts hold it; on a small host more than
+`few_docs` suffice at more than `few_percent` per cent, and on a large one more
+than `many_docs` whatever their share (None switches either off).  Such lines
+are removed, and a document is depleted when more than `depleted_percent` per cent of its words
 went with them.  Documents that fail the base rules (fewer than `min_words`
 words, or more than `repeat_percent` per cent of the words inside repeated
 three-word windows) are rejected as well.
@@ -113,7 +115,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64)).cast(kind))
 
 
-def score(documents: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, line_docs: int = 50, line_percent: float = 2.0, depleted_percent: int = 50) -> DataFrame:
+def score(documents: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, line_docs: int = 50, line_percent: float = 2.0, few_docs: int | None = 5, few_percent: float = 5.0, many_docs: int | None = 10_000, depleted_percent: int = 50) -> DataFrame:
     """One row per document row: id, host, text_key, the base counts, base_failed, removed_words, boilerplate (hashes), kept."""
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("key_a"), F.xxhash64(F.lit(1), text_col).alias("key_b"), F.col(text_col).alias("text"))
     kinds = dict(slim.dtypes)
@@ -129,8 +131,15 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", host_col: str = "sour
     rows = materialise(map_batches(slim, scan, schema).withColumn("row", F.monotonically_increasing_id()))
     lines = rows.select("row", "host", "key_a", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "host", "key_a", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("taken"))
     texts = rows.select("host", "key_a").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = lines.select("host", "line", "key_a").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
-    boiler = held.join(texts, held["host"].eqNullSafe(texts["host"])).where(F.col("n_docs") * 100 > F.col("host_docs") * line_percent).select(held["host"].alias("b_host"), F.col("line").alias("b_line"))
+    n, size = F.col("n_docs"), F.col("host_docs")
+    common = (n > line_docs) & (n * 100 > size * line_percent)
+    if few_docs is not None:
+        common |= (n > few_docs) & (n * 100 > size * few_percent)
+    if many_docs is not None:
+        common |= n > many_docs
+    least = min(x for x in (line_docs, few_docs, many_docs) if x is not None)
+    held = lines.select("host", "line", "key_a").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(n > least)
+    boiler = held.join(texts, held["host"].eqNullSafe(texts["host"])).where(common).select(held["host"].alias("b_host"), F.col("line").alias("b_line"))
     removed = lines.join(boiler, (F.col("line") == F.col("b_line")) & F.col("host").eqNullSafe(F.col("b_host"))).groupBy("row").agg(F.sum("taken").cast("bigint").alias("removed_words"), F.sort_array(F.collect_list("line")).alias("boilerplate"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     depleted = 100 * F.col("removed_words") > depleted_percent * F.col("n_words")

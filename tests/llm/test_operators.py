@@ -103,6 +103,18 @@ def test_quality_filter_takes_lines_out(docs, rows):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_quality_limits_follow_the_host(spark):
+    """The limits of production: 7 of 40 texts and 6 of 130 hold a line; the small host loses it, the other keeps it."""
+    text = lambda h, i, own: "\n".join([" ".join(f"{h}{i}w{j}" for j in range(60))] + own * ["Subscribe to our letter"])
+    rows = [(i, text("a", i, i < 7), "small") for i in range(40)] + [(100 + i, text("b", i, i < 6), "large") for i in range(130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = lambda **limits: {r.doc_id for r in quality.score(df, **limits).where("removed_words > 0").collect()}
+    assert gone() == set(range(7))
+    assert gone(many_docs=5) == set(range(7)) | set(range(100, 106))
+    assert gone(few_docs=None, many_docs=None) == set()
+    assert not any("Subscribe" in r.text for r in quality.apply_rules(df).where("source = 'small'").collect())
+
+
 # 2. License scans
 
 
