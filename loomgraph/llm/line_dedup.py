@@ -1,7 +1,8 @@
-"""Line dedup by a deletion-neighbourhood join.
+"""Line dedup by a deletion-neighbourhood join, or for two edits by a join of segments.
 
 Two lines are alike when their edit distance (code points inserted, deleted or
-replaced) is at most `max_edits`, 0 or 1.  Of alike lines the earliest stays: an
+replaced) is at most `max_edits`, 0, 1 or 2, and at most one for every
+`min_chars` code points of the shorter.  Of alike lines the earliest stays: an
 occurrence goes when its line occurred before, or when an alike line first
 occurred before this line's first occurrence.  Documents come in id order (null
 last), then by a hash of the text; lines in the order of the text.
@@ -20,6 +21,15 @@ last), then by a hash of the text; lines in the order of the text.
    shares key and place is alike, so that one decides.
 4. Candidates fetch their texts and are verified by edit distance.
 
+Two edits: a line cut into parts has at most two parts that are touched.  What
+lies before, between and behind them is as it was, the middle moved by at most
+one point, and makes a key with the lesser length of the pair.  Three parts
+sieve the lines.  Those that go on meet by their keys of 6 parts; lines of a key
+that more than MAX_GROUP share meet by 24 parts instead, where all but a twelfth
+of a line is equal.  Pairs of a key are verified by edit distance; in a large
+group of the last keys the earliest line comes first, and only lines that it
+does not decide are compared with the others.
+
 Lines without a word are never dropped; lines shorter than `min_chars` code
 points are compared for equality only (one edit changes too much of them).
 
@@ -43,6 +53,9 @@ U = words.U
 MAX_NEEDED = 200_000
 #: Keys of a line: first and last part for its own length and for one less.
 KEYS = 4
+#: For two edits: parts of the sieve and of the keys that follow, and lines of a key that are compared pair by pair.
+SIEVE_PARTS, PARTS = 3, (6, 24)
+MAX_GROUP = 32
 
 
 def _line_table(chunk: words.Chunk) -> tuple[np.ndarray, ...]:
@@ -98,22 +111,51 @@ def _half_keys(points: _Points, first: np.ndarray, last: np.ndarray) -> list[np.
     return out
 
 
-def _scan(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every line with a word: where it is, its hash (a, b), code points and half keys; a row with line_no -1 for a text without any."""
+def _part_keys(points: _Points, first: np.ndarray, last: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Keys of lines cut into parts, of which two edits touch at most i and j.
+
+    A line of m points meets lines of m to m + 2; it has its middle in place, they
+    have it in place or one point later (both, where the lengths are equal).
+    """
+    n, out = last - first, []
+    for less, shifts in ((0, (0, 1)), (1, (0, 1)), (2, (1,))):
+        m = np.maximum(n - less, 0)
+        cut = [m * i // parts for i in range(parts + 1)]
+        salt = m.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+        heads = [words.mix(points.spans(first, first + cut[i], 17) + salt) for i in range(parts)]
+        tails = [points.spans(last - (m - cut[i]), last, 19) for i in range(parts + 1)]
+        for i in range(parts):
+            for j in range(i + 1, parts):
+                outer = words.mix(heads[i] + tails[j + 1])
+                if j == i + 1:
+                    out.append(outer.view(np.int64))
+                else:
+                    out += [words.mix(outer + points.spans(first + cut[i + 1] + s, first + cut[j] + s, 23)).view(np.int64) for s in shifts]
+    return out
+
+
+def _n_keys(max_edits: int) -> int:
+    """Sieve keys of a line."""
+    return KEYS if max_edits < 2 else 11
+
+
+def _scan(documents: DataFrame, id_col: str, text_col: str, max_edits: int = 1) -> DataFrame:
+    """Every line with a word: where it is, its hash (a, b), code points and sieve keys; a row with line_no -1 for a text without any."""
     body = F.xxhash64(text_col)
     slim = documents.select(F.col(id_col).alias("id"), body.alias("body"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    names = ["id", "body", "row", "line_no", "a", "b", "chars", *(f"k{i}" for i in range(KEYS))]
+    n_keys = _n_keys(max_edits)
+    names = ["id", "body", "row", "line_no", "a", "b", "chars", *(f"k{i}" for i in range(n_keys))]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        which, columns = [], [[] for _ in range(4 + KEYS)]
+        which, columns = [], [[] for _ in range(4 + n_keys)]
         for chunk in words.chunks(batch.column(3)):
             docs, number, starts, ends = _line_table(chunk)
             points = _Points(chunk)
             first, last = points.at(starts), points.at(ends)
-            values = [number, chunk.byte_spans(starts, ends).view(np.int64), points.spans(first, last, 3).view(np.int64), last - first, *_half_keys(points, first, last)]
+            values = [number, chunk.byte_spans(starts, ends).view(np.int64), points.spans(first, last, 3).view(np.int64), last - first, *(_half_keys(points, first, last) if max_edits < 2 else _part_keys(points, first, last, SIEVE_PARTS))]
             none = np.setdiff1d(np.arange(chunk.n), docs)
             which.append(chunk.first + np.concatenate([docs, none]))
-            for column, x, fill in zip(columns, values, [-1, *[0] * (3 + KEYS)], strict=True):
+            for column, x, fill in zip(columns, values, [-1, *[0] * (3 + n_keys)], strict=True):
                 column.append(np.concatenate([x, np.full(len(none), fill, np.int64)]))
         rows = pa.array(np.concatenate(which) if which else np.zeros(0, np.int64))
         flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns]
@@ -121,7 +163,7 @@ def _scan(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *flat], names=names)
 
     kinds = dict(slim.dtypes)
-    schema = f"id {kinds['id']}, body bigint, row bigint, line_no int, a bigint, b bigint, chars int, " + ", ".join(f"k{i} bigint" for i in range(KEYS))
+    schema = f"id {kinds['id']}, body bigint, row bigint, line_no int, a bigint, b bigint, chars int, " + ", ".join(f"k{i} bigint" for i in range(n_keys))
     return map_batches(slim, run, schema)
 
 
@@ -175,16 +217,67 @@ def _strings(texts: DataFrame) -> DataFrame:
     return map_batches(texts, run, "ord bigint, line string")
 
 
-def dropped_lines(documents: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def _keyed(texts: DataFrame, parts: int) -> DataFrame:
+    """(key, ord): the distinct keys of each line."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, ords = [], []
+        for chunk, found in _wanted(batch):
+            if not found:
+                continue
+            points = _Points(chunk)
+            o, starts, ends = np.array(found, np.int64).T
+            own = np.sort(np.stack(_part_keys(points, points.at(starts), points.at(ends), parts), axis=1), axis=1)
+            new = np.ones(own.shape, bool)
+            new[:, 1:] = own[:, 1:] != own[:, :-1]
+            keys.append(own[new])
+            ords.append(np.repeat(o, new.sum(axis=1)))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ords)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["key", "ord"])
+
+    return map_batches(texts, run, "key bigint, ord bigint")
+
+
+def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(ord) of the lines `going` (ord, first) that have an alike line before them, for two edits."""
+    texts = lambda ords: _texts_of(ords.join(going.select("ord", "first"), "ord"), documents, id_col, text_col)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.select("key", "ord").join(y.select(F.col("key").alias("k"), F.col("ord").alias("by")), (F.col("key") == F.col("k")) & (F.col("ord") > F.col("by"))).select("ord", "by")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct())
+        strings = _strings(texts(pairs.select("ord").unionAll(pairs.select("by")).distinct())).groupBy("ord").agg(F.min("line").alias("line"))
+        both = pairs.join(strings.withColumnRenamed("line", "x"), "ord").join(strings.select(F.col("ord").alias("by"), F.col("line").alias("y")), "by")
+        edits = F.levenshtein("x", "y", 2)
+        return materialise(both.where((edits >= 0) & (edits * min_chars <= F.least(F.length("x"), F.length("y")))).select("ord").distinct())
+
+    out, open_lines = None, going.select("ord")
+    for parts in PARTS:
+        rows = _keyed(texts(open_lines), parts).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        rows = materialise(rows.where("n > 1"))
+        few, many = rows.where(F.col("n") <= MAX_GROUP), rows.where(F.col("n") > MAX_GROUP)
+        found = verified(met(few, few))
+        out = found if out is None else out.unionAll(found)
+        open_lines = many.select("ord").distinct()
+        if not many.limit(1).count():
+            return out
+    found = verified(many.withColumn("by", F.min("ord").over(Window.partitionBy("key"))).where("ord > by").select("ord", "by"))
+    return out.unionAll(found).unionAll(verified(met(many.join(found, "ord", "left_anti"), many)))
+
+
+def dropped_lines(documents: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_chars: int, max_edits: int = 1) -> tuple[DataFrame, DataFrame]:
     """(distinct lines with their first occurrence, (a, b) of those that an earlier alike line replaces)."""
     place = F.struct(F.col("id").isNull().alias("z"), "id", "body", "row", "line_no")
-    keys = [f"k{i}" for i in range(KEYS)]
+    keys = [f"k{i}" for i in range(_n_keys(max_edits))]
     distinct = materialise(lines.where("line_no >= 0").groupBy("a", "b").agg(F.min(place).alias("first"), F.max("chars").alias("chars"), *(F.max(k).alias(k) for k in keys)))
     by_key = Window.partitionBy("key")
     shared = distinct.where(F.col("chars") >= min_chars).select("a", "b", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
     shared = shared.withColumn("low", F.min("a").over(by_key)).withColumn("high", F.max("a").over(by_key)).where("low != high").select("a", "b").distinct()
     # Numbers that rise with the order of first occurrences name the lines from here on.
     going = materialise(distinct.select("a", "b", "first").join(shared, ["a", "b"], "left_semi").orderBy("first").withColumn("ord", F.monotonically_increasing_id()))
+    if max_edits == 2:
+        return distinct, _alike_by_two(going, documents, id_col, text_col, min_chars).distinct().join(going.select("ord", "a", "b"), "ord").select("a", "b")
     hoods = _neighbourhood(_texts_of(going.select("first", "ord"), documents, id_col, text_col))
     v, vp = Window.partitionBy("v"), Window.partitionBy("v", "place")
     met = hoods.distinct().withColumn("low", F.min("ord").over(v)).withColumn("high", F.max("ord").over(v)).where("low != high")
@@ -200,12 +293,12 @@ def dropped_lines(documents: DataFrame, lines: DataFrame, id_col: str, text_col:
 
 def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 10) -> DataFrame:
     """One row per document row: the id, n_lines (with a word), n_kept, kept_lines (their numbers from 0) and body (hash of the text)."""
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
-    lines = materialise(_scan(documents, id_col, text_col))
+    if max_edits not in (0, 1, 2):
+        raise ValueError("max_edits is 0, 1 or 2")
+    lines = materialise(_scan(documents, id_col, text_col, max_edits))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "body", "row", "line_no")
     if max_edits:
-        distinct, dropped = dropped_lines(documents, lines, id_col, text_col, min_chars)
+        distinct, dropped = dropped_lines(documents, lines, id_col, text_col, min_chars, max_edits)
         first = distinct.select("a", "b", "first").join(dropped, ["a", "b"], "left_anti").select("first")
     else:
         first = lines.where("line_no >= 0").groupBy("a", "b").agg(F.min(place).alias("first")).select("first")

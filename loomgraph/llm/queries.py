@@ -85,8 +85,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that stay."""
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).drop("body")
+    """Lines of every document that stay: one edit from 5 code points on, two from 10 on."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), max_edits=2, min_chars=5).drop("body")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

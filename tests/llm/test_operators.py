@@ -486,6 +486,44 @@ def test_lines(spark, none):
         line_dedup.MAX_NEEDED = monkey
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("group", [32, 2])
+def test_lines_by_two_edits(spark, monkeypatch, group):
+    """Against brute force; small groups send lines to the finer keys and to the earliest line."""
+    rng = random.Random(9)
+    bases = ["The quick brown fox jumps over the låzy dog", "abcde", "short one", "twelve chars", "ab", " ".join(f"word{i}" for i in range(20))]
+
+    def edited():
+        line = rng.choice(bases)
+        for _ in range(rng.choice((0, 1, 2, 2, 3, 4))):
+            p = rng.randrange(len(line) + 1)
+            line = rng.choice((line[:p] + rng.choice("aZé") + line[p + 1 :], line[:p] + rng.choice("aé") + line[p:], line[:p] + line[p + 1 :]))
+        return line
+
+    rows = [(i, "\n".join(edited() for _ in range(rng.randint(1, 5)))) for i in range(70)] + [(90, None), (91, "")]
+    seen, want = [], {}
+    for i, text in rows:
+        lines, kept = [x for x in (text or "").split("\n") if WORD.search(x)], []
+        for n, line in enumerate((text or "").split("\n")):
+            if not WORD.search(line) or line in seen:
+                continue
+            if not any(abs(len(x) - len(line)) <= 2 and edit_distance(x, line) <= min(2, len(x) // 5, len(line) // 5) for x in seen):
+                kept.append(n)
+            seen.append(line)
+        want[i] = (len(lines), kept)
+    monkeypatch.setattr(line_dedup, "MAX_GROUP", group)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.kept_lines) for r in line_dedup.dedup(df, max_edits=2, min_chars=5).collect()} == want
+
+
 # 10. Decontamination
 
 
