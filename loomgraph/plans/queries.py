@@ -470,8 +470,17 @@ def section_listagg(spark, d):
 w AS (SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER b AS h1, max(CASE WHEN level = 2 THEN pos END) OVER b AS h2 FROM h WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT 'd' || doc_id || '_' || pos AS source_id, 'd' || doc_id || '_' || CASE WHEN level = 2 THEN h1 ELSE coalesce(h2, h1) END AS target_id FROM w WHERE level > 1""")
 def heading_parent_window(spark, d):
-    docs = table(spark, d, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 12)).alias("pos", "line"))
+    return _heading_parents(table(spark, d, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 12).alias("lines")))
+
+
+@query(SQL["heading_parent_window"].replace(" FROM l WHERE pos < 12)", " FROM l)"))
+def heading_parent_all_lines(spark, d):
+    """heading_parent_window over whole documents."""
+    return _heading_parents(table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")))
+
+
+def _heading_parents(docs):
+    lines = docs.select("doc_id", F.posexplode("lines").alias("pos", "line"))
     mark = F.when(F.col("pos") == 0, "# ").when(F.col("pos") % 3 == 1, "## ").otherwise("### ")
     made = F.concat(mark, F.lit("d"), F.col("doc_id").cast("string"), F.lit("_"), F.col("pos").cast("string"))
     files = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", made.alias("m")))), lambda x: x["m"]), "\n").alias("text")).select(F.col("doc_id").cast("string").alias("path"), "text")
