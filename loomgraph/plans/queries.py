@@ -252,11 +252,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY has_spec DESC, CASE
 dup AS (SELECT id, first_value(id) OVER (PARTITION BY key ORDER BY rank) AS "primary", key, description, ord FROM r)"""
 
 
-def _endpoints(spark, d):
+def _endpoints(spark, d, description="substr(html, 1, int(60 + page_id % 9))"):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
-    # A third digit fewer makes duplicates common enough to matter.
     return table(spark, d, "pages").select(
-        F.concat(F.lit("endpoint_"), "page_id").alias("id"), path.alias("path"), F.when(F.col("page_id") % 2 == 0, "get").otherwise("POST").alias("http_method"), (F.col("page_id") % 5 == 0).alias("has_spec"), F.col("page_id").alias("ord"), F.expr("substr(html, 1, int(60 + page_id % 9))").alias("description")
+        F.concat(F.lit("endpoint_"), "page_id").alias("id"), path.alias("path"), F.when(F.col("page_id") % 2 == 0, "get").otherwise("POST").alias("http_method"), (F.col("page_id") % 5 == 0).alias("has_spec"), F.col("page_id").alias("ord"), F.expr(description).alias("description")
     )
 
 
@@ -271,6 +270,13 @@ def endpoint_merge(spark, d):
     return merge.merge_endpoints(e, merge.duplicate_endpoints(e))
 
 
+@query(SQL["endpoint_merge"].replace("substr(html, 1, 60 + page_id % 9)", "html"))
+def endpoint_merge_html(spark, d):
+    """endpoint_merge with whole pages as descriptions."""
+    e = _endpoints(spark, d, "html")
+    return merge.merge_endpoints(e, merge.duplicate_endpoints(e))
+
+
 @query(f"""WITH {ENDPOINTS_SQL}, ed AS (SELECT 'endpoint_' || page_id AS source_id, 'endpoint_' || (page_id * 7) % (SELECT count(*) FROM pages) AS target_id FROM pages), m AS (SELECT id, "primary" AS p FROM dup WHERE id <> "primary"),
 x AS (SELECT coalesce(a.p, source_id) AS source_id, coalesce(b.p, target_id) AS target_id, a.p IS NOT NULL OR b.p IS NOT NULL AS moved FROM ed LEFT JOIN m a ON a.id = source_id LEFT JOIN m b ON b.id = target_id) SELECT source_id, target_id FROM x WHERE NOT (moved AND source_id = target_id)""")
 def endpoint_rewire(spark, d):
