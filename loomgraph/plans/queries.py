@@ -91,6 +91,12 @@ def bfs_neighbourhood(spark, d):
     return graph.neighbourhood(edges(spark, d, items=False), nodes(spark, d), "nation_3", 2, 80)
 
 
+@query(SQL["bfs_neighbourhood"].replace(FEW_EDGES_SQL, EDGES_SQL))
+def bfs_neighbourhood_items(spark, d):
+    """bfs_neighbourhood over the graph with the order lines."""
+    return graph.neighbourhood(edges(spark, d), nodes(spark, d), "nation_3", 2, 80)
+
+
 @query(f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, " + BFS.format(floor=0.95, root="part_7", depth=2, limit=1000))
 def bfs_confidence_floor(spark, d):
     return graph.neighbourhood(edges(spark, d), nodes(spark, d), "part_7", 2, 1000, 0.95)
@@ -128,8 +134,18 @@ SELECT (SELECT count(*) FROM k) AS total_nodes, (SELECT count(*) FROM k WHERE ty
 (SELECT count(*) FROM edges WHERE relationship IN ('TESTS', 'MAPS_TO', 'REFERENCES')) AS traversable_edge_count, 0::BIGINT AS missing_ids, (SELECT count(*) FROM lost) AS dangling,
 (SELECT list(id ORDER BY id) FROM (SELECT id FROM lost ORDER BY id LIMIT 5)) AS dangling_preview, ['dangling ends'] AS errors, ['no endpoint'] AS warnings, false AS is_valid""")
 def graph_validation_stats(spark, d):
+    return _validated(nodes(spark, d), edges(spark, d, items=False))
+
+
+@query(SQL["graph_validation_stats"].replace(FEW_EDGES_SQL, EDGES_SQL).replace("'MAPS_TO', 'REFERENCES')", "'MAPS_TO', 'REFERENCES', 'CALLS')"))
+def graph_validation_stats_items(spark, d):
+    """graph_validation_stats over the graph with the order lines."""
+    return _validated(nodes(spark, d), edges(spark, d))
+
+
+def _validated(n, e):
     kind = F.when(F.col("type") == "customer", "business_rule").when(F.col("type") == "order", "test_scenario").otherwise(F.col("type"))
-    return graph.validate(nodes(spark, d).where("type != 'region'").withColumn("type", kind), edges(spark, d, items=False))
+    return graph.validate(n.where("type != 'region'").withColumn("type", kind), e)
 
 
 @query(f"WITH {EDGES_SQL} SELECT source_id, target_id, relationship, ord, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY ord DESC, relationship DESC, confidence DESC) AS n FROM edges) WHERE n = 1")
@@ -169,6 +185,13 @@ def cascade_removal(spark, d):
     return graph.remove_nodes(n, edges(spark, d, items=False), n.where("type = 'supplier' and ord % 2 = 0"))[1].select("source_id", "target_id", "relationship")
 
 
+@query(SQL["cascade_removal"].replace(FEW_EDGES_SQL, EDGES_SQL))
+def cascade_removal_items(spark, d):
+    """cascade_removal over the graph with the order lines."""
+    n = nodes(spark, d)
+    return graph.remove_nodes(n, edges(spark, d), n.where("type = 'supplier' and ord % 2 = 0"))[1].select("source_id", "target_id", "relationship")
+
+
 # --- Similarity and search ------------------------------------------------------
 
 TFIDF = f"""
@@ -552,6 +575,16 @@ def byte_sizes(spark, d):
 @query(f"""WITH {FEW_EDGES_SQL}, t AS (SELECT relationship, split_part(source_id, '_', 1) AS src_type, split_part(target_id, '_', 1) AS tgt_type FROM edges), allowed(r, s, g) AS (VALUES ('TESTS', 'order', 'customer'), ('MAPS_TO', 'supplier', 'nation'))
 SELECT relationship, src_type, tgt_type, count(*) AS n FROM t WHERE relationship NOT IN (SELECT r FROM allowed) OR (relationship, src_type, tgt_type) IN (SELECT (r, s, g) FROM allowed) GROUP BY 1, 2, 3""")
 def type_gate(spark, d):
-    t = edges(spark, d, items=False).select("relationship", F.split_part("source_id", F.lit("_"), F.lit(1)).alias("src_type"), F.split_part("target_id", F.lit("_"), F.lit(1)).alias("tgt_type"))
+    return _gated(spark, edges(spark, d, items=False))
+
+
+@query(SQL["type_gate"].replace(FEW_EDGES_SQL, EDGES_SQL))
+def type_gate_items(spark, d):
+    """type_gate over the graph with the order lines."""
+    return _gated(spark, edges(spark, d))
+
+
+def _gated(spark, e):
+    t = e.select("relationship", F.split_part("source_id", F.lit("_"), F.lit(1)).alias("src_type"), F.split_part("target_id", F.lit("_"), F.lit(1)).alias("tgt_type"))
     policy = spark.createDataFrame([("TESTS", 0.75, "order", "customer"), ("MAPS_TO", 0.75, "supplier", "nation")], "relationship string, min_score double, src_type string, tgt_type string")
     return schema.type_allowed(t, policy).groupBy("relationship", "src_type", "tgt_type").agg(F.count("*").alias("n"))
