@@ -15,8 +15,8 @@ broadcast in blocks of bounded size, and a benchmark of several blocks takes
 one pass for each.
 
 Cases: a null or empty text on either side has no shingles and matches nothing;
-an item of fewer than `k` words is one shingle (its whole word sequence) and so
-matches only a document of exactly these words; equal items under several ids
+an item of fewer than `k` words is one shingle (its whole word sequence) and
+matches every document that holds these words in a row; equal items under several ids
 give a row for each; a repeated row gives its matches again; null ids are kept;
 empty tables give no rows; other columns are ignored by the search and passed
 through by the filter.
@@ -44,6 +44,8 @@ class Sketches:
     def __init__(self, ids: pa.Array, texts: pa.Array, k: int, percent: int):
         self.k, self.percent, self.sets, rows = k, percent, [], []
         sketch, owner = [], []
+        #: word counts of the items of fewer than k words
+        self.short: set[int] = set()
         with np.errstate(over="ignore"):
             for chunk in words.chunks(texts):
                 cuts, values = chunk.shingles(chunk.word_hashes(lower=True), k)
@@ -56,6 +58,8 @@ class Sketches:
                     sketch.append(own[:depth])  # sorted, so these are the smallest
                     owner.append(np.full(depth, len(self.sets)))
                     rows.append(chunk.first + i)
+                    if chunk.counts[i] < k:
+                        self.short.add(int(chunk.counts[i]))
                     self.sets.append(own)
         self.ids = ids.take(pa.array(rows, pa.int64()))
         self.values = np.concatenate(sketch) if sketch else np.zeros(0, np.uint64)
@@ -70,13 +74,9 @@ class Sketches:
         """(row, item, its shingles, shared) for each text and item that it contains."""
         for chunk in words.chunks(texts):
             hashes = chunk.word_hashes(lower=True)
-            at, values = chunk.windows(hashes, self.k)
+            # A short item is one window of its own length.
+            at, values = (np.concatenate(x) for x in zip(*(chunk.windows(hashes, n) for n in (self.k, *sorted(self.short))), strict=True))
             docs = np.searchsorted(chunk.cuts, at, side="right") - 1
-            short = np.flatnonzero((chunk.counts > 0) & (chunk.counts < self.k))
-            if len(short):
-                cuts, own = chunk.shingles(hashes, self.k)
-                docs = np.concatenate([docs, short])
-                values = np.concatenate([values, own[cuts[short]]])
             hits = np.flatnonzero(self.sieve[values >> np.uint64(44)])
             low = np.searchsorted(self.values, values[hits], side="left")
             high = np.searchsorted(self.values, values[hits], side="right")

@@ -547,3 +547,11 @@ def test_contamination(docs, rows, spark, none, monkeypatch):
     assert search() == want
     assert decontaminate.containment_search(none, bench).count() == 0 and decontaminate.containment_search(docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_short_items_are_found_in_long_documents(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two three Beta GAMMA four five six"), (3, "beta one two three four five gamma"), (4, "gamma"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "beta gamma"), (2, "Gamma"), (3, "two three four five")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.containment_search(docs, bench).collect()}
+    assert got == {(d, i, 1, 1, 1.0) for d, i in ((1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (4, 2), (3, 3))}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [5]
