@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.shared import free_name, materialise
 from loomgraph.plans.schema import TRAVERSABLE
 
-FALLBACK_CHECKPOINT_DIR = "/tmp/loomgraph-checkpoints"
-
-
 def written(df: DataFrame) -> DataFrame:
     """Rows written to the folder that all executors share, and read back: a cut of the lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, "graph")
 
 
 def find_nodes(nodes: DataFrame, query: str = "", kind: str | None = None) -> DataFrame:
