@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.shared import free_name, materialise, release, shared_dir, written_so_far  # noqa: F401  the operators' helpers
 from loomgraph.functions.shipping import ship
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_CHECKPOINT_DIR = "/tmp/loomgraph-checkpoints"
-
 #: One word: a run of characters outside blank, tab, LF, VT, FF and CR (a fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write rows to the shared folder as Parquet and read them back.
-
-    Cuts the lineage like checkpoint(), so values such as row numbers stay fixed
-    when a task is run again after a lost executor, and is columnar and compressed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.setdefault(id(spark), []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: dict[int, list[str]] = {}
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what materialise() has written for this session; results read from it must be saved first."""
-    jvm = spark.sparkContext._jvm
-    for path in _written.pop(id(spark), []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with this package on the workers and wrapping integer arithmetic."""
     ship(df.sparkSession)

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words
-from loomgraph.llm.common import map_arrow, map_batches, materialise
+from loomgraph.llm.common import free_name, map_arrow, map_batches, materialise
 from loomgraph.llm.components import components
 
 #: Numbers of shared prefix shingles to choose from.
@@ -319,10 +319,11 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The documents, all columns, with one row of each component (the least id) left; texts without words all stay."""
     docs, parts = survey(documents, id_col=id_col, text_col=text_col, k=k, percent=percent)
     rows = docs.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "body")).alias("r")).join(parts, "key", "left").groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("r").alias("r"))
-    chosen = rows.select(F.col("r.id").alias("__id"), F.col("r.body").alias("__body"))
+    c_id, c_body = free_name(documents, "c_id"), free_name(documents, "c_body")
+    chosen = rows.select(F.col("r.id").alias(c_id), F.col("r.body").alias(c_body))
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     body = F.xxhash64(text_col)
-    kept = documents.where(worded).join(chosen.hint("shuffle_hash"), (body == F.col("__body")) & documents[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    kept = documents.where(worded).join(chosen.hint("shuffle_hash"), (body == F.col(c_body)) & documents[id_col].eqNullSafe(F.col(c_id)), "left_semi")
     if docs.where("n > 0").groupBy("id", "body").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__body", body).dropDuplicates([id_col, "__body"]).drop("__body")
+        kept = kept.withColumn(c_body, body).dropDuplicates([id_col, c_body]).drop(c_body)
     return kept.unionAll(documents.where(~worded))

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words
-from loomgraph.llm.common import map_batches, materialise, repeated
+from loomgraph.llm.common import free_name, map_batches, materialise, repeated
 
 U = words.U
 #: Up to so many lines (some 60 bytes each) are broadcast to fetch their texts; beyond, they are joined by a shuffle.
@@ -314,8 +314,8 @@ def drop_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key = id_col
     if repeated(documents, id_col, text_col):
         # Rows that id and text do not tell apart are numbered in order, and written so that the numbers stay.
-        documents = materialise(documents.withColumn("__row", F.struct(F.col(id_col), F.monotonically_increasing_id().alias("n"))))
-        key = "__row"
+        key = free_name(documents, "row")
+        documents = materialise(documents.withColumn(key, F.struct(F.col(id_col), F.monotonically_increasing_id().alias("n"))))
     verdict = dedup(documents, id_col=key, text_col=text_col, **options).withColumnRenamed(key, "v_id")
     joined = documents.join(verdict, (F.xxhash64(documents[text_col]) == verdict["body"]) & documents[key].eqNullSafe(verdict["v_id"]))
     at = names.index(text_col)
@@ -336,4 +336,4 @@ def drop_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         columns[at] = pa.array(out, columns[at].type)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return map_batches(joined.select(*(documents[c] for c in names), verdict["kept_lines"]), strip, joined.select(*(documents[c] for c in names)).schema)
+    return map_batches(joined.select(*(documents[c] for c in names), verdict["kept_lines"].alias(free_name(documents, "kept_lines"))), strip, joined.select(*(documents[c] for c in names)).schema)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, materialise, repeated
+from loomgraph.llm.common import WORD, free_name, materialise, repeated
 
 #: Points of the schedule's circle, and the odd number next to 2**31 / golden ratio (fixed values of the sequence).
 CIRCLE, STEP = 1 << 31, 1327217885
@@ -119,11 +119,13 @@ def mixed_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     names = documents.columns
     if repeated(documents, id_col, text_col):
         # Rows that id and text do not tell apart are numbered, and written so that the numbers stay.
-        documents = materialise(documents.withColumn("__row", F.monotonically_increasing_id()))
-        taken = mix(documents, id_col="__row", text_col=text_col, **options).where("copies > 0").withColumnRenamed("__row", "t_id")
-        joined = documents.join(taken, documents["__row"] == taken["t_id"])
+        number = free_name(documents, "row")
+        documents = materialise(documents.withColumn(number, F.monotonically_increasing_id()))
+        taken = mix(documents, id_col=number, text_col=text_col, **options).where("copies > 0").withColumnRenamed(number, "t_id")
+        joined = documents.join(taken, documents[number] == taken["t_id"])
     else:
         taken = mix(documents, id_col=id_col, text_col=text_col, **options).where("copies > 0").withColumnRenamed(id_col, "t_id")
         body = F.xxhash64(F.coalesce(documents[text_col], F.lit("")))
         joined = documents.join(taken, (body == taken["body"]) & documents[id_col].eqNullSafe(taken["t_id"]))
-    return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), taken["copies"]))).select(*(documents[c] for c in names))
+    turn = F.explode(F.sequence(F.lit(1), taken["copies"])).alias(free_name(documents, "turn"))
+    return joined.select(*(documents[c] for c in names), turn).select(*(F.col(f"`{c}`") for c in names))

@@ -7,8 +7,8 @@ a host when more than `line_docs` distinct texts and more than `line_percent`
 per cent of the host's distinct texts hold it; on a small host more than
 `few_docs` suffice at more than `few_percent` per cent, and on a large one more
 than `many_docs` whatever their share (None switches either off).  Such lines
-are removed, and a document is depleted when more than `depleted_percent` per cent of its words
-went with them.  Documents that fail the base rules (fewer than `min_words`
+are removed, and a document is depleted when more than `depleted_percent` per
+cent of its words went with them or fewer than `min_words` words are left.  Documents that fail the base rules (fewer than `min_words`
 words, or more than `repeat_percent` per cent of the words inside repeated
 three-word windows) are rejected as well.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words
-from loomgraph.llm.common import map_batches, materialise
+from loomgraph.llm.common import free_name, map_batches, materialise
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -142,7 +142,8 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", host_col: str = "sour
     boiler = held.join(texts, held["host"].eqNullSafe(texts["host"])).where(common).select(held["host"].alias("b_host"), F.col("line").alias("b_line"))
     removed = lines.join(boiler, (F.col("line") == F.col("b_line")) & F.col("host").eqNullSafe(F.col("b_host"))).groupBy("row").agg(F.sum("taken").cast("bigint").alias("removed_words"), F.sort_array(F.collect_list("line")).alias("boilerplate"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    depleted = 100 * F.col("removed_words") > depleted_percent * F.col("n_words")
+    gone = F.col("removed_words")
+    depleted = (100 * gone > depleted_percent * F.col("n_words")) | ((gone > 0) & (F.col("n_words") - gone < min_words))
     return (
         rows.drop("line_hash", "line_words")
         .join(removed, "row", "left")
@@ -199,6 +200,6 @@ def apply_rules(documents: DataFrame, *, host_col: str = "source", text_col: str
             columns[at] = strip_lines(columns[at], flagged)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    flat = joined.select(*(documents[c] for c in names), F.coalesce(changed["v_lines"], F.array().cast("array<bigint>")).alias("__lines"))
+    flat = joined.select(*(documents[c] for c in names), F.coalesce(changed["v_lines"], F.array().cast("array<bigint>")).alias(free_name(documents, "lines")))
     out = map_batches(flat, strip, schema)
     return out.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType)) if chars_col in names else out

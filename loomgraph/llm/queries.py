@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, sharding, token_counts, urls
@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and verdict of every document, under the limits that the SQL states."""
-    scored = quality.score(table(spark, sf_dir, "documents"), few_docs=None, many_docs=None)
+    """Base counts and verdict of every document, under the operator's own limits."""
+    scored = quality.score(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
@@ -94,7 +94,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination)}
+def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 promises: rows, least, greatest and number of slots of every shard, and the bytes of all of them."""
+    placed = op3_sharding(spark, sf_dir)
+    slots = placed.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"), F.sum("size").alias("bytes"))
+    return slots.select("shard", "n_rows", "first_slot", "last_slot", "n_slots", F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"))  # 24 rows
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 works to: size, source size and target of every document."""
+    mixed = op7_source_mixing(spark, sf_dir)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, sharding_laws, mixing_targets
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -109,6 +127,15 @@ def _escaped(column: str) -> str:
     return out
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Letters beyond ASCII and single bytes that stand for them, since DuckDB's edit distance counts bytes.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
+_TERMS = f"list_filter(regexp_extract_all({{}}, '{licenses.TERM}'), lambda x: NOT list_contains([{', '.join(map(_quoted, licenses.STOP))}], x))"
+
 SQL = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -120,7 +147,8 @@ lw AS (SELECT doc_id, source, text, l, len(w) AS k, array_to_string(list_transfo
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lw GROUP BY doc_id),
 host AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
 held AS (SELECT source, norm, count(DISTINCT text) AS n FROM lw GROUP BY source, norm),
-boiler AS (SELECT held.source, norm FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source WHERE n > 50 AND n * 100 > host_docs * 2.0),
+boiler AS (SELECT held.source, norm FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source 
+  WHERE n > 50 AND n * 100 > host_docs * 2.0 OR n > 5 AND n * 100 > host_docs * 5.0 OR n > 10000),
 gone AS (SELECT doc_id, sum(k) AS removed_words FROM lw JOIN boiler ON lw.norm = boiler.norm AND lw.source IS NOT DISTINCT FROM boiler.source GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
@@ -128,7 +156,51 @@ s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lam
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > 50 * n_words AS kept, removed_words FROM s
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) 
+  AND NOT 100 * removed_words > 50 * n_words AND NOT (removed_words > 0 AND n_words - removed_words < 50) AS kept, removed_words FROM s
+""",
+    "op2_license_scans": rf"""
+WITH template(i, name, body) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}),
+tt AS (SELECT i, name, unnest({_TERMS.format("lower(body)")}) AS t FROM template),
+idf AS (SELECT t, ln(((SELECT count(*) FROM template) + 1) / (count(DISTINCT i) + 1)) + 1 AS idf FROM tt GROUP BY t),
+tw AS (SELECT i, name, t, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (t) GROUP BY i, name, t),
+tn AS (SELECT i, sqrt(sum(w * w)) AS norm FROM tw GROUP BY i),
+f AS (SELECT doc_id, lower(text) AS text, doc_id % 10 = 0 AS whole, concat_ws('/', source, lang, doc_id // 1000) AS dir, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' ELSE 'doc-' END || doc_id AS base FROM documents),
+u AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM f UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) FROM f UNION ALL SELECT doc_id, text FROM f WHERE whole)),
+ut AS (SELECT doc_id, unit, t, count(*) AS n FROM (SELECT doc_id, unit, unnest({_TERMS.format("unit")}) AS t FROM u) GROUP BY 1, 2, 3),
+uw AS (SELECT doc_id, unit, ut.t, n * coalesce(idf, ln((SELECT count(*) FROM template) + 1) + 1) AS w FROM ut LEFT JOIN idf ON ut.t = idf.t),
+un AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY 1, 2),
+dots AS (SELECT doc_id, unit, i, name, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (t) GROUP BY 1, 2, 3, 4),
+hit AS (SELECT doc_id, round(dot / (un.norm * tn.norm), 9) AS similarity, name AS own FROM dots JOIN un USING (doc_id, unit) JOIN tn USING (i)),
+own AS (SELECT doc_id, similarity, own FROM hit WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, own DESC) = 1),
+j AS (SELECT f.doc_id, dir, whole, dir || '/' || base AS path, similarity, own FROM f LEFT JOIN own USING (doc_id)),
+holder AS (SELECT dir AS h_dir, own AS h_own FROM j WHERE whole AND own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own DESC) = 1),
+near AS (SELECT dir, h_dir, h_own FROM (SELECT DISTINCT dir FROM j) JOIN holder ON h_dir = '' OR dir = h_dir OR starts_with(dir, h_dir || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(h_dir) DESC) = 1)
+SELECT doc_id, path, own, similarity, coalesce(own, h_own) AS licence, CASE WHEN own IS NOT NULL THEN 'own' WHEN h_own IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own IS NOT NULL THEN j.dir ELSE h_dir END AS origin_dir FROM j LEFT JOIN near ON j.dir = near.dir
+""",
+    "sharding_laws": """
+WITH t AS (SELECT count(*) AS n, sum(strlen(coalesce(text, '')) + 8)::BIGINT AS all_bytes FROM documents),
+s AS (SELECT unnest(range(24))::INT AS shard), r AS (SELECT shard, n // 24 + CASE WHEN shard < n % 24 THEN 1 ELSE 0 END AS n_rows, all_bytes FROM s, t)
+SELECT shard, n_rows, 0::BIGINT AS first_slot, n_rows - 1 AS last_slot, n_rows AS n_slots, all_bytes FROM r WHERE n_rows > 0
+""",
+    "mixing_targets": rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+z AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+-- A level is right when the sources that it does not fill to three times their size take up what the others leave.
+lv AS (SELECT a.source AS s, ((SELECT sum(source_size) FROM z) - coalesce(sum(3 * b.source_size) FILTER (WHERE 3 * b.source_size / b.w < 3 * a.source_size / a.w), 0)) / sum(b.w) FILTER (WHERE 3 * b.source_size / b.w >= 3 * a.source_size / a.w) AS level, any_value(3 * a.source_size / a.w) AS ratio FROM z a, z b GROUP BY a.source),
+x AS (SELECT max(level) FILTER (WHERE level <= ratio) AS level FROM lv)
+SELECT doc_id, size, source_size, round(least(3.0 * source_size, coalesce(level * w, 3.0 * source_size))::DOUBLE, 6) AS target FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source, x
+""",
+    "op9_line_dedup": rf"""
+WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, l, no::INT AS no FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+d AS (SELECT l, translate(l, '{_LETTERS}', {_BYTES}) AS t, length(l) AS n, row_number() OVER (ORDER BY min(struct_pack(d := doc_id, n := no))) AS ord, min(struct_pack(d := doc_id, n := no)) AS place FROM w GROUP BY l),
+k AS (SELECT ord, t, n, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM d WHERE n >= 5),
+gone AS (SELECT DISTINCT k.ord FROM k JOIN d ON d.n = k.m AND d.n >= 5 AND d.ord < k.ord AND abs(d.n - k.n) * 5 <= least(d.n, k.n) WHERE levenshtein(k.t, d.t) <= 2 AND levenshtein(k.t, d.t) * 5 <= least(d.n, k.n)),
+stay AS (SELECT place.d AS doc_id, list(place.n ORDER BY place.n) AS kept_lines FROM d WHERE ord NOT IN (SELECT ord FROM gone) GROUP BY place.d),
+c AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(len(kept_lines), 0)::BIGINT AS n_kept, coalesce(kept_lines, []) AS kept_lines FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN stay USING (doc_id)
 """,
     "op4_chat_formatting": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialise, repeated
+from loomgraph.llm.common import free_name, materialise, repeated
 
 #: Places on the ring (a power of two).
 CELLS = 1 << 16
@@ -133,9 +133,10 @@ def shard_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     names = [c for c in documents.columns if c not in ("size", "text_crc32", "shard", "slot")]
     if repeated(documents, id_col, text_col):
         # Rows that id and text do not tell apart are numbered, and written so that the numbers stay.
-        documents = materialise(documents.withColumn("__row", F.monotonically_increasing_id()))
-        placed = place(documents, id_col="__row", text_col=text_col, **options).withColumnRenamed("__row", "p_id")
-        joined = documents.join(placed, documents["__row"] == placed["p_id"])
+        number = free_name(documents, "row")
+        documents = materialise(documents.withColumn(number, F.monotonically_increasing_id()))
+        placed = place(documents, id_col=number, text_col=text_col, **options).withColumnRenamed(number, "p_id")
+        joined = documents.join(placed, documents[number] == placed["p_id"])
     else:
         placed = place(documents, id_col=id_col, text_col=text_col, **options).withColumnRenamed(id_col, "p_id")
         body = F.xxhash64(F.coalesce(documents[text_col], F.lit("")))

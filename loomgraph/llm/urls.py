@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import map_batches
+from loomgraph.llm.common import free_name, map_batches
 
 #: Rules that may be broadcast (some 200 bytes each).
 MAX_RULES = 500_000
@@ -127,7 +127,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", de
     """The pages, all columns, whose verdict is allow."""
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
     host, path = host_and_path(F.col(url_col))
-    wide = pages.select("*", host.alias("__host"), path.alias("__path"))
+    wide = pages.select("*", host.alias(free_name(pages, "u_host")), path.alias(free_name(pages, "u_path")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [trie.value.find(h, p) for h, p in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]

@@ -1,8 +1,10 @@
 """The operators against brute force, on small tables with every awkward row."""
 
 import hashlib
+import json
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -42,7 +44,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     # An extra column, and one whose name some output has too.
-    clash = {c: F.lit("x") for c in ("kept", "v_kept", "v_lines", "body", "n", "key", "component", "p_id", "t_id", "copies", "row", "rank", "id")}
+    clash = {c: F.lit("x") for c in ("kept", "v_kept", "v_lines", "body", "n", "key", "component", "p_id", "t_id", "copies", "row", "rank", "id", "__body", "__id", "__row", "__turn", "__lines", "c_id", "c_body", "turn", "lines", "kept_lines", "u_host")}
     return spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1)).withColumns(clash)
 
 
@@ -64,7 +66,8 @@ def test_query_equals_sql(spark, sf_dir, name):
 # 1. Quality rules
 
 
-def brute_quality(rows, line_docs):
+def brute_quality(rows, line_docs=None):
+    """With line_docs, a line goes above so many texts of the host; without, by the limits of production."""
     hosts, held = defaultdict(set), defaultdict(set)
     norm = lambda line: " ".join(WORD.findall(line.translate(LOWER)))
     for _, text, _, host, _ in rows:
@@ -72,6 +75,7 @@ def brute_quality(rows, line_docs):
         for line in (text or "").split("\n"):
             if norm(line):
                 held[host, norm(line)].add(text)
+    common = lambda n, size: n > line_docs if line_docs is not None else n > 50 and 100 * n > 2 * size or n > 5 and 100 * n > 5 * size or n > 10_000
     out = Counter()
     for doc, text, _, host, _ in rows:
         t = text or ""
@@ -80,9 +84,9 @@ def brute_quality(rows, line_docs):
         n = Counter(grams)
         repeated = len({i + j for i, g in enumerate(grams) if n[g] > 1 for j in range(3)})
         lines = [line for line in t.split("\n") if WORD.search(line)]
-        gone = sum(len(WORD.findall(line)) for line in lines if len(held[host, norm(line)]) > line_docs)
+        gone = sum(len(WORD.findall(line)) for line in lines if common(len(held[host, norm(line)]), len(hosts[host])))
         failed = len(w) < 50 or 100 * repeated > 50 * len(w)
-        out[doc, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated, gone, failed, not failed and not 100 * gone > 50 * len(w)] += 1
+        out[doc, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated, gone, failed, not failed and not 100 * gone > 50 * len(w) and not (gone and len(w) - gone < 50)] += 1
     return out
 
 
@@ -115,6 +119,19 @@ def test_quality_limits_follow_the_host(spark):
     assert not any("Subscribe" in r.text for r in quality.apply_rules(df).where("source = 'small'").collect())
 
 
+def test_registered_quality_removes_and_depletes(spark, tmp_path):
+    """Lines and documents that go under the limits of production; the query against its SQL on the same rows."""
+    own = lambda h, i, k: " ".join(f"{h}{i}w{j}" for j in range(k))
+    bar = "\n".join(" ".join(f"bar{b}x{j}" for j in range(20)) for b in range(3))
+    rows = [(i, f"{own('a', i, 100)}\n{bar}" if i < 8 else own("a", i, 60), "en", "small", 1) for i in range(40)]
+    rows += [(50, f"{own('d', 50, 45)}\n{bar}", "en", "small", 1), (51, f"{own('d', 51, 55)}\n{bar}", "en", "small", 1), (52, f"{own('d', 52, 70)}\n{bar}", "en", "small", 1)]
+    rows += [(100 + i, f"{own('b', i, 100)}\n{bar if i < 5 else ''}", "en", "other", 1) for i in range(30)] + [(200, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r.removed_words} == {*range(8), 50, 51, 52} and {i for i, r in got.items() if r.kept != (not r.base_failed)} == {50, 51}
+    assert differences(queries.op1_quality_rules(spark, str(tmp_path)), queries.SQL["op1_quality_rules"], str(tmp_path)) == ""
+
+
 # 2. License scans
 
 
@@ -174,6 +191,16 @@ def test_shards(docs, rows, none, law):
     assert sharding.place(none, shards=5).count() == 0
 
 
+def test_registered_shards_on_a_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op3_sharding(spark, sf_dir).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in got} == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows", None) for i, t in texts.items()}
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(24)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_ring_fill_equals_walking_key_by_key():
     rng = random.Random(2)
     for _ in range(20):
@@ -226,19 +253,100 @@ def test_columns_of_the_results_replace_those_of_the_documents(docs):
 # 4. Chat formatting
 
 
+def brute_turns(text):
+    """(turns or None, unknown paths) of a record, written apart from the operator."""
+    record = json.loads(text) if text is not None else None
+    if not isinstance(record, dict):
+        return None, []
+    ignored = {"id", "ids", "source", "dataset", "lang", "language", "type"}
+    keep = lambda d: {k: v for k, v in d.items() if k not in ignored}
+    string = lambda x: "" if x is None else x
+    fields = keep(record)
+    system = fields.pop("system", None)
+    has_system = "system" in record
+    said = [("system", system)] if system else []
+    keys = set(fields)
+
+    def flat():
+        paths = set()
+        for k, v in keep(record).items():
+            if isinstance(v, dict) and keep(v):
+                paths |= {f"{k}.{x}" for x in keep(v)}
+            elif isinstance(v, list):
+                paths.add(f"{k}[]")
+                for m in v:
+                    if not isinstance(m, dict):
+                        paths.add(f"{k}[].=")
+                        continue
+                    for x, y in keep(m).items():
+                        if isinstance(y, dict) and keep(y):
+                            paths |= {f"{k}[].{x}.{z}" for z in keep(y)}
+                        elif isinstance(y, list):
+                            paths.add(f"{k}[].{x}[]")
+                            for part in y:
+                                paths |= {f"{k}[].{x}[].{z}" for z in keep(part)} if isinstance(part, dict) else {f"{k}[].{x}[]="}
+                        else:
+                            paths.add(f"{k}[].{x}")
+            else:
+                paths.add(k)
+        named = {"role", "text", "content", "system", "instruction", "output", "input", "prompt", "completion", "response", "question", "answer", "messages[]", "messages[].role", "messages[].content", "messages[].content[]", "messages[].content[].text", "messages[].content[]=", "conversations[]", "conversations[].from", "conversations[].value"}
+        return sorted(paths - named)
+
+    refused = (None, flat())
+    plain = lambda *names: not any(isinstance(fields.get(n), (list, dict)) for n in names)
+    if keys in ({"role", "text"}, {"role", "content"}) and not has_system and plain("role", "text", "content"):
+        return [(string(fields["role"]), string(fields.get("text", fields.get("content"))))], []
+    for user, assistant in (("prompt", "completion"), ("prompt", "response"), ("question", "answer")):
+        if keys == {user, assistant} and plain(user, assistant):
+            return [*said, ("user", string(fields[user])), ("assistant", string(fields[assistant]))], []
+    if keys in ({"instruction", "output"}, {"instruction", "output", "input"}) and plain(*keys):
+        return [*said, ("user", string(fields["instruction"]) + ("\n" + fields["input"] if fields.get("input") else "")), ("assistant", string(fields["output"]))], []
+    turns = list(said)
+    if keys == {"messages"} and isinstance(fields["messages"], list):
+        for m in fields["messages"]:
+            m = keep(m) if isinstance(m, dict) else {}
+            parts = m.get("content")
+            if set(m) != {"role", "content"} or isinstance(m["role"], (list, dict)) or isinstance(parts, dict):
+                return refused
+            if isinstance(parts, list):
+                if any(isinstance(p, list) or isinstance(p, dict) and set(keep(p)) not in ({"text"}, set()) for p in parts):
+                    return refused
+                parts = "".join(string(p.get("text")) if isinstance(p, dict) else string(p) for p in parts)
+            turns.append((string(m["role"]), string(parts)))
+        return turns, []
+    if keys == {"conversations"} and isinstance(fields["conversations"], list):
+        for m in fields["conversations"]:
+            m = keep(m) if isinstance(m, dict) else {}
+            if set(m) != {"from", "value"} or not all(isinstance(x, (str, type(None))) for x in m.values()):
+                return refused
+            turns.append(({"human": "user", "gpt": "assistant"}.get(m["from"], string(m["from"])), string(m["value"])))
+        return turns, []
+    return refused
+
+
+RECORDS = [
+    '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":null}],"id":1}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}],"system":"s"}',
+    '{"instruction":"do","input":"it","output":"done"}', '{"instruction":"do","output":"done","system":""}', '{"prompt":"p","completion":"c"}', '{"question":"q","answer":"a"}', '{"question":"q","answer":"a","x":[1]}',
+    '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}',
+    '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":[{"text":"part one"},{"text":"two"}]},{"role":"user","content":["a",{"text":null}]},{"role":"user","content":[]}]}',
+    '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"","tool_calls":[{"name":"f"}]}],"tools":[]}', '{"messages":[{"role":"user","content":[{"type":"image","url":"u"}]}]}',
+    '{"prompt":"p","response":"r","history":[["a","b"]]}', '{"messages":[{"role":"user"},{"role":"user","content":"x"}]}', '{"messages":["plain"]}', '{"messages":[]}', '{"messages":[],"system":"s"}', '{"conversations":[]}', '{"messages":"text"}', '{"messages":{"role":"user"}}',
+    '{"role":"user","text":null}', '{"role":"user","content":"x"}', '{"role":"user","text":["x"]}', '{"prompt":{"a":"b"},"response":"c"}', '{"something":"else"}', "[]", "{}", "null", None, '{"instruction":null,"output":null,"input":""}',
+]
+
+
 def test_layouts(spark):
-    records = [
-        '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":null}],"id":1}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}],"system":"s"}',
-        '{"instruction":"do","input":"it","output":"done"}', '{"instruction":"do","output":"done"}', '{"prompt":"p","completion":"c"}', '{"question":"q","answer":"a","x":[1]}',
-        '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}', '{"role":"user","text":null}', '{"something":"else"}', '{"messages":[]}', "[]",
-    ]
-    df = spark.createDataFrame(list(enumerate(records)), "i int, j string")
-    got = {r.i: (r.layout, [tuple(t) for t in r.turns]) for r in chat.canonical(df, F.parse_json("j")).select("i", "layout", "turns").collect()}
-    assert got == {
-        0: ("messages", [("user", "a"), ("assistant", "")]), 1: ("from_value", [("system", "s"), ("user", "a"), ("assistant", "b")]), 2: ("instruction", [("user", "do\nit"), ("assistant", "done")]),
-        3: ("instruction", [("user", "do"), ("assistant", "done")]), 4: ("prompt_completion", [("user", "p"), ("assistant", "c")]), 5: ("question_answer", [("user", "q"), ("assistant", "a")]),
-        6: ("message_parts", [("user", "ab")]), 7: ("row_text", [("user", "")]), 8: (None, []), 9: (None, []), 10: (None, []),
-    }
+    rng = random.Random(8)
+    contents = ["a", None, "", [], ["x"], [{"text": "p"}], [{"type": "text", "text": "q"}, "r"], [{"image": "i"}], {"k": "v"}]
+    records = list(RECORDS)
+    for _ in range(60):
+        messages = [{"role": rng.choice(["user", "assistant", None]), "content": rng.choice(contents[: rng.choice((3, 7, 9))])} | ({"name": "n"} if rng.random() < 0.05 else {}) | ({"id": 7} if rng.random() < 0.2 else {}) for _ in range(rng.randint(0, 4))]
+        records.append(json.dumps({"messages": messages} | ({"system": "be kind"} if rng.random() < 0.3 else {})))
+    df = spark.createDataFrame(list(enumerate(records)), "i int, j string").withColumns({c: F.lit(1) for c in ("record", "schema_paths", "layout", "turns")})
+    got = {r.i: ([tuple(t) for t in r.turns] if r.layout else None, r.unknown_paths) for r in chat.canonical(df, F.parse_json("j")).collect()}
+    assert {i: got[i] for i in got} == {i: brute_turns(t) for i, t in enumerate(records)}
+    assert got[8][0] == [("user", "hi"), ("assistant", "part onetwo"), ("user", "a"), ("user", "")] and got[9] == (None, ["messages[].tool_calls[]", "messages[].tool_calls[].name", "tools[]"]) and got[14][0] == []
+    assert chat.canonical(df.limit(0), F.parse_json("j")).count() == 0
 
 
 def test_chat_round_trip(spark):
@@ -280,6 +388,16 @@ def test_token_histogram(docs, rows, none):
     assert token_counts.histogram(token_counts.encoded_lengths(none)).count() == 0
 
 
+def test_registered_token_counts_on_a_table(spark, sf_dir):
+    with open(token_counts.VOCABULARY, "rb") as file:
+        encode = token_counts.encoder(file.read()).encode_ordinary
+    lengths = [len(encode(r.text or "")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    got = queries.op5_token_counts(spark, sf_dir).collect()
+    assert {r.n_tokens: (r.n_docs, r.docs_longer, r.truncated_tokens, r.tokens_fitting) for r in got} == {
+        n: (k, sum(x > n for x in lengths), sum(min(x, n) for x in lengths), sum(x for x in lengths if x <= n)) for n, k in Counter(lengths).items()
+    }
+
+
 # 6. N-gram Jaccard join
 
 
@@ -396,11 +514,38 @@ def test_mix_schedule_is_even(spark):
 
 
 def test_mixed_documents(docs, rows):
+    """Copies of documents bring every source within one document of its target."""
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     counts = Counter((r.doc_id, r.text) for r in out.collect())
     have = Counter((i, t) for i, t, *_ in rows)
     assert all(n <= 3 * have[k] for k, n in counts.items())
+    targets_are_met(rows, [(r.source, r.text) for r in out.collect()])
+
+
+def targets_are_met(rows, mixed):
+    sizes, longest, got = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, t, _, s, *_ in rows:
+        n = len(WORD.findall(t or ""))
+        sizes[s] += n
+        longest[s] = max(longest[s], n)
+    for s, t in mixed:
+        got[s] += len(WORD.findall(t or ""))
+    want = water(sizes)
+    assert all(abs(got[s] - want[s]) <= longest[s] + 0.01 * want[s] + 20 for s in sizes), (dict(got), want)
+
+
+def test_registered_mix_on_a_table(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    sizes, source, taken = defaultdict(int), {}, defaultdict(int)
+    for i, t, _, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+        source[i] = s
+    want = water(sizes)
+    for r in queries.op7_source_mixing(spark, sf_dir).collect():
+        assert r.target == pytest.approx(want[source[r.doc_id]]) and 0 <= r.taken <= 3 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 20 for s in sizes)
 
 
 # 8. URL filters
