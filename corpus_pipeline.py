@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontaminate, jaccard, mixing, quality, sharding
-from loomgraph.llm.common import release, shared_dir
+from loomgraph.llm.common import release, shared_dir, written_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
+        before = written_so_far(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{n}")
         docs = spark.read.parquet(f"{at}/{n}")
-        release(spark)  # what the stage has written for itself
+        release(spark, before)  # what the stage has written for itself
     return docs
