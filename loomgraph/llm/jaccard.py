@@ -56,6 +56,8 @@ ROW_COST, CHANCE = 20.0, 0.2
 RUN, LOCAL = 1 << 21, 4
 #: Bound of the broadcast frequency table (16 bytes each).
 MAX_RANKED = 200_000
+#: Rows of a posting list that meet in one group before its classes are known; frequent shingles are dealt to several.
+PART = 512
 #: Rows of a posting list in one block.
 BLOCK = 1024
 #: Lists from this size on meet hubs first: how many in a round, how many of them a class tries, rounds at most.
@@ -128,8 +130,8 @@ class Order:
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self.hashes >> np.uint64(42)] = True
 
-    def prefix(self, own: np.ndarray) -> tuple[np.ndarray, int]:
-        """(prefix shingles in order, the number of matches asked for)."""
+    def prefix(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(prefix shingles in order, how often each was counted, the number of matches asked for)."""
         n = len(own)
         needed = -(-self.percent * n // 100)
         free = n - needed
@@ -142,7 +144,7 @@ class Order:
         rare = own[seen == 0]
         if len(rare) >= longest:
             ordered = rare[:longest]
-            cost = most_seen = np.zeros(longest)
+            counts = cost = most_seen = np.zeros(longest)
         else:
             often = np.flatnonzero(seen)
             often = often[np.lexsort((own[often], seen[often]))]
@@ -158,7 +160,7 @@ class Order:
             total = ROW_COST * length + postings + n * (CHANCE * length / l + most)
             if total < least:
                 best, least = l, total
-        return ordered[: free + best], best
+        return ordered[: free + best], counts[: free + best], best
 
 
 #: An index row's set size, place in the prefix and number of matches, packed.
@@ -185,7 +187,7 @@ def _index(documents: DataFrame, id_col: str, text_col: str, k: int, order) -> D
         seen: OrderedDict[int, None] = OrderedDict()
         ranks = order.value
         for batch in batches:
-            tokens, keys, infos = [], [], []
+            tokens, keys, infos, parts = [], [], [], []
             for _, own in _sets(batch.column(0), k):
                 if not len(own):
                     continue
@@ -196,14 +198,17 @@ def _index(documents: DataFrame, id_col: str, text_col: str, k: int, order) -> D
                 seen[key] = None
                 if len(seen) > SEEN:
                     seen.popitem(last=False)
-                prefix, l = ranks.prefix(own)
+                prefix, seen_times, l = ranks.prefix(own)
                 tokens.append(prefix)
                 keys.append(np.full(len(prefix), key, np.int64))
                 infos.append(_pack(len(own), np.arange(len(prefix), dtype=np.int64), l))
+                n_parts = (seen_times / PART).astype(np.int64) + 1
+                parts.append(np.where(n_parts > 1, 1 + key % n_parts, 0))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(infos))], names=["token", "key", "info"])
+                flat = [np.concatenate(x) for x in (tokens, keys, infos, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *(pa.array(x) for x in flat[1:])], names=["token", "key", "info", "part"])
 
-    return map_arrow(slim, run, "token bigint, key bigint, info bigint")
+    return map_arrow(slim, run, "token bigint, key bigint, info bigint, part bigint")
 
 
 def _fits(x: Column, y: Column, percent: int) -> Column:
@@ -255,11 +260,16 @@ def _worth_hubs(rows: DataFrame) -> bool:
     return bool(n) and across > 2 * n
 
 
+def _with_list(rows: DataFrame, *of_list: Column) -> DataFrame:
+    """The rows with aggregates of their token's list, which combine before their shuffle; the join on a hot token is left to adaptive splitting."""
+    lists = rows.groupBy("token").agg(*of_list).withColumnRenamed("token", "t")
+    return rows.join(lists, F.col("token") == F.col("t")).drop("t")
+
+
 def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each class with the hubs, out of its lists', that it shares most lists with, if they are not connected yet."""
-    token = Window.partitionBy("token")
-    hubs = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + h), "key").alias("z"), "key", "info", "label")).over(token) for h in range(HUBS)]
-    met = rows.withColumn("hubs", F.array(*hubs)).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + h), "key").alias("z"), "key", "info", "label")) for h in range(HUBS)]
+    met = _with_list(rows, F.array(*hubs).alias("hubs")).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
     met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
     # Lists have different hubs, so a part of the matches asked for is enough here; a wrong guess costs one verification.
     counted = met.groupBy("key", "a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).where(F.col("shared") * 4 >= F.col("l"))
@@ -275,14 +285,18 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = documents.sparkSession.sparkContext.broadcast(Order(often.column("key").to_numpy().view(np.uint64), often.column("c").to_numpy(), percent))
     classes = docs.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "body")).alias("r")).select("key", "r.id", "r.body")
 
-    token = Window.partitionBy("token")
+    # Most shingles are in one class only and go here; rows of frequent ones stay, dealt to several groups.
+    few = Window.partitionBy("token", "part")
     index = _index(documents, id_col, text_col, k, order)
-    shared = index.withColumn("low", F.min("key").over(token)).withColumn("high", F.max("key").over(token)).where("low != high").select("token", "key", "info").distinct()
-    shared = shared.withColumn("asked", F.least(_matches(F.col("info")), F.min(_matches(F.col("info"))).over(token)))
+    shared = index.withColumn("low", F.min("key").over(few)).withColumn("high", F.max("key").over(few)).where("part > 0 OR low != high").select("token", "part", "key", "info").distinct()
+    shared = materialise(shared.select("token", "key", "info"))
+    least = F.min(_matches(F.col("info"))).alias("least")
+    shared = _with_list(shared, F.min("key").alias("low"), F.max("key").alias("high"), least).where("low != high").withColumn("asked", F.col("least"))
     # No pair of a class asks for fewer matches than the least of its lists does; a class with fewer shared shingles has no pair.
     own = Window.partitionBy("key")
     shared = shared.withColumn("held", F.count("*").over(own)).withColumn("asked", F.min("asked").over(own)).where("held >= asked").select("token", "key", "info")
-    shared = materialise(shared.withColumn("size", F.count("*").over(token)).where("size > 1"))
+    shared = materialise(shared)
+    shared = materialise(_with_list(shared, F.count("*").alias("size")).where("size > 1"))
 
     verify = lambda pairs: _verify(pairs, classes, documents, id_col, text_col, k, percent)
     found = stars = None

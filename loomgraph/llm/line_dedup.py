@@ -42,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words
@@ -238,6 +238,15 @@ def _keyed(texts: DataFrame, parts: int) -> DataFrame:
     return map_batches(texts, run, "key bigint, ord bigint")
 
 
+def _with_group(rows: DataFrame, keys: list[str], *of_group: Column) -> DataFrame:
+    """The rows with aggregates over their keys, which combine before their shuffle; the join on a hot key is left to adaptive splitting."""
+    groups = rows.groupBy(*(F.col(k).alias(f"g_{k}") for k in keys)).agg(*of_group)
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"g_{k}"))
+    return rows.join(groups, same).drop(*(f"g_{k}" for k in keys))
+
+
 def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(ord) of the lines `going` (ord, first) that have an alike line before them, for two edits."""
     texts = lambda ords: _texts_of(ords.join(going.select("ord", "first"), "ord"), documents, id_col, text_col)
@@ -254,15 +263,15 @@ def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col:
 
     out, open_lines = None, going.select("ord")
     for parts in PARTS:
-        rows = _keyed(texts(open_lines), parts).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-        rows = materialise(rows.where("n > 1"))
+        keyed = materialise(_keyed(texts(open_lines), parts))
+        rows = materialise(_with_group(keyed, ["key"], F.count("*").alias("n")).where("n > 1"))
         few, many = rows.where(F.col("n") <= MAX_GROUP), rows.where(F.col("n") > MAX_GROUP)
         found = verified(met(few, few))
         out = found if out is None else out.unionAll(found)
         open_lines = many.select("ord").distinct()
         if not many.limit(1).count():
             return out
-    found = verified(many.withColumn("by", F.min("ord").over(Window.partitionBy("key"))).where("ord > by").select("ord", "by"))
+    found = verified(_with_group(many, ["key"], F.min("ord").alias("by")).where("ord > by").select("ord", "by"))
     return out.unionAll(found).unionAll(verified(met(many.join(found, "ord", "left_anti"), many)))
 
 
@@ -271,17 +280,17 @@ def dropped_lines(documents: DataFrame, lines: DataFrame, id_col: str, text_col:
     place = F.struct(F.col("id").isNull().alias("z"), "id", "body", "row", "line_no")
     keys = [f"k{i}" for i in range(_n_keys(max_edits))]
     distinct = materialise(lines.where("line_no >= 0").groupBy("a", "b").agg(F.min(place).alias("first"), F.max("chars").alias("chars"), *(F.max(k).alias(k) for k in keys)))
-    by_key = Window.partitionBy("key")
     shared = distinct.where(F.col("chars") >= min_chars).select("a", "b", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    shared = shared.withColumn("low", F.min("a").over(by_key)).withColumn("high", F.max("a").over(by_key)).where("low != high").select("a", "b").distinct()
+    shared = _with_group(shared, ["key"], F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("a", "b").distinct()
     # Numbers that rise with the order of first occurrences name the lines from here on.
     going = materialise(distinct.select("a", "b", "first").join(shared, ["a", "b"], "left_semi").orderBy("first").withColumn("ord", F.monotonically_increasing_id()))
     if max_edits == 2:
         return distinct, _alike_by_two(going, documents, id_col, text_col, min_chars).distinct().join(going.select("ord", "a", "b"), "ord").select("a", "b")
     hoods = _neighbourhood(_texts_of(going.select("first", "ord"), documents, id_col, text_col))
-    v, vp = Window.partitionBy("v"), Window.partitionBy("v", "place")
-    met = hoods.distinct().withColumn("low", F.min("ord").over(v)).withColumn("high", F.max("ord").over(v)).where("low != high")
-    met = materialise(met.withColumn("peer", F.min("ord").over(vp)).withColumn("whole", F.min(F.when(F.col("place") < 0, F.col("ord"))).over(v)).withColumn("longer", F.min(F.when(F.col("place") >= 0, F.col("ord"))).over(v)))
+    hoods = materialise(hoods.distinct())
+    of_v = F.min("ord").alias("low"), F.max("ord").alias("high"), F.min(F.when(F.col("place") < 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("ord"))).alias("longer")
+    met = materialise(_with_group(hoods, ["v"], *of_v).where("low != high"))
+    met = materialise(_with_group(met, ["v", "place"], F.min("ord").alias("peer")))
     pairs = met.where((F.col("place") >= 0) & (F.col("ord") > F.col("peer"))).select("ord", F.col("peer").alias("by"))
     pairs = pairs.unionAll(met.where((F.col("place") >= 0) & (F.col("ord") > F.col("whole"))).select("ord", "whole"))
     pairs = materialise(pairs.unionAll(met.where((F.col("place") < 0) & (F.col("ord") > F.col("longer"))).select("ord", "longer")).distinct())

@@ -446,6 +446,7 @@ def test_near_duplicates(docs, rows, spark, none, k, percent):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "PART", 1)
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
     monkeypatch.setattr(jaccard, "MAX_NEEDED", 0)
     near = family(60, 6)
