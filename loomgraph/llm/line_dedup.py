@@ -26,7 +26,9 @@ lies before, between and behind them is as it was, the middle moved by at most
 one point, and makes a key with the lesser length of the pair.  Three parts
 sieve the lines.  Those that go on meet by their keys of 6 parts; lines of a key
 that more than MAX_GROUP share meet by 24 parts instead, where all but a twelfth
-of a line is equal.  Pairs of a key are verified by edit distance; in a large
+of a line is equal.  Pairs of a key whose parities allow two edits (which code
+points and pairs of them a line holds an odd number of times; an edit changes
+few) are verified by edit distance; in a large
 group of the last keys the earliest line comes first, and only lines that it
 does not decide are compared with the others.
 
@@ -42,7 +44,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words
@@ -73,7 +75,17 @@ class _Points:
         self.begin = np.append(np.flatnonzero((chunk.data & 0xC0) != 0x80), len(chunk.data))
         raw = words._rolling(words._TABLE[chunk.data])
         # Each code point as one value, then running sums of values times powers.
-        self.acc = words._rolling(words._spans(raw, self.begin[:-1], self.begin[1:]))
+        self.values = words._spans(raw, self.begin[:-1], self.begin[1:])
+        self.acc = words._rolling(self.values)
+
+    def parities(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each span, 32 bits of code points and 32 of adjacent pairs that are there an odd number of times."""
+        one = self.values
+        pair = words.mix(one[:-1] * U(0x9E3779B97F4A7C15) + one[1:])
+        bits = lambda x, shift: U(1) << ((x & U(31)) + U(shift))
+        run = lambda x: np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(x)])
+        ones, pairs = run(bits(one, 32)), run(bits(pair, 0))
+        return ones[ends] ^ ones[starts] ^ pairs[np.maximum(ends - 1, starts)] ^ pairs[starts]
 
     def at(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, places)
@@ -218,24 +230,26 @@ def _strings(texts: DataFrame) -> DataFrame:
 
 
 def _keyed(texts: DataFrame, parts: int) -> DataFrame:
-    """(key, ord): the distinct keys of each line."""
+    """(key, ord, parity): the distinct keys of each line."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, ords = [], []
+        keys, ords, parities = [], [], []
         for chunk, found in _wanted(batch):
             if not found:
                 continue
             points = _Points(chunk)
             o, starts, ends = np.array(found, np.int64).T
-            own = np.sort(np.stack(_part_keys(points, points.at(starts), points.at(ends), parts), axis=1), axis=1)
+            first, last = points.at(starts), points.at(ends)
+            own = np.sort(np.stack(_part_keys(points, first, last, parts), axis=1), axis=1)
             new = np.ones(own.shape, bool)
             new[:, 1:] = own[:, 1:] != own[:, :-1]
             keys.append(own[new])
             ords.append(np.repeat(o, new.sum(axis=1)))
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ords)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["key", "ord"])
+            parities.append(np.repeat(points.parities(first, last).view(np.int64), new.sum(axis=1)))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ords, parities)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["key", "ord", "parity"])
 
-    return map_batches(texts, run, "key bigint, ord bigint")
+    return map_batches(texts, run, "key bigint, ord bigint, parity bigint")
 
 
 def _with_group(rows: DataFrame, keys: list[str], *of_group: Column) -> DataFrame:
@@ -247,12 +261,19 @@ def _with_group(rows: DataFrame, keys: list[str], *of_group: Column) -> DataFram
     return rows.join(groups, same).drop(*(f"g_{k}" for k in keys))
 
 
+def _near(x: Column, y: Column) -> Column:
+    """Whether the parities of two lines allow two edits: an edit changes two code points' counts and four pairs' at most."""
+    apart = x.bitwiseXOR(y)
+    return (F.bit_count(F.shiftrightunsigned(apart, 32)) <= 4) & (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 8)
+
+
 def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(ord) of the lines `going` (ord, first) that have an alike line before them, for two edits."""
     texts = lambda ords: _texts_of(ords.join(going.select("ord", "first"), "ord"), documents, id_col, text_col)
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.select("key", "ord").join(y.select(F.col("key").alias("k"), F.col("ord").alias("by")), (F.col("key") == F.col("k")) & (F.col("ord") > F.col("by"))).select("ord", "by")
+        there = y.select(F.col("key").alias("k"), F.col("ord").alias("by"), F.col("parity").alias("other"))
+        return x.select("key", "ord", "parity").join(there, (F.col("key") == F.col("k")) & (F.col("ord") > F.col("by")) & _near(F.col("parity"), F.col("other"))).select("ord", "by")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.distinct())
@@ -263,15 +284,16 @@ def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col:
 
     out, open_lines = None, going.select("ord")
     for parts in PARTS:
-        keyed = materialise(_keyed(texts(open_lines), parts))
-        rows = materialise(_with_group(keyed, ["key"], F.count("*").alias("n")).where("n > 1"))
+        by_key = Window.partitionBy("key")
+        rows = _keyed(texts(open_lines), parts).withColumn("n", F.count("*").over(by_key)).withColumn("least", F.min(F.struct("ord", "parity")).over(by_key))
+        rows = materialise(rows.where("n > 1"))
         few, many = rows.where(F.col("n") <= MAX_GROUP), rows.where(F.col("n") > MAX_GROUP)
         found = verified(met(few, few))
         out = found if out is None else out.unionAll(found)
         open_lines = many.select("ord").distinct()
         if not many.limit(1).count():
             return out
-    found = verified(_with_group(many, ["key"], F.min("ord").alias("by")).where("ord > by").select("ord", "by"))
+    found = verified(many.where(F.col("ord") > F.col("least.ord")).where(_near(F.col("parity"), F.col("least.parity"))).select("ord", F.col("least.ord").alias("by")))
     return out.unionAll(found).unionAll(verified(met(many.join(found, "ord", "left_anti"), many)))
 
 
@@ -280,10 +302,11 @@ def dropped_lines(documents: DataFrame, lines: DataFrame, id_col: str, text_col:
     place = F.struct(F.col("id").isNull().alias("z"), "id", "body", "row", "line_no")
     keys = [f"k{i}" for i in range(_n_keys(max_edits))]
     distinct = materialise(lines.where("line_no >= 0").groupBy("a", "b").agg(F.min(place).alias("first"), F.max("chars").alias("chars"), *(F.max(k).alias(k) for k in keys)))
-    shared = distinct.where(F.col("chars") >= min_chars).select("a", "b", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    shared = _with_group(shared, ["key"], F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("a", "b").distinct()
+    by_key = Window.partitionBy("key")
+    shared = distinct.where(F.col("chars") >= min_chars).select("a", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    shared = shared.withColumn("low", F.min("a").over(by_key)).withColumn("high", F.max("a").over(by_key)).where("low != high").select("a").distinct()
     # Numbers that rise with the order of first occurrences name the lines from here on.
-    going = materialise(distinct.select("a", "b", "first").join(shared, ["a", "b"], "left_semi").orderBy("first").withColumn("ord", F.monotonically_increasing_id()))
+    going = materialise(distinct.select("a", "b", "first").join(shared, "a", "left_semi").orderBy("first").withColumn("ord", F.monotonically_increasing_id()))
     if max_edits == 2:
         return distinct, _alike_by_two(going, documents, id_col, text_col, min_chars).distinct().join(going.select("ord", "a", "b"), "ord").select("a", "b")
     hoods = _neighbourhood(_texts_of(going.select("first", "ord"), documents, id_col, text_col))
