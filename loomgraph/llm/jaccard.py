@@ -8,7 +8,10 @@ its own l out of MATCHES from an estimate of what its prefix will cost: index ro
 postings of the longer prefix against candidates, which are fewer for more
 matches where rare shingles meet by chance, but not where frequent ones come
 together in a family of near copies.  A pair is a candidate when it shares min(l, l') of
-these prefix shingles, and is then verified on whole sets.
+these prefix shingles, and is then verified on whole sets.  Before that, sets
+are compared by their parities: PARITY bits, of which each shingle turns one
+over.  Two sets differ in as many shingles as bits at least, and at the
+threshold they may differ in x+y-2*o; pairs further apart go without loss.
 
 Work that grows with the square of a group is avoided without losing a link:
 
@@ -78,6 +81,17 @@ def _key(own: np.ndarray) -> int:
     return int(words.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+#: Bits of a set's parity, in words of 64.
+PARITY = 256
+PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Which of PARITY bits an odd number of the set's shingles falls on, as words of 64 bits."""
+    one, word = np.uint64(1) << (own & np.uint64(63)), (own >> np.uint64(6)) % np.uint64(len(PARITIES))
+    return np.array([np.bitwise_xor.reduce(one[word == w]) if len(own) else 0 for w in range(len(PARITIES))], np.uint64).view(np.int64)
+
+
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for chunk in words.chunks(texts):
         cuts, values = chunk.shingles(chunk.word_hashes(lower=True), k)
@@ -86,7 +100,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _survey(documents: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """kind 0: a document's id, body, key and set size n; kind 1: a shingle (key) that a run saw n times."""
+    """kind 0: a document's id, body, key, set size n and parity; kind 1: a shingle (key) that a run saw n times."""
     slim = _texts(documents, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,26 +113,28 @@ def _survey(documents: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
             often = counts >= LOCAL
             values, counts = values[often].view(np.int64), counts[often]
             none = pa.nulls(len(values))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int8)), none.cast(kind), none.cast(pa.int64()), pa.array(values), pa.array(counts.astype(np.int64))], names=names)
+            empty = [none.cast(pa.int64())] * len(PARITIES)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int8)), none.cast(kind), none.cast(pa.int64()), pa.array(values), pa.array(counts.astype(np.int64)), *empty], names=names)
 
-        names = ["kind", "id", "body", "key", "n"]
+        names = ["kind", "id", "body", "key", "n", *PARITIES]
         for batch in batches:
             kind = batch.column(0).type
-            keys, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            keys, sizes, parities = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((len(PARITIES), batch.num_rows), np.int64)
             for row, own in _sets(batch.column(2), k):
                 sizes[row] = len(own)
                 if len(own):
                     keys[row] = _key(own)
+                    parities[:, row] = _parity(own)
                     held.append(own)
                     size += len(own)
                 if size >= RUN:
                     yield report()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes), *map(pa.array, parities)], names=names)
         if size:
             yield report()
 
-    return map_arrow(slim, run, f"kind tinyint, id {slim.dtypes[0][1]}, body bigint, key bigint, n bigint")
+    return map_arrow(slim, run, f"kind tinyint, id {slim.dtypes[0][1]}, body bigint, key bigint, n bigint, " + ", ".join(f"{p} bigint" for p in PARITIES))
 
 
 class Order:
@@ -211,12 +227,13 @@ def _index(documents: DataFrame, id_col: str, text_col: str, k: int, order) -> D
     return map_arrow(slim, run, "token bigint, key bigint, info bigint, part bigint")
 
 
-def _fits(x: Column, y: Column, percent: int) -> Column:
-    """Whether the shingle at these places counts for the pair: sizes near enough, both within the prefixes."""
+def _fits(x: Column, y: Column, p: Column, q: Column, percent: int) -> Column:
+    """Whether the shingle at these places counts for the pair: sizes and parities near enough, both within the prefixes."""
     nx, ny = _size(x), _size(y)
     overlap = F.ceil((nx + ny) * percent / F.lit(100 + percent) - 1e-9)
     l = F.least(_matches(x), _matches(y))
-    return (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent) & (_place(x) < nx - overlap + l) & (_place(y) < ny - overlap + l)
+    apart = sum((F.bit_count(p[c].bitwiseXOR(q[c])) for c in PARITIES), F.lit(0))
+    return (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent) & (_place(x) < nx - overlap + l) & (_place(y) < ny - overlap + l) & (apart <= nx + ny - 2 * overlap)
 
 
 def _candidates(pairs: DataFrame) -> DataFrame:
@@ -246,7 +263,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
 
 def _labelled(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
     """Index rows with the component that is known of their key."""
-    rows = rows.select("token", "key", "info")
+    rows = rows.select("token", "key", "info", "parity")
     if stars is None:
         return rows.withColumn("label", F.col("key"))
     return rows.join(stars.select(F.col("a").alias("key"), F.col("b").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -268,9 +285,9 @@ def _with_list(rows: DataFrame, *of_list: Column) -> DataFrame:
 
 def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each class with the hubs, out of its lists', that it shares most lists with, if they are not connected yet."""
-    hubs = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + h), "key").alias("z"), "key", "info", "label")) for h in range(HUBS)]
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + h), "key").alias("z"), "key", "info", "label", "parity")) for h in range(HUBS)]
     met = _with_list(rows, F.array(*hubs).alias("hubs")).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
-    met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
+    met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), F.col("parity"), F.col("hub.parity"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
     # Lists have different hubs, so a part of the matches asked for is enough here; a wrong guess costs one verification.
     counted = met.groupBy("key", "a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).where(F.col("shared") * 4 >= F.col("l"))
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "a", "b"))
@@ -284,6 +301,7 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     often = seen.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "key").limit(MAX_RANKED).toArrow()
     order = documents.sparkSession.sparkContext.broadcast(Order(often.column("key").to_numpy().view(np.uint64), often.column("c").to_numpy(), percent))
     classes = docs.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "body")).alias("r")).select("key", "r.id", "r.body")
+    parities = seen.where("kind = 0 AND n > 0").groupBy("key").agg(*(F.min(p).alias(p) for p in PARITIES)).select("key", F.struct(*PARITIES).alias("parity"))
 
     # Most shingles are in one class only and go here; rows of frequent ones stay, dealt to several groups.
     few = Window.partitionBy("token", "part")
@@ -291,12 +309,11 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = index.withColumn("low", F.min("key").over(few)).withColumn("high", F.max("key").over(few)).where("part > 0 OR low != high").select("token", "part", "key", "info").distinct()
     shared = materialise(shared.select("token", "key", "info"))
     least = F.min(_matches(F.col("info"))).alias("least")
-    shared = _with_list(shared, F.min("key").alias("low"), F.max("key").alias("high"), least).where("low != high").withColumn("asked", F.col("least"))
+    shared = _with_list(shared, F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size"), least).where("low != high").withColumn("asked", F.col("least"))
     # No pair of a class asks for fewer matches than the least of its lists does; a class with fewer shared shingles has no pair.
     own = Window.partitionBy("key")
-    shared = shared.withColumn("held", F.count("*").over(own)).withColumn("asked", F.min("asked").over(own)).where("held >= asked").select("token", "key", "info")
-    shared = materialise(shared)
-    shared = materialise(_with_list(shared, F.count("*").alias("size")).where("size > 1"))
+    shared = shared.withColumn("held", F.count("*").over(own)).withColumn("asked", F.min("asked").over(own)).where("held >= asked").select("token", "key", "info", "size")
+    shared = materialise(shared.join(parities, "key"))
 
     verify = lambda pairs: _verify(pairs, classes, documents, id_col, text_col, k, percent)
     found = stars = None
@@ -310,9 +327,9 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     labelled = materialise(_labelled(shared, stars))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_rows = labelled.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = open_rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("info").alias("x"), F.col("label").alias("p"))
-    right = open_rows.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("info").alias("y"), F.col("label").alias("q"))
-    pairs = left.join(right, ["token", "i", "j"]).where((F.col("p") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _fits(F.col("x"), F.col("y"), percent))
+    left = open_rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("info").alias("x"), F.col("label").alias("p"), F.col("parity").alias("r"))
+    right = open_rows.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("info").alias("y"), F.col("label").alias("q"), F.col("parity").alias("s"))
+    pairs = left.join(right, ["token", "i", "j"]).where((F.col("p") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _fits(F.col("x"), F.col("y"), F.col("r"), F.col("s"), percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(_matches(F.col("x")), _matches(F.col("y"))).alias("l"))
     rest = verify(_candidates(pairs))
     final = components(rest if found is None else rest.unionAll(found))
