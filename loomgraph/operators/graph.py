@@ -76,21 +76,29 @@ def undirected(edges: DataFrame, floor: float = 0.0) -> DataFrame:
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
 
 
+def around(edges: DataFrame, ids: DataFrame, floor: float = 0.0) -> DataFrame:
+    """(id): the other ends of the ids' edges at or above the floor, either way."""
+    kept = edges.where(F.coalesce("confidence", F.lit(1.0)) >= floor).select("source_id", "target_id")
+    here = ids.select(F.col("id").alias("here"))
+    out = kept.join(here, F.col("source_id") == F.col("here")).select(F.col("target_id").alias("id"))
+    back = kept.join(here, F.col("target_id") == F.col("here")).select(F.col("source_id").alias("id"))
+    return out.unionAll(back).distinct()
+
+
 def neighbourhood(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 2, max_nodes: int = 80, floor: float = 0.0) -> DataFrame:
     """(id, depth, confidence): the root and what is within `depth` undirected steps, the best `max_nodes` of it.
 
     The frontier is a DataFrame that is written each step; ranking is by the
     greatest confidence of an edge inside the visited set, then by id.
     """
-    ways = undirected(edges, floor)
     visited = nodes.where(F.col("id") == root).select("id").distinct().withColumn("depth", F.lit(0))
     frontier = visited
     for step in range(1, depth + 1):
-        # The frontier of a bounded search is small; adaptive execution broadcasts it after measuring it.
-        reached = ways.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        # Only edges that touch the frontier are shuffled further; adaptive execution broadcasts a small frontier after measuring it.
+        reached = around(edges, frontier, floor)
         frontier = written(reached.join(visited, "id", "left_anti").join(nodes.select("id"), "id", "left_semi").withColumn("depth", F.lit(step)))
         visited = visited.unionByName(frontier)
-    inside = ways.join(visited.select(F.col("id").alias("a")), "a", "left_semi").join(visited.select(F.col("id").alias("b")), "b", "left_semi")
+    inside = undirected(induced_edges(edges, visited), floor)
     best = inside.groupBy("a").agg(F.max("confidence").alias("confidence"))
     ranked = visited.join(best, F.col("id") == F.col("a"), "left").select("id", "depth", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     return ranked.orderBy((F.col("id") != root).cast("int"), F.col("confidence").desc(), "id").limit(max_nodes)

@@ -2,8 +2,8 @@
 
 Never a cross join: documents meet in an inverted index on terms, and the
 cosine over sets needs only the squared IDF of shared terms and the norms.
-Frequent terms weigh least and cost most; the sizes they would join are left to
-adaptive execution's splitting of skewed join keys.
+Frequent terms weigh least and cost most; prefixes leave most of them out, and
+the rest is left to adaptive execution's splitting of skewed join keys.
 """
 
 from __future__ import annotations
@@ -32,14 +32,36 @@ def weights(postings: DataFrame, idf: DataFrame) -> DataFrame:
     return w.withColumn("norm2", F.sum("w").over(Window.partitionBy("id")))
 
 
+def _prefixes(weighted: DataFrame, floor: float, name: str) -> DataFrame:
+    """(name, term): the heaviest terms of each document, down to where the rest cannot reach the floor any more."""
+    rest = F.sum("w").over(Window.partitionBy("id").orderBy(F.col("w"), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return weighted.withColumn("rest", rest).where(F.col("rest") >= F.col("norm2") * (floor * floor * (1 - 1e-9))).select(F.col("id").alias(name), "term")
+
+
+def _vectors(weighted: DataFrame, prefix: str) -> DataFrame:
+    """One row a document: its terms, each with its IDF, as strings that are equal where the terms are."""
+    code = F.concat_ws(" ", "term", F.col("idf").cast("string"))
+    return weighted.groupBy(F.col("id").alias(f"{prefix}_id")).agg(F.collect_set(code).alias(f"{prefix}_terms"), F.max("norm2").alias(f"{prefix}_norm"))
+
+
 def cosine_pairs(left: DataFrame, right: DataFrame, floor: float = CANDIDATE) -> DataFrame:
-    """(source_id, target_id, score, tokens): pairs of two weight tables at or above the floor, with the five heaviest shared terms."""
-    a = left.select(F.col("id").alias("source_id"), "term", "w", "idf", F.col("norm2").alias("n1"))
-    b = right.select(F.col("id").alias("target_id"), "term", F.col("norm2").alias("n2"))
-    shared = a.join(b, "term").groupBy("source_id", "target_id").agg(F.sum("w").alias("dot"), F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.collect_list(F.struct((-F.col("idf")).alias("k"), "term")).alias("t"))
-    score = F.col("dot") / F.sqrt(F.col("n1") * F.col("n2"))
-    top = F.slice(F.transform(F.array_sort("t"), lambda x: x["term"]), 1, 5)
-    return shared.withColumn("score", score).where(F.col("score") >= floor).select("source_id", "target_id", "score", top.alias("tokens"))
+    """(source_id, target_id, score, tokens): pairs of two weight tables at or above the floor, with the five heaviest shared terms.
+
+    The tables hold weights of one corpus, under one IDF.  Let t be the heaviest
+    term that two documents share.  All that they share is t and lighter, so by
+    Cauchy and Schwarz the score is at most the root of the share of either's
+    square norm that t and its lighter terms make up.  So both have t among
+    their heaviest terms down to floor**2 of the norm, and documents that meet
+    in no such term need not be looked at.  Frequent terms are light: they are
+    seldom joined.  Whole vectors decide.
+    """
+    pairs = _prefixes(left, floor, "source_id").join(_prefixes(right, floor, "target_id"), "term").select("source_id", "target_id").distinct()
+    both = pairs.join(_vectors(left, "x"), F.col("source_id") == F.col("x_id")).join(_vectors(right, "y"), F.col("target_id") == F.col("y_id"))
+    code = lambda c: F.struct((-F.split(c, " ")[1].cast("double")).alias("k"), F.split(c, " ")[0].alias("term"))
+    shared = both.withColumn("t", F.array_sort(F.transform(F.array_intersect("x_terms", "y_terms"), code)))
+    score = F.aggregate("t", F.lit(0.0), lambda sum_, x: sum_ + x["k"] * x["k"]) / F.sqrt(F.col("x_norm") * F.col("y_norm"))
+    top = F.slice(F.transform("t", lambda x: x["term"]), 1, 5)
+    return shared.select("source_id", "target_id", score.alias("score"), top.alias("tokens")).where(F.col("score") >= floor)
 
 
 def split_by_threshold(pairs: DataFrame, min_score: float) -> tuple[DataFrame, DataFrame]:

@@ -37,20 +37,18 @@ def _edge(df: DataFrame, source, target, kind: str, order, confidence=None) -> D
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFrame:
-    """source_id, target_id, relationship, ord, confidence; a multigraph where `items` brings in the order lines."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, target_id, relationship, ord, confidence; a multigraph, as the order lines make it."""
     t = lambda n: table(spark, sf_dir, n)
-    out = (
+    line = t("lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return (
         _edge(t("nation"), ("nation_", "n_nationkey"), ("region_", "n_regionkey"), "PART_OF", F.col("n_nationkey"))
         .unionByName(_edge(t("customer"), ("customer_", "c_custkey"), ("nation_", "c_nationkey"), "MAPS_TO", F.col("c_custkey")))
         .unionByName(_edge(t("supplier"), ("supplier_", "s_suppkey"), ("nation_", "s_nationkey"), "REFERENCES", F.col("s_suppkey")))
         .unionByName(_edge(t("orders"), ("order_", "o_orderkey"), ("customer_", "o_custkey"), "TESTS", F.col("o_orderkey")))
+        .unionByName(_edge(line, ("order_", "l_orderkey"), ("part_", "l_partkey"), "VALIDATES", F.col("ord"), 1 - F.col("l_discount")))
+        .unionByName(_edge(line, ("part_", "l_partkey"), ("supplier_", "l_suppkey"), "CALLS", F.col("ord"), 1 - F.col("l_discount")))
     )
-    if items:
-        line = t("lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-        out = out.unionByName(_edge(line, ("order_", "l_orderkey"), ("part_", "l_partkey"), "VALIDATES", F.col("ord"), 1 - F.col("l_discount")))
-        out = out.unionByName(_edge(line, ("part_", "l_partkey"), ("supplier_", "l_suppkey"), "CALLS", F.col("ord"), 1 - F.col("l_discount")))
-    return out
 
 
 # The same, in SQL: a prefix for WITH clauses.
@@ -61,12 +59,10 @@ UNION ALL SELECT 'customer_' || c_custkey, 'customer', c_name, c_mktsegment, c_c
 UNION ALL SELECT 'supplier_' || s_suppkey, 'supplier', s_name, '', s_suppkey FROM supplier
 UNION ALL SELECT 'part_' || p_partkey, 'part', p_name, p_brand || ' ' || p_type, p_partkey FROM part
 UNION ALL SELECT 'order_' || o_orderkey, 'order', o_orderstatus, o_orderpriority, o_orderkey FROM orders)"""
-FEW_EDGES_SQL = """edges AS (
+EDGES_SQL = """edges AS (
 SELECT 'nation_' || n_nationkey AS source_id, 'region_' || n_regionkey AS target_id, 'PART_OF' AS relationship, n_nationkey::BIGINT AS ord, 1.0::DOUBLE AS confidence FROM nation
 UNION ALL SELECT 'customer_' || c_custkey, 'nation_' || c_nationkey, 'MAPS_TO', c_custkey, 1.0 FROM customer
 UNION ALL SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey, 'REFERENCES', s_suppkey, 1.0 FROM supplier
-UNION ALL SELECT 'order_' || o_orderkey, 'customer_' || o_custkey, 'TESTS', o_orderkey, 1.0 FROM orders"""
-EDGES_SQL = FEW_EDGES_SQL + """
+UNION ALL SELECT 'order_' || o_orderkey, 'customer_' || o_custkey, 'TESTS', o_orderkey, 1.0 FROM orders
 UNION ALL SELECT 'order_' || l_orderkey, 'part_' || l_partkey, 'VALIDATES', l_orderkey * 10 + l_linenumber, 1 - l_discount FROM lineitem
 UNION ALL SELECT 'part_' || l_partkey, 'supplier_' || l_suppkey, 'CALLS', l_orderkey * 10 + l_linenumber, 1 - l_discount FROM lineitem)"""
-FEW_EDGES_SQL += ")"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import coverage, graph, merge, planning, provenance, reports, search, similarity
 from loomgraph.plans import schema
-from loomgraph.plans.adapters import EDGES_SQL, FEW_EDGES_SQL, NODES_SQL, edges, nodes, table
+from loomgraph.plans.adapters import EDGES_SQL, NODES_SQL, edges, nodes, table
 from loomgraph.sources import files as F_
 from loomgraph.sources import text_parsers
 
@@ -86,14 +86,8 @@ best AS (SELECT a, max(c) AS c FROM both_ways WHERE a IN (SELECT id FROM seen) A
 SELECT id, depth, coalesce(c, 0.0) AS confidence FROM seen LEFT JOIN best ON id = a ORDER BY (id <> '{root}')::INT, coalesce(c, 0.0) DESC, id LIMIT {limit}"""
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {FEW_EDGES_SQL}, " + BFS.format(floor=0.0, root="nation_3", depth=2, limit=80))
+@query(f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, " + BFS.format(floor=0.0, root="nation_3", depth=2, limit=80))
 def bfs_neighbourhood(spark, d):
-    return graph.neighbourhood(edges(spark, d, items=False), nodes(spark, d), "nation_3", 2, 80)
-
-
-@query(SQL["bfs_neighbourhood"].replace(FEW_EDGES_SQL, EDGES_SQL))
-def bfs_neighbourhood_items(spark, d):
-    """bfs_neighbourhood over the graph with the order lines."""
     return graph.neighbourhood(edges(spark, d), nodes(spark, d), "nation_3", 2, 80)
 
 
@@ -102,25 +96,32 @@ def bfs_confidence_floor(spark, d):
     return graph.neighbourhood(edges(spark, d), nodes(spark, d), "part_7", 2, 1000, 0.95)
 
 
-REACH = """reach AS (SELECT id FROM nodes WHERE id IN ('part_1', 'part_2')
-UNION SELECT CASE WHEN e.source_id = reach.id THEN e.target_id ELSE e.source_id END FROM reach JOIN edges e ON (e.source_id = reach.id OR e.target_id = reach.id)
-  AND e.relationship IN ('CALLS', 'REFERENCES', 'TESTS', 'MAPS_TO'))"""
+STEPS = """step(a, b) AS (SELECT source_id, target_id FROM edges WHERE relationship IN ('TESTS', 'IMPLEMENTS', 'MAPS_TO', 'CALLS', 'REFERENCES', 'TRACES_TO', 'DECLARES')),
+ways(a, b) AS (SELECT a, b FROM step UNION SELECT b, a FROM step)"""
+REACH = "reach(id) AS (SELECT id FROM nodes WHERE id IN ('part_1', 'part_2') UNION SELECT b FROM reach JOIN {} ON a = reach.id) SELECT id FROM reach"
+
+
+@query(f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {STEPS}, " + REACH.format("ways"))
+def reachable_both_ways(spark, d):
+    """The default search, two-way."""
+    n = nodes(spark, d)
+    return graph.reachable(edges(spark, d), n.where("id in ('part_1', 'part_2')"), nodes=n)
 
 
-@query(f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, fwd(id) AS (SELECT id FROM nodes WHERE id IN ('part_1', 'part_2') UNION SELECT e.target_id FROM fwd JOIN edges e ON e.source_id = fwd.id AND e.relationship IN ('CALLS', 'REFERENCES', 'TESTS', 'MAPS_TO')) SELECT id FROM fwd")
+@query(f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {STEPS}, " + REACH.format("step"))
 def reachable_subgraph(spark, d):
     n = nodes(spark, d)
     return graph.reachable(edges(spark, d), n.where("id in ('part_1', 'part_2')"), both_ways=False, nodes=n)
 
 
-@query(f"WITH {NODES_SQL}, {FEW_EDGES_SQL} SELECT source_id, target_id, relationship FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE type IN ('nation', 'region', 'supplier')) AND target_id IN (SELECT id FROM nodes WHERE type IN ('nation', 'region', 'supplier'))")
+@query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT source_id, target_id, relationship FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE type IN ('nation', 'region', 'supplier')) AND target_id IN (SELECT id FROM nodes WHERE type IN ('nation', 'region', 'supplier'))")
 def induced_edges(spark, d):
-    return graph.induced_edges(edges(spark, d, items=False), nodes(spark, d).where("type in ('nation', 'region', 'supplier')")).select("source_id", "target_id", "relationship")
+    return graph.induced_edges(edges(spark, d), nodes(spark, d).where("type in ('nation', 'region', 'supplier')")).select("source_id", "target_id", "relationship")
 
 
-@query(f"WITH {NODES_SQL}, {FEW_EDGES_SQL}, dirty AS (SELECT id FROM nodes WHERE type = 'nation') SELECT id FROM dirty UNION SELECT target_id FROM edges WHERE source_id IN (SELECT id FROM dirty) UNION SELECT source_id FROM edges WHERE target_id IN (SELECT id FROM dirty)")
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}, dirty AS (SELECT id FROM nodes WHERE type = 'nation') SELECT id FROM dirty UNION SELECT target_id FROM edges WHERE source_id IN (SELECT id FROM dirty) UNION SELECT source_id FROM edges WHERE target_id IN (SELECT id FROM dirty)")
 def dirty_closure(spark, d):
-    return graph.dirty_closure(edges(spark, d, items=False), nodes(spark, d).where("type = 'nation'"))
+    return graph.dirty_closure(edges(spark, d), nodes(spark, d).where("type = 'nation'"))
 
 
 @query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT DISTINCT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) WHERE id NOT IN (SELECT id FROM nodes WHERE type <> 'supplier')")
@@ -128,24 +129,41 @@ def dangling_edges(spark, d):
     return graph.dangling_ends(edges(spark, d), nodes(spark, d).where("type != 'supplier'"))
 
 
-@query(f"""WITH {NODES_SQL}, {FEW_EDGES_SQL}, k AS (SELECT id, CASE type WHEN 'customer' THEN 'business_rule' WHEN 'order' THEN 'test_scenario' ELSE type END AS type FROM nodes WHERE type <> 'region'),
-lost AS (SELECT DISTINCT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) WHERE id NOT IN (SELECT id FROM k))
-SELECT (SELECT count(*) FROM k) AS total_nodes, (SELECT count(*) FROM k WHERE type = 'business_rule') AS business_rule_count, (SELECT count(*) FROM edges) AS edge_count,
-(SELECT count(*) FROM edges WHERE relationship IN ('TESTS', 'MAPS_TO', 'REFERENCES')) AS traversable_edge_count, 0::BIGINT AS missing_ids, (SELECT count(*) FROM lost) AS dangling,
-(SELECT list(id ORDER BY id) FROM (SELECT id FROM lost ORDER BY id LIMIT 5)) AS dangling_preview, ['dangling ends'] AS errors, ['no endpoint'] AS warnings, false AS is_valid""")
+VALIDATION = """
+ends AS (SELECT source_id AS id FROM e WHERE coalesce(source_id, '') <> '' AND coalesce(target_id, '') <> '' UNION SELECT target_id FROM e WHERE coalesce(source_id, '') <> '' AND coalesce(target_id, '') <> ''),
+lost AS (SELECT id FROM ends WHERE id NOT IN (SELECT id FROM k WHERE id IS NOT NULL)),
+c AS (SELECT (SELECT count(*) FROM k) AS total_nodes, (SELECT count(*) FROM k WHERE type = 'business_rule') AS business_rule_count, (SELECT count(*) FROM k WHERE type = 'test_scenario') AS scenarios, (SELECT count(*) FROM k WHERE type = 'api_endpoint') AS endpoints,
+  (SELECT count(*) FROM k WHERE id IS NULL) AS missing_ids, (SELECT count(*) FROM e) AS edge_count, (SELECT count(*) FROM e WHERE relationship IN ('TESTS', 'IMPLEMENTS', 'MAPS_TO', 'CALLS', 'REFERENCES', 'TRACES_TO', 'DECLARES')) AS traversable_edge_count,
+  (SELECT count(*) FROM e WHERE coalesce(source_id, '') = '') AS no_source, (SELECT count(*) FROM e WHERE coalesce(target_id, '') = '') AS no_target, (SELECT count(*) FROM e WHERE coalesce(relationship, '') = '') AS no_relationship, (SELECT count(*) FROM lost) AS dangling),
+said AS (SELECT *, list_filter([CASE WHEN business_rule_count = 0 THEN 'no business rule' END, CASE WHEN missing_ids > 0 THEN 'nodes without id' END, CASE WHEN no_source > 0 THEN 'edges without source' END, CASE WHEN no_target > 0 THEN 'edges without target' END,
+  CASE WHEN no_relationship > 0 THEN 'edges without relationship' END, CASE WHEN dangling > 0 THEN 'dangling ends' END], lambda x: x IS NOT NULL) AS errors,
+  list_filter([CASE WHEN scenarios = 0 THEN 'no scenario' END, CASE WHEN endpoints = 0 THEN 'no endpoint' END, CASE WHEN edge_count > 0 AND traversable_edge_count = 0 THEN 'nothing traversable' END], lambda x: x IS NOT NULL) AS warnings FROM c)
+SELECT total_nodes, business_rule_count, edge_count, traversable_edge_count, missing_ids, dangling, coalesce((SELECT list(id ORDER BY id) FROM (SELECT id FROM lost ORDER BY id LIMIT 5)), []) AS dangling_preview, errors, warnings, len(errors) = 0 AS is_valid FROM said"""
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, k AS (SELECT CASE WHEN type = 'part' AND ord % 50 = 0 THEN NULL ELSE id END AS id, CASE type WHEN 'customer' THEN 'business_rule' WHEN 'order' THEN 'test_scenario' ELSE type END AS type FROM nodes WHERE type <> 'region'),
+e AS (SELECT CASE WHEN relationship = 'VALIDATES' AND ord % 97 = 0 THEN NULL ELSE source_id END AS source_id, CASE WHEN relationship = 'MAPS_TO' AND ord % 31 = 0 THEN '' ELSE target_id END AS target_id, CASE WHEN relationship = 'CALLS' AND ord % 89 = 0 THEN NULL ELSE relationship END AS relationship FROM edges),{VALIDATION}""")
 def graph_validation_stats(spark, d):
-    return _validated(nodes(spark, d), edges(spark, d, items=False))
+    """The checks on a graph with faults of every kind."""
+    n, e = nodes(spark, d).where("type != 'region'"), edges(spark, d)
+    kind = F.when(F.col("type") == "customer", "business_rule").when(F.col("type") == "order", "test_scenario").otherwise(F.col("type"))
+    n = n.withColumn("id", F.when(~((F.col("type") == "part") & (F.col("ord") % 50 == 0)), F.col("id"))).withColumn("type", kind)
+    bad = lambda relationship, every: (F.col("relationship") == relationship) & (F.col("ord") % every == 0)
+    e = e.withColumn("source_id", F.when(~bad("VALIDATES", 97), F.col("source_id"))).withColumn("target_id", F.when(bad("MAPS_TO", 31), "").otherwise(F.col("target_id"))).withColumn("relationship", F.when(~bad("CALLS", 89), F.col("relationship")))
+    return graph.validate(n, e)
 
 
-@query(SQL["graph_validation_stats"].replace(FEW_EDGES_SQL, EDGES_SQL).replace("'MAPS_TO', 'REFERENCES')", "'MAPS_TO', 'REFERENCES', 'CALLS')"))
-def graph_validation_stats_items(spark, d):
-    """graph_validation_stats over the graph with the order lines."""
-    return _validated(nodes(spark, d), edges(spark, d))
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, k AS (SELECT id, CASE type WHEN 'customer' THEN 'business_rule' WHEN 'order' THEN 'test_scenario' WHEN 'supplier' THEN 'api_endpoint' ELSE type END AS type FROM nodes), e AS (SELECT * FROM edges),{VALIDATION}""")
+def graph_validation_sound(spark, d):
+    """The checks on a graph without faults."""
+    kind = F.when(F.col("type") == "customer", "business_rule").when(F.col("type") == "order", "test_scenario").when(F.col("type") == "supplier", "api_endpoint").otherwise(F.col("type"))
+    return graph.validate(nodes(spark, d).withColumn("type", kind), edges(spark, d))
 
 
-def _validated(n, e):
-    kind = F.when(F.col("type") == "customer", "business_rule").when(F.col("type") == "order", "test_scenario").otherwise(F.col("type"))
-    return graph.validate(n.where("type != 'region'").withColumn("type", kind), e)
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, k AS (SELECT id, type FROM nodes WHERE type IN ('region', 'nation')), e AS (SELECT * FROM edges WHERE relationship = 'PART_OF'),{VALIDATION}""")
+def graph_validation_bare(spark, d):
+    """The checks on a graph without rules, scenarios, endpoints and traversable edges."""
+    return graph.validate(nodes(spark, d).where("type in ('region', 'nation')"), edges(spark, d).where("relationship = 'PART_OF'"))
 
 
 @query(f"WITH {EDGES_SQL} SELECT source_id, target_id, relationship, ord, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY ord DESC, relationship DESC, confidence DESC) AS n FROM edges) WHERE n = 1")
@@ -161,17 +179,17 @@ def anti_existing_edges(spark, d):
     return graph.existing_edges(e, wanted, negate=True).distinct()
 
 
-@query(f"""WITH {NODES_SQL}, {FEW_EDGES_SQL}, w AS (SELECT source_id AS a, target_id AS b FROM edges WHERE relationship = 'MAPS_TO' UNION ALL SELECT target_id, source_id FROM edges WHERE relationship = 'MAPS_TO')
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, w AS (SELECT source_id AS a, target_id AS b FROM edges WHERE relationship = 'MAPS_TO' UNION ALL SELECT target_id, source_id FROM edges WHERE relationship = 'MAPS_TO')
 SELECT a AS id, list_sort(list(DISTINCT b)) AS peers FROM w WHERE a IN (SELECT id FROM nodes WHERE type IN ('customer', 'nation')) AND b IN (SELECT id FROM nodes WHERE type IN ('customer', 'nation')) GROUP BY a""")
 def rule_peers(spark, d):
-    return graph.rule_peers(edges(spark, d, items=False), nodes(spark, d), ("customer", "nation"))
+    return graph.rule_peers(edges(spark, d), nodes(spark, d), ("customer", "nation"))
 
 
-@query(f"""WITH {NODES_SQL}, {FEW_EDGES_SQL}, s AS (SELECT id AS seed FROM nodes WHERE type = 'nation'), t AS (SELECT seed, target_id AS other, relationship FROM edges JOIN s ON source_id = seed UNION ALL SELECT seed, source_id, relationship FROM edges JOIN s ON target_id = seed)
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT id AS seed FROM nodes WHERE type = 'nation'), t AS (SELECT seed, target_id AS other, relationship FROM edges JOIN s ON source_id = seed UNION ALL SELECT seed, source_id, relationship FROM edges JOIN s ON target_id = seed)
 SELECT DISTINCT seed, CASE WHEN relationship = 'PART_OF' THEN 'parents' ELSE 'vendors' END AS bucket, other FROM t JOIN nodes ON other = id WHERE (relationship = 'PART_OF' AND type = 'region') OR (relationship = 'REFERENCES' AND type = 'supplier')""")
 def extended_context(spark, d):
     n = nodes(spark, d)
-    return graph.extended_context(edges(spark, d, items=False), n, n.where("type = 'nation'"), {("PART_OF", "region"): "parents", ("REFERENCES", "supplier"): "vendors"})
+    return graph.extended_context(edges(spark, d), n, n.where("type = 'nation'"), {("PART_OF", "region"): "parents", ("REFERENCES", "supplier"): "vendors"})
 
 
 @query("SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, f) AS r FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY 1, 2)) WHERE r = 1")
@@ -179,15 +197,8 @@ def dominant_feature_mode(spark, d):
     return graph.dominant(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_custkey")
 
 
-@query(f"WITH {NODES_SQL}, {FEW_EDGES_SQL}, gone AS (SELECT id FROM nodes WHERE type = 'supplier' AND ord % 2 = 0) SELECT source_id, target_id, relationship FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}, gone AS (SELECT id FROM nodes WHERE type = 'supplier' AND ord % 2 = 0) SELECT source_id, target_id, relationship FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
 def cascade_removal(spark, d):
-    n = nodes(spark, d)
-    return graph.remove_nodes(n, edges(spark, d, items=False), n.where("type = 'supplier' and ord % 2 = 0"))[1].select("source_id", "target_id", "relationship")
-
-
-@query(SQL["cascade_removal"].replace(FEW_EDGES_SQL, EDGES_SQL))
-def cascade_removal_items(spark, d):
-    """cascade_removal over the graph with the order lines."""
     n = nodes(spark, d)
     return graph.remove_nodes(n, edges(spark, d), n.where("type = 'supplier' and ord % 2 = 0"))[1].select("source_id", "target_id", "relationship")
 
@@ -211,9 +222,18 @@ def _weights(spark, d):
     return w.where("id like 'b%'"), w.where("id like 'd%'")
 
 
-@query(f"WITH {TFIDF} SELECT source_id, target_id, round(score, 6) AS score, tokens FROM scored WHERE score >= 0.75")
+@query(f"""WITH tok AS (SELECT 'd' || doc_id AS id, unnest({TERMS.format("text")}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tok, n GROUP BY term), w AS (SELECT id, tok.term, idf, idf * idf AS w FROM tok JOIN idf ON tok.term = idf.term), norm AS (SELECT id, sum(w) AS n2 FROM w GROUP BY id),
+pair AS (SELECT a.id AS source_id, b.id AS target_id, sum(a.w) AS dot FROM w a JOIN w b ON a.term = b.term WHERE a.id < b.id GROUP BY 1, 2),
+kept AS (SELECT source_id, target_id, dot / sqrt(x.n2 * y.n2) AS score FROM pair JOIN norm x ON x.id = source_id JOIN norm y ON y.id = target_id WHERE dot / sqrt(x.n2 * y.n2) >= 0.75)
+SELECT source_id, target_id, round(score, 6) AS score, (SELECT list(a.term ORDER BY a.idf DESC, a.term)[1:5] FROM w a JOIN w b ON a.term = b.term WHERE a.id = source_id AND b.id = target_id) AS tokens FROM kept""")
 def tfidf_pairs(spark, d):
-    return similarity.split_by_threshold(similarity.cosine_pairs(*_weights(spark, d)), 0.65)[0].withColumn("score", F.round("score", 6))
+    """Pairs of documents that are alike: their near copies, and copies."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    postings = similarity.term_table(docs)
+    w = similarity.weights(postings, similarity.idf_table(postings, docs.count()))
+    pairs = similarity.cosine_pairs(w, w, 0.75).where("source_id < target_id")
+    return similarity.split_by_threshold(pairs, 0.65)[0].withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {TFIDF} SELECT source_id, target_id, round(score, 6) AS score, tokens FROM scored WHERE score >= 0.35 AND score < 0.75")
@@ -268,17 +288,17 @@ def tokenizers(spark, d):
 
 # --- Merging -------------------------------------------------------------------
 
-ENDPOINTS_SQL = """e AS (SELECT 'endpoint_' || page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path, CASE WHEN page_id % 2 = 0 THEN 'get' ELSE 'POST' END AS m, page_id % 5 = 0 AS has_spec, page_id AS ord, substr(html, 1, 60 + page_id % 9) AS description FROM pages),
+ENDPOINTS_SQL = """e AS (SELECT 'endpoint_' || page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path, CASE WHEN page_id % 2 = 0 THEN 'get' ELSE 'POST' END AS m, page_id % 5 = 0 AS has_spec, page_id AS ord, html AS description FROM pages),
 k AS (SELECT *, upper(m) || ' ' || regexp_replace(lower(trim(path, '/')), '[^a-z0-9]', '', 'g') AS key FROM e),
 g AS (SELECT *, count(*) OVER (PARTITION BY key) AS size, bool_or(has_spec) OVER (PARTITION BY key) AS any_spec FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY has_spec DESC, CASE WHEN any_spec THEN ord ELSE length(id) END, ord, id) AS rank FROM g WHERE size > 1),
 dup AS (SELECT id, first_value(id) OVER (PARTITION BY key ORDER BY rank) AS "primary", key, description, ord FROM r)"""
 
 
-def _endpoints(spark, d, description="substr(html, 1, int(60 + page_id % 9))"):
+def _endpoints(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
     return table(spark, d, "pages").select(
-        F.concat(F.lit("endpoint_"), "page_id").alias("id"), path.alias("path"), F.when(F.col("page_id") % 2 == 0, "get").otherwise("POST").alias("http_method"), (F.col("page_id") % 5 == 0).alias("has_spec"), F.col("page_id").alias("ord"), F.expr(description).alias("description")
+        F.concat(F.lit("endpoint_"), "page_id").alias("id"), path.alias("path"), F.when(F.col("page_id") % 2 == 0, "get").otherwise("POST").alias("http_method"), (F.col("page_id") % 5 == 0).alias("has_spec"), F.col("page_id").alias("ord"), F.col("html").alias("description")
     )
 
 
@@ -293,13 +313,6 @@ def endpoint_merge(spark, d):
     return merge.merge_endpoints(e, merge.duplicate_endpoints(e))
 
 
-@query(SQL["endpoint_merge"].replace("substr(html, 1, 60 + page_id % 9)", "html"))
-def endpoint_merge_html(spark, d):
-    """endpoint_merge with whole pages as descriptions."""
-    e = _endpoints(spark, d, "html")
-    return merge.merge_endpoints(e, merge.duplicate_endpoints(e))
-
-
 @query(f"""WITH {ENDPOINTS_SQL}, ed AS (SELECT 'endpoint_' || page_id AS source_id, 'endpoint_' || (page_id * 7) % (SELECT count(*) FROM pages) AS target_id FROM pages), m AS (SELECT id, "primary" AS p FROM dup WHERE id <> "primary"),
 x AS (SELECT coalesce(a.p, source_id) AS source_id, coalesce(b.p, target_id) AS target_id, a.p IS NOT NULL OR b.p IS NOT NULL AS moved FROM ed LEFT JOIN m a ON a.id = source_id LEFT JOIN m b ON b.id = target_id) SELECT source_id, target_id FROM x WHERE NOT (moved AND source_id = target_id)""")
 def endpoint_rewire(spark, d):
@@ -340,7 +353,7 @@ def anomaly_dedup(spark, d):
 @query(f"""WITH {ANOMALY_SQL}, a AS (SELECT coalesce(anomaly_kind, 'legacy_requirement_drift') AS kind, coalesce(severity, 'info') AS severity FROM an)
 SELECT 'kind' AS facet, kind AS value, count(*) AS n FROM a GROUP BY kind UNION ALL SELECT 'severity', severity, count(*) FROM a GROUP BY severity UNION ALL SELECT 'total', 'all', count(*) + (SELECT count(*) FROM nation) FROM a""")
 def drift_by_kind_severity(spark, d):
-    drifted = edges(spark, d, items=False).where("relationship = 'PART_OF'").withColumn("relationship", F.lit("DRIFTED_FROM"))
+    drifted = edges(spark, d).where("relationship = 'PART_OF'").withColumn("relationship", F.lit("DRIFTED_FROM"))
     return reports.drift_report(_anomalies(spark, d), drifted)
 
 
@@ -411,7 +424,7 @@ def feature_area_paths(spark, d):
     none = F.lit(None).cast("string")
     f = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation_"), "n_nationkey").alias("id"), F.lit("product_feature").alias("type"), F.col("n_name").alias("name"), none.alias("parent_feature_id"), F.col("r_name").alias("parent_product_name"))
     r = table(spark, d, "customer").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.lit("business_rule").alias("type"), F.col("c_name").alias("name"), F.concat(F.lit("nation_"), "c_nationkey").alias("parent_feature_id"), none.alias("parent_product_name"))
-    return coverage.features_with_counts(f.unionAll(r), edges(spark, d, items=False))
+    return coverage.features_with_counts(f.unionAll(r), edges(spark, d))
 
 
 def _tests(spark, d):
@@ -441,7 +454,7 @@ def traceability_matrix(spark, d):
     kind = F.when(F.col("type") == "supplier", "test_scenario").when(F.col("type") == "customer", "api_endpoint").otherwise(F.col("type"))
     rules = n.where("type = 'nation'")
     tests = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("nation_"), "n_nationkey").alias("target_rule_id"), F.concat(F.lit("t"), "n_nationkey").alias("title"))
-    return coverage.traceability(rules, edges(spark, d, items=False), n.withColumn("type", kind), tests)
+    return coverage.traceability(rules, edges(spark, d), n.withColumn("type", kind), tests)
 
 
 @query("""WITH c AS (SELECT DISTINCT p_brand AS rule_id, p_type AS value FROM part), o AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY value) AS ord FROM c)
@@ -495,16 +508,10 @@ def section_listagg(spark, d):
     return text_parsers.sections(files, F.when((n >= 1) & (n <= 40), F.col("line")), F.lit(1)).select("path", "no", "heading", "body")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), h AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN 1 WHEN pos % 3 = 1 THEN 2 ELSE 3 END AS level FROM l WHERE pos < 12),
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), h AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN 1 WHEN pos % 3 = 1 THEN 2 ELSE 3 END AS level FROM l),
 w AS (SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER b AS h1, max(CASE WHEN level = 2 THEN pos END) OVER b AS h2 FROM h WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT 'd' || doc_id || '_' || pos AS source_id, 'd' || doc_id || '_' || CASE WHEN level = 2 THEN h1 ELSE coalesce(h2, h1) END AS target_id FROM w WHERE level > 1""")
 def heading_parent_window(spark, d):
-    return _heading_parents(table(spark, d, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 12).alias("lines")))
-
-
-@query(SQL["heading_parent_window"].replace(" FROM l WHERE pos < 12)", " FROM l)"))
-def heading_parent_all_lines(spark, d):
-    """heading_parent_window over whole documents."""
     return _heading_parents(table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")))
 
 
@@ -532,7 +539,11 @@ def slug_node_id(spark, d):
     return table(spark, d, "part").select("p_partkey", T.node_id(F.lit("validation_rule"), name).alias("id"))
 
 
-@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT count(*) FILTER (WHERE contains(line, chr(9))) AS tabs FROM l) SELECT '2_spaces' AS indentation, 'PascalCase' AS naming_convention""")
+@query(r"""WITH l AS (SELECT line, regexp_extract(line, '^\s*') AS lead FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
+i AS (SELECT CASE WHEN contains(lead, chr(9)) THEN 'tabs' WHEN length(lead) = 0 THEN NULL WHEN length(lead) % 4 = 0 THEN '4_spaces' WHEN length(lead) % 2 = 0 THEN '2_spaces' END AS vote FROM l),
+t AS (SELECT unnest(regexp_extract_all(line, '\b[a-zA-Z_][a-zA-Z0-9_]*\b')) AS t FROM l),
+n AS (SELECT CASE WHEN regexp_matches(t, '^[a-z]+(_[a-z0-9]+)+\b') THEN 'snake_case' WHEN regexp_matches(t, '^[a-z]+([A-Z][a-zA-Z0-9]+)+\b') THEN 'camelCase' WHEN regexp_matches(t, '^[A-Z][a-zA-Z0-9]+\b') AND length(t) > 3 THEN 'PascalCase' END AS vote FROM t)
+SELECT coalesce((SELECT vote FROM i WHERE vote IS NOT NULL GROUP BY vote ORDER BY count(*) DESC, vote DESC LIMIT 1), '2_spaces') AS indentation, coalesce((SELECT vote FROM n WHERE vote IS NOT NULL GROUP BY vote ORDER BY count(*) DESC, vote DESC LIMIT 1), 'camelCase') AS naming_convention""")
 def standards_vote(spark, d):
     files = table(spark, d, "documents").select(F.concat(F.lit("src/"), "doc_id", F.lit(".py")).alias("path"), "text")
     return F_.standards(files, max_files=None)
@@ -572,15 +583,9 @@ def byte_sizes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.byte_size(F.floor("o_totalprice")).alias("size"))
 
 
-@query(f"""WITH {FEW_EDGES_SQL}, t AS (SELECT relationship, split_part(source_id, '_', 1) AS src_type, split_part(target_id, '_', 1) AS tgt_type FROM edges), allowed(r, s, g) AS (VALUES ('TESTS', 'order', 'customer'), ('MAPS_TO', 'supplier', 'nation'))
+@query(f"""WITH {EDGES_SQL}, t AS (SELECT relationship, split_part(source_id, '_', 1) AS src_type, split_part(target_id, '_', 1) AS tgt_type FROM edges), allowed(r, s, g) AS (VALUES ('TESTS', 'order', 'customer'), ('MAPS_TO', 'supplier', 'nation'))
 SELECT relationship, src_type, tgt_type, count(*) AS n FROM t WHERE relationship NOT IN (SELECT r FROM allowed) OR (relationship, src_type, tgt_type) IN (SELECT (r, s, g) FROM allowed) GROUP BY 1, 2, 3""")
 def type_gate(spark, d):
-    return _gated(spark, edges(spark, d, items=False))
-
-
-@query(SQL["type_gate"].replace(FEW_EDGES_SQL, EDGES_SQL))
-def type_gate_items(spark, d):
-    """type_gate over the graph with the order lines."""
     return _gated(spark, edges(spark, d))
 
 

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import checksum
 
 # What a walk leaves out and takes.
-PRUNED = (".git", "node_modules", "target", "build", "dist", ".gradle", ".idea", ".vscode", ".context_builder")
+PRUNED = (".git", "node_modules", "target", "build", "dist", ".gradle", ".idea", ".vscode")
 EXTENSIONS = ("docx", "pdf", "xlsx", "csv", "feature", "json", "yaml", "yml", "md", "bdd", "loc", "properties", "java", "ts", "tsx", "js", "jsx", "py", "go")
 MANIFESTS = {"package.json": ("playwright", "cypress", "jest", "express", "react"), "pom.xml": ("spring", "qaf", "junit", "selenium"), "build.gradle": ("spring", "junit"), "requirements.txt": ("fastapi", "flask", "pytest"), "go.mod": ("gin",)}
+# The cases of names that the vote on naming tells apart; the votes depend on them.
+NAMING = (("snake_case", r"^[a-z]+(_[a-z0-9]+)+\b"), ("camelCase", r"^[a-z]+([A-Z][a-zA-Z0-9]+)+\b"), ("PascalCase", r"^[A-Z][a-zA-Z0-9]+\b"))
+NAME = r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"
 # End of the fixed values.
 
+#: Up to so many triggers are broadcast (some 200 bytes each).
+MAX_TRIGGERS = 10_000
+
 
 def extension(path: str | Column = "path") -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
@@ -84,8 +90,9 @@ def standards(files: DataFrame, max_files: int | None = 15) -> DataFrame:
     lead = F.regexp_extract("line", r"^\s*", 0)
     width = F.length(lead)
     indent = F.when(F.contains(lead, F.lit("\t")), "tabs").when(width == 0, None).when(width % 4 == 0, "4_spaces").when(width % 2 == 0, "2_spaces")
-    token = F.explode(F.regexp_extract_all("line", F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), 0)).alias("t")
-    naming = F.when(F.col("t").rlike(r"^[a-z]+(_[a-z0-9]+)+\b"), "snake_case").when(F.col("t").rlike(r"^[a-z]+([A-Z][a-zA-Z0-9]+)+\b"), "camelCase").when(F.col("t").rlike(r"^[A-Z][a-zA-Z0-9]+\b") & (F.length("t") > 3), "PascalCase")
+    token = F.explode(F.regexp_extract_all("line", F.lit(NAME), 0)).alias("t")
+    # A word of three letters with a capital is no vote.
+    naming = F.coalesce(*(F.when(F.col("t").rlike(shape) & (F.lit(case != "PascalCase") | (F.length("t") > 3)), case) for case, shape in NAMING))
     votes = lines.select(F.lit("indentation").alias("what"), indent.alias("vote")).unionAll(lines.select(token).select(F.lit("naming_convention"), naming)).where("vote is not null")
     counts = votes.groupBy("what", "vote").agg(F.count("*").alias("n"))
     best = counts.groupBy("what").agg(F.max_by("vote", F.struct("n", "vote")).alias("vote"))
@@ -110,7 +117,7 @@ def dominant_folder(files: DataFrame, kind: str) -> DataFrame:
 
 
 def agents_for(files: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(agent): those whose trigger (agent, ext, pattern or null) fits a file (path, text); a bounded table of triggers."""
-    t = F.broadcast(triggers)
+    """(agent): those whose trigger (agent, ext, pattern or null) fits a file (path, text); few triggers are broadcast."""
+    t = F.broadcast(triggers) if triggers.limit(MAX_TRIGGERS + 1).count() <= MAX_TRIGGERS else triggers
     hit = files.withColumn("e", extension()).join(t, F.col("e") == F.col("ext"))
     return hit.where(F.col("pattern").isNull() | F.expr("text rlike pattern")).select("agent").distinct()
