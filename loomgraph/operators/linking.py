@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import similarity, structural
 from loomgraph.operators.graph import existing_edges
-from loomgraph.plans.schema import AUTO_EMIT, CANDIDATE, DOMAIN_STOPWORDS, GENERIC_STOPWORDS, RULE_FAMILY
+from loomgraph.plans.schema import AUTO_EMIT, CANDIDATE, DOMAIN_STOPWORDS, GENERIC_STOPWORDS, RULE_FAMILY, type_allowed
 
 #: What is scored: relationship, types of the source and of the target.
 SCORED = (
@@ -63,13 +63,15 @@ MAPPERS: list[Mapper] = [by_terms, by_names, by_classes]
 
 
 def infer(nodes: DataFrame, edges: DataFrame, policy: DataFrame, mappers: list[Mapper] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new edges, candidates below their limit): best score of each pair and relationship, without edges that exist."""
+    """(new edges, candidates below their limit): best score of each pair and relationship whose types the policy allows, without edges that exist."""
     out = None
     for mapper in mappers or MAPPERS:
         rows = mapper(nodes, edges, policy)
         out = rows if out is None else out.unionByName(rows)
     best = out.groupBy("source_id", "target_id", "relationship").agg(F.max_by(F.struct("score", "tokens", "mapper"), F.struct("score", "mapper")).alias("b")).select("source_id", "target_id", "relationship", "b.*")
-    fresh = existing_edges(edges, best, negate=True)
+    kinds = nodes.select("id", "type")
+    typed = best.join(kinds.select(F.col("id").alias("source_id"), F.col("type").alias("src_type")), "source_id").join(kinds.select(F.col("id").alias("target_id"), F.col("type").alias("tgt_type")), "target_id")
+    fresh = existing_edges(edges, type_allowed(typed, policy).drop("src_type", "tgt_type"), negate=True)
     limited = fresh.join(F.broadcast(_limits(policy)), "relationship", "left").withColumn("limit", F.coalesce("limit", F.lit(AUTO_EMIT)))
     emit = F.col("score") >= F.col("limit")
     return limited.where(emit).drop("limit"), limited.where(~emit & (F.col("score") >= CANDIDATE)).drop("limit")

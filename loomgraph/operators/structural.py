@@ -41,15 +41,18 @@ def mention_edges(files: DataFrame, named: DataFrame, relationship: str) -> Data
 def class_endpoint_edges(endpoints: DataFrame, components: DataFrame) -> DataFrame:
     """Endpoints (id, class_name) to components (id, name) whose name contains the class, by IMPLEMENTS.
 
-    Containment has no key: the names' substrings are the key, as many as a
-    name's length squared, which is small and does not grow with the tables.
+    A class name of three characters or more meets the names that hold its first
+    three; shorter ones meet the names' pieces of their length.  Both are exact
+    keys for containment, as many as a name is long, and are checked afterwards.
     """
-    name = F.lower("name")
+    name, held = F.lower("name"), F.lower("class_name")
     n = F.length(name)
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(name, i, k))))
-    keys = components.where("name != ''").select(F.col("id").alias("target_id"), F.explode(F.array_distinct(subs)).alias("c"))
-    held = endpoints.where("class_name != ''").select(F.col("id").alias("source_id"), F.lower("class_name").alias("c"))
-    return held.join(keys, "c").select("source_id", "target_id", F.lit("IMPLEMENTS").alias("relationship"), F.lit(1.0).alias("confidence")).distinct()
+    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.concat(*map(of_length, (1, 2, 3)))
+    keys = components.where("name != ''").select(F.col("id").alias("target_id"), name.alias("whole"), F.explode(F.array_distinct(pieces)).alias("c"))
+    classes = endpoints.where("class_name != ''").select(F.col("id").alias("source_id"), held.alias("held"), F.substring(held, 1, 3).alias("c"))
+    found = classes.join(keys, "c").where(F.contains("whole", F.col("held")))
+    return found.select("source_id", "target_id", F.lit("IMPLEMENTS").alias("relationship"), F.lit(1.0).alias("confidence")).distinct()
 
 
 def trace_tests(calls: DataFrame, components: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -5,41 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, linking, merge
+from loomgraph.operators import graph, linking, merge, structural
 from loomgraph.plans.schema import policy_table
 from loomgraph.sources import text_parsers
-from loomgraph.sources.code_parsers import parse_files
-from loomgraph.sources.files import eligible, parser_kind
+from loomgraph.sources.code_parsers import parse_files, read_csv_sheets, read_sheets
+from loomgraph.sources.files import eligible, extension, parser_kind, priority
+
+
+#: Languages of code files by extension.
+LANGUAGES = {"java": "java", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go"}
+#: Inferred edges come after all parsed ones.
+LAST = 1 << 62
 
 
 def parsed_rows(files: DataFrame) -> DataFrame:
-    """Nodes and edges of files (path, content, checksum) in one table, in the order of their files."""
+    """Nodes, edges and errors of files (path, content) in one table, with the place of each (priority, path, position) as priority, source_file and pos."""
     routed = eligible(files).withColumn("text", F.col("content").cast("string")).withColumn("kind", parser_kind())
-    rows = parse_files(routed)
+    rows = parse_files(routed).withColumn("pos", F.monotonically_increasing_id())
     text = routed.select("path", "text", "kind")
     nodes, edges = text_parsers.markdown(text.where("kind = 'markdown'"))
     constants = text_parsers.properties(text.where("kind = 'properties'")).select("id", "type", "name", F.col("raw_value").alias("description"), F.col("path").alias("source_file"), F.to_json(F.struct("value_type")).alias("metadata"))
-    pdf = text_parsers.document_sections(text.where("kind = 'pdf'"))
-    as_node = lambda df: df.select(F.lit("node").alias("row"), "*")
-    rows = rows.unionByName(as_node(nodes), allowMissingColumns=True).unionByName(as_node(constants), allowMissingColumns=True).unionByName(as_node(pdf), allowMissingColumns=True)
-    return rows.unionByName(edges.select(F.lit("edge").alias("row"), "*"), allowMissingColumns=True)
+    raw = F.startswith("text", F.lit("%PDF-"))
+    pdf = text_parsers.document_sections(text.where((F.col("kind") == "pdf") & ~raw))
+    sheets = read_sheets(routed.where("kind = 'excel'")).unionByName(read_csv_sheets(routed.where("kind = 'csv'")))
+    failed = sheets.where("error is not null").select("path", F.col("error").alias("description")).unionByName(text.where((F.col("kind") == "pdf") & raw).select("path", F.lit("a PDF file whose text has not been extracted").alias("description")))
+    for found in (nodes, constants, pdf, text_parsers.sheet_nodes(sheets)):
+        rows = rows.unionByName(found.select(F.lit("node").alias("row"), "*"), allowMissingColumns=True)
+    rows = rows.unionByName(edges.select(F.lit("edge").alias("row"), "*"), allowMissingColumns=True)
+    rows = rows.unionByName(failed.select(F.lit("error").alias("row"), F.col("path").alias("source_file"), "description"), allowMissingColumns=True)
+    return rows.withColumn("priority", priority("source_file"))
+
+
+def structural_edges(nodes: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(source_id, target_id, relationship): imports between components, and tests traced through stored and new calls together."""
+    languages = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    placed = nodes.select("id", "name", "type", F.explode("source_origins").alias("source_file"))
+    code = placed.where(F.col("type").isin("code_component", "test_utility", "ui_page_object")).withColumn("language", F.element_at(languages, extension("source_file"))).where("language is not null")
+    contents = code.select("id", "language", "source_file").join(files.select(F.col("path").alias("source_file"), F.col("content").cast("string").alias("content")), "source_file")
+    imports = structural.import_edges(contents, code)
+    calls = stored.select("source_id", "target_id", "relationship").unionByName(imports.where("relationship = 'CALLS'")).distinct()
+    return imports.unionByName(structural.trace_tests(calls, code, placed.where("type = 'api_endpoint'"))).distinct()
 
 
 def build(files: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges, candidates, errors and claims of a workspace's files."""
-    rows = graph.written(parsed_rows(files))
+    """nodes, edges, candidates, errors and claims of a workspace's files.
+
+    Updates of a node and edges of a pair follow one another by the files'
+    priority, then path, then position; inferred edges come last.
+    """
+    in_order = graph.written(parsed_rows(files)).orderBy("priority", "source_file", "pos", "id", "source_id", "target_id", "relationship")
+    rows = graph.written(in_order.withColumn("ord", F.monotonically_increasing_id()))
     found = rows.where("row = 'node' and id is not null")
     meta = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
-    # The fold goes by file, then by what the file says; a number for it need not be dense.
     updates = merge.normal_types(found).select(
-        "id", F.xxhash64("source_file").alias("ord"), "type", "name", "description", meta.alias("metadata"), merge.origin_of().alias("origin"), "source_file", F.lit("parser").alias("caller")
+        "id", "ord", "type", "name", "description", meta.alias("metadata"), merge.origin_of().alias("origin"), "source_file", F.lit("parser").alias("caller")
     )
     nodes = merge.upsert_nodes(updates).select("*", *(F.element_at("metadata", F.lit(c)).alias(c) for c in ("rule_origin", "path", "class_name", "http_method")))
     nodes = graph.written(nodes)
-    edges = rows.where("row = 'edge'").select("source_id", "target_id", "relationship", F.xxhash64("source_file", "relationship").alias("ord"), F.lit(1.0).alias("confidence"))
+    edges = rows.where("row = 'edge'").select("source_id", "target_id", "relationship", "ord", F.lit(1.0).alias("confidence"))
+    edges = edges.unionByName(structural_edges(nodes, files, edges).withColumn("ord", F.lit(LAST)).withColumn("confidence", F.lit(1.0)))
     edges = graph.written(graph.last_edges(graph.rooted_edges(edges, nodes)))
     new, candidates = linking.infer(nodes, edges, policy_table(files.sparkSession))
-    linked = graph.last_edges(edges.unionByName(new.select("source_id", "target_id", "relationship", F.lit(0).cast("bigint").alias("ord"), F.bround("score", 4).alias("confidence"))))
+    linked = graph.last_edges(edges.unionByName(new.select("source_id", "target_id", "relationship", F.lit(LAST + 1).alias("ord"), F.bround("score", 4).alias("confidence"))))
     endpoints = nodes.where("type = 'api_endpoint'").select("id", "path", "http_method", F.map_contains_key("metadata", "responses").alias("has_spec"), "ord", "description")
     twins = graph.written(merge.duplicate_endpoints(endpoints))
     kept = nodes.join(twins.where("id != primary").select("id"), "id", "left_anti")

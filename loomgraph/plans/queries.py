@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import coverage, graph, merge, planning, provenance, reports, search, similarity
+from loomgraph.operators import blueprint, coverage, graph, merge, planning, provenance, reports, search, similarity, structural
 from loomgraph.plans import schema
 from loomgraph.plans.adapters import EDGES_SQL, NODES_SQL, edges, nodes, table
 from loomgraph.sources import files as F_
@@ -593,3 +593,122 @@ def _gated(spark, e):
     t = e.select("relationship", F.split_part("source_id", F.lit("_"), F.lit(1)).alias("src_type"), F.split_part("target_id", F.lit("_"), F.lit(1)).alias("tgt_type"))
     policy = spark.createDataFrame([("TESTS", 0.75, "order", "customer"), ("MAPS_TO", 0.75, "supplier", "nation")], "relationship string, min_score double, src_type string, tgt_type string")
     return schema.type_allowed(t, policy).groupBy("relationship", "src_type", "tgt_type").agg(F.count("*").alias("n"))
+
+
+# --- More of the operators ------------------------------------------------------
+
+
+@query(r"""SELECT p_partkey, regexp_replace(lower(trim(p_name || ' (' || p_type || ')')), '[^a-z0-9_]', '_', 'g') AS header, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 7 END::INT AS level, p_partkey % 2 = 0 AS pagination,
+'the ' || p_name || ' of ' || p_brand AS filled, '| ' || p_name || ' | ' || p_type || ' |' AS md_row, '/' || p_name || '/' || p_brand AS route, 'ingest/' || p_name || '/x' AS relative, substr(regexp_replace(p_name || ' ' || p_brand, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 48) AS shard, 'int ' || p_name || ';' || chr(10) || 'x' AS bare FROM part""")
+def scalar_texts(spark, d):
+    p = table(spark, d, "part")
+    key = F.col("p_partkey")
+    style = F.when(key % 3 == 0, F.concat(F.lit("Heading "), (key % 7).cast("string"))).otherwise("Normal")
+    page = F.when(key % 4 == 0, F.concat(F.lit(" Page "), key.cast("string"), F.lit(" of 9 "))).when(key % 2 == 0, F.concat(key.cast("string"), F.lit("/7"))).otherwise(F.concat(F.lit("page "), F.col("p_name")))
+    return p.select(
+        "p_partkey", T.header_name(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("header"), T.heading_level(style).alias("level"), T.is_pagination(page).alias("pagination"),
+        T.substitute(F.lit("the <a> of <b>"), F.create_map(F.lit("a"), F.col("p_name"), F.lit("b"), F.col("p_brand"))).alias("filled"), T.markdown_row(F.array("p_name", "p_type")).alias("md_row"), T.full_route(F.concat(F.lit("/"), "p_name", F.lit("/")), F.concat(F.lit("/"), "p_brand")).alias("route"),
+        T.relative_path(F.concat(F.lit("C:\\work\\ingest\\"), "p_name", F.lit("\\x"))).alias("relative"), T.shard_name(F.concat_ws(" ", "p_name", "p_brand")).alias("shard"), T.strip_comments(F.concat(F.lit("int "), "p_name", F.lit(";/* a\nb */// c\nx"))).alias("bare"),
+    )
+
+
+@query("""SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || 'z' AS stamp, ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 24 HOURS AS stale FROM (SELECT event_id, ts::TIMESTAMP AS ts FROM events)""")
+def stamps(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return e.select("event_id", T.stamp("ts").alias("stamp"), T.is_stale("ts", F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("stale"))
+
+
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}, n AS (SELECT id FROM nodes WHERE type <> 'supplier') SELECT relationship, count(*) AS n FROM edges WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY relationship")
+def rooted_edges(spark, d):
+    return graph.rooted_edges(edges(spark, d), nodes(spark, d).where("type != 'supplier'")).groupBy("relationship").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NODES_SQL} SELECT id, type, name FROM nodes WHERE id = 'customer_7'")
+def get_node(spark, d):
+    return graph.get_node(nodes(spark, d), "customer_7").select("id", "type", "name")
+
+
+@query(f"WITH {NODES_SQL} SELECT coalesce(list(DISTINCT id ORDER BY id) FILTER (WHERE type = 'region'), []) AS region, coalesce(list(DISTINCT id ORDER BY id) FILTER (WHERE type = 'nation'), []) AS nation FROM nodes")
+def type_buckets(spark, d):
+    return reports.type_buckets(nodes(spark, d), ("region", "nation"))
+
+
+@query(f"WITH {NODES_SQL} SELECT id, name, description FROM nodes WHERE type = 'customer' AND ord % 3 <> 0")
+def rules_without_placeholders(spark, d):
+    n = nodes(spark, d).withColumn("type", F.when(F.col("type") == "customer", "business_rule").otherwise(F.col("type"))).withColumn("origin", F.when(F.col("ord") % 3 == 0, "placeholder"))
+    return reports.rule_index(reports.not_placeholder(n))
+
+
+@query("SELECT p_brand AS feature_id, count(*) AS hits FROM part WHERE contains(lower(p_name || ' ' || p_type), 'small') OR contains(lower(p_name || ' ' || p_type), 'bolt') GROUP BY 1")
+def rules_for_query(spark, d):
+    rules = table(spark, d, "part").select(F.col("p_brand").alias("feature_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    return reports.rules_for_query(rules, ["Small", "bolt"])
+
+
+@query(f"WITH {PATHS_SQL} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n FROM f WHERE contains(lower(regexp_extract(path, '[^/]*$')), 'page') GROUP BY 1 ORDER BY n DESC, folder LIMIT 1")
+def dominant_folder(spark, d):
+    return F_.dominant_folder(_paths(spark, d), "page")
+
+
+@query(f"WITH {PATHS_SQL} SELECT path, CASE WHEN starts_with(path, 'src1') AND ends_with(path, '.java') THEN 'java 1' WHEN contains(path, '/fr/') THEN 'french' ELSE 'plain' END AS standard FROM f")
+def standards_for_paths(spark, d):
+    return F_.standards_for(_paths(spark, d).select("path"), [("src1*.java", "java 1"), ("/fr/", "french")], "plain")
+
+
+@query("""WITH c AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (ORDER BY doc_id % 97 DESC, 'd' || doc_id, source ROWS UNBOUNDED PRECEDING) AS used FROM documents) SELECT 'd' || doc_id AS source_id FROM c WHERE used <= 60000""")
+def candidates_within_budget(spark, d):
+    c = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("source_id"), F.col("source").alias("target_id"), (F.col("doc_id") % 97).alias("score"), F.coalesce("text", F.lit("")).alias("text"))
+    return similarity.within_budget(c, "text").select("source_id")
+
+
+@query("SELECT 'd' || doc_id AS source_id, doc_id % 97 AS score FROM documents ORDER BY score DESC, source_id LIMIT 50")
+def top_candidates(spark, d):
+    c = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("source_id"), F.lit("x").alias("target_id"), (F.col("doc_id") % 97).alias("score"))
+    return similarity.top_candidates(c).select("source_id", "score")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS rule_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS no, c_mktsegment AS title, c_custkey FROM customer)
+SELECT rule_id, count(*) FILTER (WHERE no % 40 = 1) AS baselines, min(no) FILTER (WHERE no % 40 = 1) IS NOT DISTINCT FROM 1 AS baseline_first, count(title) = count(DISTINCT title) AS titles_unique FROM m GROUP BY rule_id""")
+def matrix_violations(spark, d):
+    no = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    m = table(spark, d, "customer").select(F.col("c_nationkey").alias("rule_id"), no.alias("test_number"), F.col("c_mktsegment").alias("title")).withColumn("varied", F.when(F.col("test_number") % 40 != 1, "x"))
+    return coverage.matrix_violations(m)
+
+
+@query("""WITH a AS (SELECT doc_id, md5(text) AS c FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(text) END AS c FROM documents WHERE doc_id % 11 <> 0)
+SELECT doc_id, 'changed' AS what FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.c = b.c) UNION ALL SELECT doc_id, 'deleted' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)""")
+def changed_and_deleted_files(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("checksum"))
+    found = docs.where("doc_id % 11 != 0").withColumn("checksum", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("checksum")))
+    indexed = docs.where("doc_id % 7 != 0")
+    return provenance.changed_files(indexed, found).select("doc_id", F.lit("changed").alias("what")).unionByName(provenance.deleted_files(indexed, found).select("doc_id", F.lit("deleted").alias("what")))
+
+
+@query(f"WITH {CLAIMS_SQL}, fresh AS (SELECT 'file_' || s_suppkey AS file, 'supplier_' || s_suppkey AS node_id FROM supplier) SELECT file, count(*) AS n FROM (SELECT * FROM claims WHERE file NOT IN (SELECT file FROM fresh) UNION ALL SELECT * FROM fresh) GROUP BY file")
+def recorded_claims(spark, d):
+    n = table(spark, d, "supplier").select(F.concat(F.lit("file_"), "s_suppkey").alias("source_file"), F.concat(F.lit("supplier_"), "s_suppkey").alias("id"))
+    return provenance.record(_claims(spark, d), provenance.bootstrap(n)).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("""WITH u AS (SELECT p_partkey, 'public static ' || p_type || ' make' || p_partkey || '(int a, String b) throws E {} private int hidden() {} public final Map<String, Integer[]> all' || p_partkey || '() {}' AS content FROM part)
+SELECT 'u' || p_partkey AS utility_id, unnest(['make' || p_partkey, 'all' || p_partkey]) AS name, unnest(['int a, String b', '']) AS parameters FROM u""")
+def utility_methods(spark, d):
+    content = F.concat(F.lit("public static "), "p_type", F.lit(" make"), "p_partkey", F.lit("(int a, String b) throws E {} private int hidden() {} public final Map<String, Integer[]> all"), "p_partkey", F.lit("() {}"))
+    return blueprint.methods(table(spark, d, "part").select(F.concat(F.lit("u"), "p_partkey").alias("utility_id"), F.lit("java").alias("language"), content.alias("content")))
+
+
+@query("""WITH e AS (SELECT 'endpoint_' || c_custkey AS source_id, lower(substr(c_name, 16, 1 + c_custkey % 3)) AS c FROM customer), k AS (SELECT 'component_' || c_custkey AS target_id, lower('My' || c_name || 'Impl') AS n FROM customer)
+SELECT source_id, count(*) AS n FROM e JOIN k ON contains(n, c) GROUP BY source_id""")
+def class_endpoints(spark, d):
+    c = table(spark, d, "customer")
+    e = c.select(F.concat(F.lit("endpoint_"), "c_custkey").alias("id"), F.expr("substr(c_name, 16, int(1 + c_custkey % 3))").alias("class_name"))
+    k = c.select(F.concat(F.lit("component_"), "c_custkey").alias("id"), F.concat(F.lit("My"), "c_name", F.lit("Impl")).alias("name"))
+    return structural.class_endpoint_edges(e, k).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id::VARCHAR AS source_id, list(DISTINCT event_type ORDER BY event_type) AS names FROM events GROUP BY 1")
+def mentions(spark, d):
+    e = table(spark, d, "events")
+    files = e.select(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("x = "), "event_type", F.lit("();")).alias("content"))
+    named = e.select(F.concat(F.lit("n_"), "event_type").alias("id"), F.col("event_type").alias("name")).distinct()
+    return structural.mention_edges(files, named, "USES").groupBy("source_id").agg(F.array_sort(F.collect_list(F.substring("target_id", 3, 1 << 20))).alias("names"))

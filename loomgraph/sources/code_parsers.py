@@ -405,40 +405,54 @@ def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
+SHEET_SCHEMA = "path string, sheet string, headers array<string>, rows array<array<string>>, error string"
+
+
 def read_sheets(files: DataFrame) -> DataFrame:
-    """(path, sheet, headers, rows) of .xlsx files (path, content); see text_parsers.sheet_nodes()."""
+    """(path, sheet, headers, rows, error) of .xlsx files (path, content); see text_parsers.sheet_nodes()."""
     ship(files.sparkSession)
 
-    kind = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])
+    kind = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [{"path": f["path"], "sheet": name, "headers": rows[0], "rows": rows[1:]} for f in batch.to_pylist() for name, rows in sheets(f["content"]) if rows]
+            found = []
+            for file in batch.to_pylist():
+                try:
+                    found += [{"path": file["path"], "sheet": name, "headers": rows[0], "rows": rows[1:]} for name, rows in sheets(file["content"]) if rows]
+                except Exception as problem:  # a broken file must not stop the job
+                    found.append({"path": file["path"], "error": f"{type(problem).__name__}: {problem}"[:500]})
             yield pa.RecordBatch.from_pylist(found, kind)
 
-    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, sheet string, headers array<string>, rows array<array<string>>")
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SHEET_SCHEMA)
 
 
 def read_csv_sheets(files: DataFrame) -> DataFrame:
-    """(path, sheet, headers, rows) of .csv files (path, content), one sheet each."""
+    """(path, sheet, headers, rows, error) of .csv files (path, content), one sheet each."""
     ship(files.sparkSession)
-    kind = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])
+    kind = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for file in batch.to_pylist():
-                rows = [r for r in csv.reader(io.StringIO(_text(file["content"]))) if any(r)]
+                try:
+                    rows = [r for r in csv.reader(io.StringIO(_text(file["content"]))) if any(r)]
+                except csv.Error as problem:
+                    found.append({"path": file["path"], "error": f"{type(problem).__name__}: {problem}"[:500]})
+                    continue
                 if rows:
                     found.append({"path": file["path"], "sheet": re.sub(r"\.\w+$", "", file["path"].rsplit("/", 1)[-1]), "headers": rows[0], "rows": rows[1:]})
             yield pa.RecordBatch.from_pylist(found, kind)
 
-    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, sheet string, headers array<string>, rows array<array<string>>")
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SHEET_SCHEMA)
 
 
 PARSERS: dict[str, Callable[[str, bytes], Parsed]] = {
     "gherkin": parse_gherkin, "schema": parse_schema, "java": parse_java, "typescript": parse_typescript, "python": parse_python, "go": parse_go, "playwright": parse_playwright, "qaf": parse_qaf, "word": parse_word,
 }
+#: Kinds that other functions read.
+ELSEWHERE = ("markdown", "properties", "pdf", "excel", "csv")
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -450,8 +464,11 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[dict] = []
             for file in batch.to_pylist():
+                if file["kind"] in ELSEWHERE:
+                    continue
                 parser = PARSERS.get(file["kind"])
                 if parser is None:
+                    out.append({"row": "error", "source_file": file["path"], "description": f"no parser for {file['kind']}"})
                     continue
                 try:
                     nodes, edges = parser(file["path"], file["content"])

@@ -47,8 +47,8 @@ def markdown(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     h2 = F.when(F.col("h1").isNull() | (F.col("h2.no") > F.col("h1.no")), F.col("h2.id"))
     parent = F.when(F.col("level") == 2, F.col("h1.id")).when(F.col("level") == 3, F.coalesce(h2, F.col("h1.id")))
     named = named.withColumn("parent", parent).where("not generic")
-    nodes = named.select("id", "type", F.col("heading").alias("name"), F.col("body").alias("description"), F.col("path").alias("source_file"))
-    edges = named.where("parent is not null").select(F.col("id").alias("source_id"), F.col("parent").alias("target_id"), F.lit("PART_OF").alias("relationship"))
+    nodes = named.select("id", "type", F.col("heading").alias("name"), F.col("body").alias("description"), F.col("path").alias("source_file"), F.col("no").cast("bigint").alias("pos"))
+    edges = named.where("parent is not null").select(F.col("id").alias("source_id"), F.col("parent").alias("target_id"), F.lit("PART_OF").alias("relationship"), F.col("path").alias("source_file"), F.col("no").cast("bigint").alias("pos"))
     return nodes, edges
 
 
@@ -70,7 +70,7 @@ def sheet_kind(headers: Column) -> Column:
 def sheet_nodes(sheets: DataFrame) -> DataFrame:
     """Nodes of sheets (path, sheet, headers array, rows array of arrays): one for each row of a field specification, else one for the sheet."""
     norm = F.transform("headers", header_name)
-    typed = sheets.withColumn("kind", sheet_kind(F.col("headers"))).withColumn("norm", norm)
+    typed = sheets.where("headers is not null").withColumn("kind", sheet_kind(F.col("headers"))).withColumn("norm", norm)
     key = F.coalesce(*(F.nullif(F.array_position("norm", c), F.lit(0)) for c in ("field_id", "id", "element_id", "key")))
     rows = typed.where("kind = 'field_spec'").withColumn("key", key).where("key is not null").select("path", "sheet", "norm", "key", F.explode("rows").alias("row"))
     cell = lambda name: F.get("row", (F.array_position("norm", name) - 1).cast("int"))
