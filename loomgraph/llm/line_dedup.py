@@ -28,7 +28,8 @@ sieve the lines.  Those that go on meet by their keys of 6 parts; lines of a key
 that more than MAX_GROUP share meet by 24 parts instead, where all but a twelfth
 of a line is equal.  Pairs of a key whose parities allow two edits (which code
 points and pairs of them a line holds an odd number of times; an edit changes
-few) are verified by edit distance; in a large
+few) are verified by edit distance; keys that the same lines share are taken as
+one, so that a pair meets once for each such set of lines; in a large
 group of the last keys the earliest line comes first, and only lines that it
 does not decide are compared with the others.
 
@@ -285,15 +286,18 @@ def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col:
     out, open_lines = None, going.select("ord")
     for parts in PARTS:
         by_key = Window.partitionBy("key")
-        rows = _keyed(texts(open_lines), parts).withColumn("n", F.count("*").over(by_key)).withColumn("least", F.min(F.struct("ord", "parity")).over(by_key))
-        rows = materialise(rows.where("n > 1"))
+        # Keys that the same lines share are one key: a pair that is equal outside one part meets in every key with that part.
+        members = F.expr("bit_xor(xxhash64(ord))").over(by_key)
+        rows = _keyed(texts(open_lines), parts).withColumn("n", F.count("*").over(by_key)).withColumn("same", members).where("n > 1")
+        rows = materialise(rows.groupBy(F.struct("same", "n").alias("key"), "ord").agg(F.first("parity").alias("parity"), F.first("n").alias("n")))
         few, many = rows.where(F.col("n") <= MAX_GROUP), rows.where(F.col("n") > MAX_GROUP)
         found = verified(met(few, few))
         out = found if out is None else out.unionAll(found)
         open_lines = many.select("ord").distinct()
         if not many.limit(1).count():
             return out
-    found = verified(many.where(F.col("ord") > F.col("least.ord")).where(_near(F.col("parity"), F.col("least.parity"))).select("ord", F.col("least.ord").alias("by")))
+    first = _with_group(many, ["key"], F.min(F.struct("ord", "parity")).alias("least"))
+    found = verified(first.where(F.col("ord") > F.col("least.ord")).where(_near(F.col("parity"), F.col("least.parity"))).select("ord", F.col("least.ord").alias("by")))
     return out.unionAll(found).unionAll(verified(met(many.join(found, "ord", "left_anti"), many)))
 
 
