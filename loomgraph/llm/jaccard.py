@@ -19,7 +19,9 @@ Work that grows with the square of a group is avoided without losing a link:
 2. In long posting lists classes are first paired with a few hubs of the list
    only, in rounds with other hubs each; verified links join components.
    Classes that share too few prefix shingles with any list for the matches asked
-   of them are left out before.
+   of them are left out before, and lists of the same classes become one that
+   counts as many times, at the first place any of them has in a class's prefix:
+   a pair's count can only rise by that, so it loses no candidate.
 3. Only then are all remaining pairs of a list taken, and of these just the
    pairs between different components: any other pair is connected already.
    Long lists are cut into blocks of bounded size that join block by block.
@@ -238,7 +240,7 @@ def _fits(x: Column, y: Column, p: Column, q: Column, percent: int) -> Column:
 
 def _candidates(pairs: DataFrame) -> DataFrame:
     """Pairs (a < b) that share as many prefix shingles as the less demanding of the two asks for."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).where(F.col("shared") >= F.col("l")).select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.first("l").alias("l")).where(F.col("shared") >= F.col("l")).select("a", "b")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -263,7 +265,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col:
 
 def _labelled(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
     """Index rows with the component that is known of their key."""
-    rows = rows.select("token", "key", "info", "parity")
+    rows = rows.select("token", "key", "info", "w", "held", "parity")
     if stars is None:
         return rows.withColumn("label", F.col("key"))
     return rows.join(stars.select(F.col("a").alias("key"), F.col("b").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -284,12 +286,17 @@ def _with_list(rows: DataFrame, *of_list: Column) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class with the hubs, out of its lists', that it shares most lists with, if they are not connected yet."""
-    hubs = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + h), "key").alias("z"), "key", "info", "label", "parity")) for h in range(HUBS)]
-    met = _with_list(rows, F.array(*hubs).alias("hubs")).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
-    met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), F.col("parity"), F.col("hub.parity"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
+    """Each class with the hubs, out of its lists', that it shares most lists with, if they are not connected yet.
+
+    A list's classes are dealt anew in each round, and of each share the class with the most shared prefix shingles is
+    the hub: it has the fewest shingles of its own, so it lies in the middle of its family and links with most of it.
+    """
+    dealt = F.pmod(F.xxhash64(F.lit(turn), "key"), F.lit(HUBS))
+    hubs = [F.min(F.when(dealt == h, F.struct((-F.col("held")).alias("z"), "key", "info", "label", "parity"))) for h in range(HUBS)]
+    met = _with_list(rows, F.array_compact(F.array(*hubs)).alias("hubs")).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), F.col("parity"), F.col("hub.parity"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", "w", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
     # Lists have different hubs, so a part of the matches asked for is enough here; a wrong guess costs one verification.
-    counted = met.groupBy("key", "a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).where(F.col("shared") * 4 >= F.col("l"))
+    counted = met.groupBy("key", "a", "b").agg(F.sum("w").alias("shared"), F.first("l").alias("l")).where(F.col("shared") * 4 >= F.col("l"))
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "a", "b"))
     return counted.withColumn("best", best).where(F.col("best") <= TRIES).select("a", "b").distinct()
 
@@ -309,10 +316,13 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = index.withColumn("low", F.min("key").over(few)).withColumn("high", F.max("key").over(few)).where("part > 0 OR low != high").select("token", "part", "key", "info").distinct()
     shared = materialise(shared.select("token", "key", "info"))
     least = F.min(_matches(F.col("info"))).alias("least")
-    shared = _with_list(shared, F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size"), least).where("low != high").withColumn("asked", F.col("least"))
+    members = F.expr("bit_xor(xxhash64(key))").alias("members")
+    shared = _with_list(shared, F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size"), least, members).where("low != high")
+    # Lists of the same classes become one, which counts as many times; near copies share whole runs of shingles.
+    shared = shared.groupBy(F.xxhash64("members", "size").alias("token"), "key").agg(F.min("info").alias("info"), F.max("size").alias("size"), F.min("least").alias("asked"), F.count("*").alias("w"))
     # No pair of a class asks for fewer matches than the least of its lists does; a class with fewer shared shingles has no pair.
     own = Window.partitionBy("key")
-    shared = shared.withColumn("held", F.count("*").over(own)).withColumn("asked", F.min("asked").over(own)).where("held >= asked").select("token", "key", "info", "size")
+    shared = shared.withColumn("held", F.sum("w").over(own)).withColumn("asked", F.min("asked").over(own)).where("held >= asked").select("token", "key", "info", "size", "w", "held")
     shared = materialise(shared.join(parities, "key"))
 
     verify = lambda pairs: _verify(pairs, classes, documents, id_col, text_col, k, percent)
@@ -327,10 +337,10 @@ def survey(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     labelled = materialise(_labelled(shared, stars))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_rows = labelled.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = open_rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("info").alias("x"), F.col("label").alias("p"), F.col("parity").alias("r"))
+    left = open_rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("info").alias("x"), F.col("label").alias("p"), F.col("parity").alias("r"), "w")
     right = open_rows.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("info").alias("y"), F.col("label").alias("q"), F.col("parity").alias("s"))
     pairs = left.join(right, ["token", "i", "j"]).where((F.col("p") != F.col("q")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _fits(F.col("x"), F.col("y"), F.col("r"), F.col("s"), percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(_matches(F.col("x")), _matches(F.col("y"))).alias("l"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", F.least(_matches(F.col("x")), _matches(F.col("y"))).alias("l"))
     rest = verify(_candidates(pairs))
     final = components(rest if found is None else rest.unionAll(found))
     return docs, final.select(F.col("a").alias("key"), F.col("b").alias("component"))
