@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, sharding, token_counts, urls
+from loomgraph.llm import alignment, chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, sharding, token_counts, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens of every document."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 promises: rows, least, greatest and number of slots of every shard, and the bytes of all of them."""
     placed = op3_sharding(spark, sf_dir)
@@ -110,7 +115,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, sharding_laws, mixing_targets
+        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op13_token_alignment, sharding_laws, mixing_targets
     )
 }
 
