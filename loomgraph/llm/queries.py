@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm import alignment, chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, sharding, token_counts, urls
+from loomgraph.llm import alignment, chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, runs, sharding, token_counts, urls
+from loomgraph.llm.common import WORD
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,26 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def made_periodic(documents: DataFrame) -> DataFrame:
+    """doc_id and text of the documents, of which op12 has every tenth, by crc32 of the id, repeat words a to a + p - 1 from word a on (fixed by its contract)."""
+    h = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    # The words are bound once, as the one element of an array.
+    repeated = r"""transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)), w ->
+      transform(array(named_struct('a', (h div 10) % size(w), 'p', 1 + (size(w) - (h div 10) % size(w)) div (3 + (h div 10) % 8))), c ->
+        array_join(transform(sequence(0, size(w) - 1), i -> w[CAST(IF(i < c.a, i, c.a + (i - c.a) % c.p) AS INT)]), ' '))[0])[0]"""
+    return h.select("doc_id", F.when((F.col("h") % 10 == 0) & F.col("text").rlike(WORD), F.expr(repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the one with most periods, and digests of all runs and of what stays without their repeats."""
+    found = runs.periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    # Runs come by start and period, so that the first of equals stays.
+    best = F.expr("aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (b, r) -> IF(b IS NULL OR r.length * b.period > b.length * r.period, r, b))")
+    text = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    out = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens of every document."""
     return alignment.align(table(spark, sf_dir, "documents"))
@@ -115,7 +136,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op13_token_alignment, sharding_laws, mixing_targets
+        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op12_periodic_runs, op13_token_alignment, sharding_laws, mixing_targets
     )
 }
 
