@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm import alignment, chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, runs, sharding, token_counts, urls
+from loomgraph.llm import alignment, chat, decontaminate, html_text, jaccard, licenses, line_dedup, mixing, quality, runs, sharding, token_counts, urls
 from loomgraph.llm.common import WORD
 
 
@@ -95,6 +95,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def made_periodic(documents: DataFrame) -> DataFrame:
     """doc_id and text of the documents, of which op12 has every tenth, by crc32 of the id, repeat words a to a + p - 1 from word a on (fixed by its contract)."""
     h = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -136,7 +141,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op12_periodic_runs, op13_token_alignment, sharding_laws, mixing_targets
+        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op11_html_extraction, op12_periodic_runs, op13_token_alignment, sharding_laws, mixing_targets
     )
 }
 
@@ -256,6 +261,14 @@ rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(f"('{r.host}', '{r.path}'
 fit AS (SELECT page_id, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r_host) DESC, length(r_path) DESC) AS n
   FROM u JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT u.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM u LEFT JOIN fit ON u.page_id = fit.page_id AND n = 1
+""",
+    # What the operator finds by cuts, the tables' pages mark: each has one article element, with p, h1, b and br in it.
+    "op11_html_extraction": r"""
+WITH m AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g') AS inner_html FROM pages),
+d AS (SELECT page_id, url, unnest(string_split_regex(inner_html, '</?(p|h1|br)>')) AS raw, generate_subscripts(string_split_regex(inner_html, '</?(p|h1|br)>'), 1) AS no FROM m),
+t AS (SELECT page_id, url, no, trim(regexp_replace(regexp_replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS block FROM d),
+x AS (SELECT page_id, url, coalesce(string_agg(block, chr(10) ORDER BY no) FILTER (WHERE block <> ''), '') AS text FROM t GROUP BY page_id, url)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM x
 """,
     "op10_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents WHERE text IS NOT NULL),
