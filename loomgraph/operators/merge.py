@@ -1,8 +1,7 @@
 """Writes to the graph: upserts, governance, anomalies and endpoint deduplication.
 
-A batch of incoming nodes is folded per id in its order, which the rules need.
-The fold is an aggregate over the sorted updates of one id, inside the JVM; an
-id has as many updates as files mention it.
+A batch of incoming nodes is folded per id in its order by aggregates that
+combine before their shuffle (see fold).
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import normal_path
+from loomgraph.operators import fold
 from loomgraph.plans.schema import CATEGORY_TYPES, RULE_FAMILY
 
 #: Documents that carry the say over a node.
@@ -28,42 +28,30 @@ def origin_of(path: str = "source_file") -> Column:
     return F.when(ext.isin(*DOCUMENT_EXTENSIONS), "documentation").otherwise("code")
 
 
+def governed(updates: DataFrame) -> DataFrame:
+    """normal_types(), with rule_category and rule_family in the metadata (JSON) too, where the latter is not given already."""
+    out = normal_types(updates)
+    given = F.coalesce(F.from_json("metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    added = F.map_filter(F.create_map(F.lit("rule_category"), F.col("rule_category"), F.lit("rule_family"), F.when(~F.array_contains(F.map_keys(given), "rule_family"), F.col("rule_family"))), lambda k, v: v.isNotNull())
+    kept = F.map_filter(given, lambda k, v: (k != "rule_category") | F.col("rule_category").isNull())
+    return out.withColumn("metadata", F.to_json(F.map_concat(kept, F.transform_values(added, lambda k, v: F.parse_json(F.concat(F.lit('"'), v, F.lit('"')))))))
+
+
 def upsert_nodes(updates: DataFrame) -> DataFrame:
-    """Fold updates (id, ord, type, name, description, metadata map, origin, source_file, caller) into one row for each id.
+    """Fold updates (id, ord, type, name, description, metadata, origin, source_file, caller) into one row for each id.
 
-    In order: an agent's update of a node of documentation origin is only an
-    anomaly; else the type is the incoming one, the name the longer one (ties
-    keep), the description the incoming one unless it is a shorter one of a
-    business rule, metadata are overwritten key by key, the origin is the
-    incoming, else the present one, else unknown, and source origins add up.
+    Metadata are a JSON object, whose objects merge one level deep, or a map of
+    strings; they come out in the same form.  In order: an agent's update of a
+    node of documentation origin is only an anomaly, the rest is as fold says.
+    anomalies are the first 200 characters of what agents were kept from saying,
+    once each, in order.
     """
-    # Maps have no order, so they are sorted as entries and are maps again afterwards.
-    one = F.struct("ord", "type", "name", "description", F.array_sort(F.map_entries("metadata")).alias("entries"), "origin", "source_file", "caller")
-    grouped = updates.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    back = lambda x: F.struct(*(x[c].alias(c) for c in ("ord", "type", "name", "description", "origin", "source_file", "caller")), F.map_from_entries(x["entries"]).alias("metadata"))
-    grouped = grouped.select("id", F.transform("s", back).alias("u"))
-    text = lambda c: F.coalesce(c, F.lit(""))
-    first = F.get("u", F.lit(0))
-    file_of = lambda x: F.coalesce(x["source_file"], F.lit("unknown"))
-    start = F.struct(
-        first["type"].alias("type"), text(first["name"]).alias("name"), text(first["description"]).alias("description"), F.coalesce(first["metadata"], F.create_map().cast("map<string,string>")).alias("metadata"),
-        F.coalesce(first["origin"], F.lit("unknown")).alias("origin"), F.array(file_of(first)).alias("source_origins"), F.lit(False).alias("is_merged"), F.array().cast("array<string>").alias("anomalies"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        locked = (acc["origin"] == "documentation") & (F.coalesce(x["caller"], F.lit("")) == "agent")
-        shorter = (x["type"] == "business_rule") & (F.length(text(x["description"])) < F.length(acc["description"]))
-        own = F.map_filter(acc["metadata"], lambda k, _: ~F.map_contains_key(F.coalesce(x["metadata"], F.create_map().cast("map<string,string>")), k))
-        merged = F.struct(
-            x["type"].alias("type"), F.when(F.length(text(x["name"])) > F.length(acc["name"]), text(x["name"])).otherwise(acc["name"]).alias("name"), F.when(shorter, acc["description"]).otherwise(text(x["description"])).alias("description"),
-            F.map_concat(own, F.coalesce(x["metadata"], F.create_map().cast("map<string,string>"))).alias("metadata"), F.coalesce(x["origin"], acc["origin"]).alias("origin"),
-            F.array_union(acc["source_origins"], F.array(file_of(x))).alias("source_origins"), F.lit(True).alias("is_merged"), acc["anomalies"].alias("anomalies"),
-        )
-        blocked = F.struct(*(acc[c].alias(c) for c in ("type", "name", "description", "metadata", "origin", "source_origins", "is_merged")), F.concat(acc["anomalies"], F.array(F.substring(text(x["description"]), 1, 200))).alias("anomalies"))
-        return F.when(locked, blocked).otherwise(merged)
-
-    folded = grouped.select("id", first["ord"].alias("ord"), F.aggregate(F.slice("u", F.lit(2), F.size("u")), start, step).alias("n"))
-    return folded.select("id", "ord", "n.type", "n.name", "n.description", "n.metadata", "n.origin", F.array_sort("n.source_origins").alias("source_origins"), "n.is_merged", "n.anomalies")
+    flat = dict(updates.dtypes)["metadata"] != "string"
+    taken, kept_out = fold.accepted(updates)
+    nodes = fold.nodes_of(fold.combine(fold.pieces_of(taken), nested=not flat), flat)
+    said = kept_out.groupBy(F.col("id").alias("a_id"), F.substring(F.coalesce("description", F.lit("")), 1, 200).alias("said")).agg(F.min("ord").alias("ord"))
+    said = said.groupBy("a_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "said"))), lambda x: x["said"]).alias("anomalies"))
+    return nodes.join(said, F.col("id").eqNullSafe(F.col("a_id")), "left").drop("a_id").withColumn("anomalies", F.coalesce("anomalies", F.array().cast("array<string>")))
 
 
 def record_anomalies(anomalies: DataFrame) -> DataFrame:
