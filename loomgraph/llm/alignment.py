@@ -12,7 +12,8 @@ of token occurrences inside a group are linked.
    white space.  Neither tokenizer has a token across such a place (checked
    against the vocabularies; where it fails, a whole text is one unit), so equal
    units align equally wherever they stand.  Each is encoded and aligned once per
-   worker and kept up to MAX_UNITS; documents are then sums over their units.
+   task, as long as it is among the MAX_UNITS kept; documents are then sums over
+   their units.
 2. A block of about BLOCK_CHARS code points of whole texts becomes one row: the
    counts and digests of its documents, their units, the links of each unit, and
    in how many of its documents each pair of ids is linked.
@@ -43,15 +44,15 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import map_arrow, materialise
+from loomgraph.llm.common import give_back, map_arrow, materialise
 from loomgraph.llm.token_counts import PATTERN
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of text that make a block; a longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
-#: Units, and code points of them, that a worker keeps.
-MAX_UNITS, MAX_UNIT_CHARS = 500_000, 20_000_000
+BLOCK_CHARS = 2_000_000
+#: Units, and code points of them, that a worker keeps from block to block.
+MAX_UNITS, MAX_UNIT_CHARS = 150_000, 4_000_000
 #: Characters that an engine of patterns might take for white space, besides those of Python's.
 _DOUBTFUL = "᠎​﻿"
 _CUT = re.compile(f"(?<=[^\\s{_DOUBTFUL}]) ")
@@ -155,20 +156,21 @@ class Units:
         self.pair_cuts = np.zeros(1, np.int64)
         self.blocks = np.zeros(0, np.int64)  # blocks that had the unit
 
-    def forget(self) -> None:
-        """If there are too many units, keep only those of several blocks, or none if these are too many too."""
-        if len(self.text) <= MAX_UNITS and self.chars <= MAX_UNIT_CHARS:
+    def forget(self, everything: bool = False) -> None:
+        """If there are too many units, keep at most half as many: those that most blocks had."""
+        if not everything and len(self.text) <= MAX_UNITS and self.chars <= MAX_UNIT_CHARS:
             return
         names = list(self.number)
-        kept = np.flatnonzero(self.blocks > 1)
-        chars = sum(len(names[i]) for i in kept)
-        if len(kept) > MAX_UNITS // 2 or chars > MAX_UNIT_CHARS // 2:
-            kept, chars = kept[:0], 0
+        kept = np.argsort(-self.blocks, kind="stable")[: 0 if everything else MAX_UNITS // 2]
+        kept = kept[self.blocks[kept] > 1]
+        sizes = np.cumsum([len(names[i]) for i in kept.tolist()])
+        kept = np.sort(kept[: int(np.searchsorted(sizes, MAX_UNIT_CHARS // 2))])
         links = self.counts[kept, 4]
         self.pairs = self.pairs[_ranges(self.pair_cuts[kept], links)]
         self.number = {names[i]: n for n, i in enumerate(kept.tolist())}
         self.text = [self.text[i] for i in kept.tolist()]
-        self.chars, self.counts, self.pair_cuts, self.blocks = chars, self.counts[kept], _cuts(links), np.ones(len(kept), np.int64)
+        self.counts, self.pair_cuts, self.blocks = self.counts[kept], _cuts(links), (self.blocks[kept] + 1) // 2
+        self.chars = sum(map(len, self.number))
 
     def _agree(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> np.ndarray:
         """Whether the tokens of both join to space + unit: of all units at once, and one by one where they do not."""
@@ -263,14 +265,14 @@ def _block(units: Units, texts: list[str | None]) -> dict[str, list]:
     return dict(zip(_DOCS, out.T, strict=True)) | {"digest": digest, "n_units": n_units, "unit": unit, "unit_links": links, "link": link, "pair": pair, "docs_in": docs_in}
 
 
-_workers: dict[int, Units] = {}
+_workers: dict[int, tuple[ByteLevel, Pieces]] = {}
 
 
-def _units(byte_bpe: bytes, piece_bpe: bytes) -> Units:
-    """A Python worker makes its tokenizers once and keeps what it has aligned."""
+def _tokenizers(byte_bpe: bytes, piece_bpe: bytes) -> tuple[ByteLevel, Pieces]:
+    """A Python worker makes its tokenizers once."""
     key = hash((byte_bpe, piece_bpe))
     if key not in _workers:
-        _workers[key] = Units(ByteLevel(byte_bpe), Pieces(piece_bpe))
+        _workers[key] = ByteLevel(byte_bpe), Pieces(piece_bpe)
     return _workers[key]
 
 
@@ -284,16 +286,19 @@ def _blocks(documents: DataFrame, id_col: str, text_col: str, byte_bpe: str, pie
     lists = [(name, pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind[6:-1]])) for name, kind in (c.split(" ") for c in _BLOCK.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _units(files[0].value, files[1].value)
+        units = Units(*_tokenizers(files[0].value, files[1].value))
         for batch in batches:
-            ids, texts, start, chars = batch.column(0), batch.column(1).to_pylist(), 0, 0
-            for end in range(1, len(texts) + 1):
-                chars += len(texts[end - 1] or "")
-                if chars >= BLOCK_CHARS or end == len(texts):
-                    row = _block(units, texts[start:end])
-                    own = pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), ids.slice(start, end - start))
-                    yield pa.RecordBatch.from_arrays([own, *(pa.ListArray.from_arrays(pa.array([0, len(row[n])], pa.int32()), pa.array(row[n], kind.value_type)) for n, kind in lists)], names=["ids", *(n for n, _ in lists)])
-                    start, chars = end, 0
+            ids, column, start = batch.column(0), batch.column(1), 0
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while start < batch.num_rows:
+                before = int(chars[start - 1]) if start else 0
+                end = min(int(np.searchsorted(chars, before + BLOCK_CHARS)) + 1, batch.num_rows)
+                row = _block(units, column.slice(start, end - start).to_pylist())
+                own = pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), ids.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays([own, *(pa.ListArray.from_arrays(pa.array([0, len(row[n])], pa.int32()), pa.array(row[n], kind.value_type)) for n, kind in lists)], names=["ids", *(n for n, _ in lists)])
+                start = end
+        units.forget(everything=True)
+        give_back()
 
     return map_arrow(slim, run, f"ids array<{dict(slim.dtypes)['id']}>, {_BLOCK}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +34,15 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return map_arrow(df, lambda batches: (out for batch in batches if (out := f(batch)).num_rows), schema)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the machine, for a worker that stays has it otherwise until its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def repeated(documents: DataFrame, id_col: str, text_col: str) -> bool:
     """Whether any id and text come in more than one row."""
     keys = documents.groupBy(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body")).agg(F.count("*").alias("n"))
