@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import logging
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shared import free_name, materialise
@@ -62,6 +65,47 @@ def rooted_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("source_id") == F.col("id"), "left_semi").join(ids, F.col("target_id") == F.col("id"), "left_semi")
 
 
+class MissingEnds(ValueError):
+    """Edges whose ends are no nodes were to be refused with an error."""
+
+
+def split_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with both ends among the nodes, the others with missing_source and missing_target)."""
+    ids = nodes.select("id").where("id is not null").distinct()
+    s, t = ids.select(F.col("id").alias("s_id")), ids.select(F.col("id").alias("t_id"))
+    checked = edges.join(s, F.col("source_id") == F.col("s_id"), "left").join(t, F.col("target_id") == F.col("t_id"), "left")
+    checked = checked.withColumn("missing_source", F.col("s_id").isNull()).withColumn("missing_target", F.col("t_id").isNull()).drop("s_id", "t_id")
+    bad = F.col("missing_source") | F.col("missing_target")
+    return checked.where(~bad).drop("missing_source", "missing_target"), checked.where(bad)
+
+
+def upsert_edges(edges: DataFrame, incoming: DataFrame, nodes: DataFrame, missing: str = "warn") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(edges after the incoming ones, those refused, counts) of edges (source_id, target_id, relationship, ord, confidence).
+
+    Relationships are put in upper case and the last edge of a pair stays; edges
+    of unknown ends are refused.  missing='warn' logs how many, 'raise' raises
+    MissingEnds with some of them, 'silent' only counts.  One pass checks, writes
+    and counts (accepted, refused).
+    """
+    if missing not in ("warn", "raise", "silent"):
+        raise ValueError("missing is warn, raise or silent")
+    ids = nodes.select("id").where("id is not null").distinct()
+    s, t = ids.select(F.col("id").alias("s_id")), ids.select(F.col("id").alias("t_id"))
+    checked = incoming.withColumn("relationship", F.upper("relationship")).join(s, F.col("source_id") == F.col("s_id"), "left").join(t, F.col("target_id") == F.col("t_id"), "left")
+    checked = checked.withColumn("missing_source", F.col("s_id").isNull()).withColumn("missing_target", F.col("t_id").isNull()).drop("s_id", "t_id")
+    bad = F.col("missing_source") | F.col("missing_target")
+    seen = Observation(f"edges-{uuid.uuid4().hex}")
+    rows = written(checked.observe(seen, F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("refused")))
+    counts = seen.get
+    refused = rows.where(bad)
+    if counts["refused"] and missing == "raise":
+        some = [f"{r.source_id} {r.relationship} {r.target_id}" for r in refused.select("source_id", "relationship", "target_id").limit(5).collect()]
+        raise MissingEnds(f"{counts['refused']} edges have unknown ends: {', '.join(some)}")
+    if counts["refused"] and missing == "warn":
+        logging.getLogger(__name__).warning("%d edges have unknown ends", counts["refused"])
+    return last_edges(edges.unionByName(rows.where(~bad).select(*edges.columns))), refused, counts
+
+
 def dangling_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id): ends of edges that are no node."""
     ends = edges.select(F.col("source_id").alias("id")).unionAll(edges.select("target_id")).distinct()

@@ -79,7 +79,7 @@ def duplicate_endpoints(endpoints: DataFrame) -> DataFrame:
     group = Window.partitionBy("key")
     spec = F.max("has_spec").over(group)
     rows = rows.withColumn("size", F.count("*").over(group)).withColumn("any_spec", spec)
-    rank = F.row_number().over(group.orderBy(F.col("has_spec").desc(), F.when(F.col("any_spec"), F.col("ord")).otherwise(F.length("id")), "ord", "id"))
+    rank = F.row_number().over(group.orderBy(F.col("has_spec").desc(), F.when(F.col("any_spec"), F.col("ord")), F.when(~F.col("any_spec"), F.length("id")), "ord", "id"))
     rows = rows.withColumn("rank", rank).where("size > 1")
     return rows.withColumn("primary", F.first("id").over(group.orderBy("rank"))).select("id", "primary", "key")
 

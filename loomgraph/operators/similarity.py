@@ -100,10 +100,21 @@ def shared_name_words(left: DataFrame, right: DataFrame, words: Column, keep: in
 
 
 def overlapping(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
-    """(source_id, target_id, shared): pairs (id, text) with at least so many common raw words."""
-    a = left.select(F.col("id").alias("source_id"), F.explode(raw_words("text")).alias("w"))
-    b = right.select(F.col("id").alias("target_id"), F.explode(raw_words("text")).alias("w"))
-    return a.join(b, "w").groupBy("source_id", "target_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """(source_id, target_id, shared): pairs (id, text) with at least so many common raw words.
+
+    Of `least` words that a pair shares, one at least is not among the right
+    one's least - 1 most frequent; pairs meet in the others only, and whole lists
+    of words then count.  A word that a third of all rows have is seldom joined.
+    """
+    tokens = lambda df, name: df.select(F.col("id").alias(name), raw_words("text").alias(f"{name}_words")).where(F.size(f"{name}_words") >= least)
+    a, b = tokens(left, "source_id"), tokens(right, "target_id")
+    posted = a.select("source_id", F.explode("source_id_words").alias("w"))
+    counts = posted.groupBy("w").agg(F.count("*").alias("held"))
+    listed = b.select("target_id", F.explode("target_id_words").alias("w")).join(counts, "w")
+    rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("held"), "w"))
+    pairs = posted.join(listed.withColumn("rank", rank).where(F.col("rank") >= least).select("target_id", "w"), "w").select("source_id", "target_id").distinct()
+    both = pairs.join(a, "source_id").join(b, "target_id")
+    return both.select("source_id", "target_id", F.size(F.array_intersect("source_id_words", "target_id_words")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
 
 
 def is_functional(rule_origin: str = "rule_origin") -> Column:
@@ -120,6 +131,14 @@ def top_candidates(candidates: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def within_budget(candidates: DataFrame, text: str, limit: int = 60_000) -> DataFrame:
-    """The best candidates whose texts together stay within the limit; ordered runs of counts, no collect."""
-    order = Window.orderBy(F.desc("score"), "source_id", "target_id").rowsBetween(Window.unboundedPreceding, 0)
-    return candidates.withColumn("used", F.sum(F.length(text)).over(order)).where(F.col("used") <= limit)
+    """The best candidates whose texts together stay within the limit, by score, then ids, with the characters `used` up to each.
+
+    Totals of equal scores combine first; only their running sum, one row for
+    each different score, is in one task, and rows are put in order score by score.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
+    totals = candidates.groupBy(F.col("score").alias("t_score")).agg(F.sum(size).alias("total"))
+    above = totals.withColumn("above", F.coalesce(F.sum("total").over(Window.orderBy(F.desc("t_score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("above") <= limit).select("t_score", "above")
+    inside = Window.partitionBy("score").orderBy("source_id", "target_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = candidates.join(above, F.col("score").eqNullSafe(F.col("t_score"))).withColumn("used", F.col("above") + F.sum(size).over(inside))
+    return rows.where(F.col("used") <= limit).drop("t_score", "above")

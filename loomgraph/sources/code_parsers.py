@@ -281,7 +281,7 @@ def parse_playwright(path: str, content: bytes | str) -> Parsed:
     nodes: list[dict] = []
     edges: list[dict] = []
     for name, body in re.findall(r"class\s+(\w*(?:Page|POM)\w*)[^{]*\{(.*?)(?=\nclass\s|\nexport\s+class\s|\Z)", source, re.S):
-        page = _node("ui_page_object", name, "", path)
+        page = _node("ui_page_object", name, "", path, class_name=name, framework="playwright")
         nodes.append(page)
         for field, selector in re.findall(r"(\w+)\s*=\s*(?:this\.)?page\.(?:locator|getBy\w+)\(\s*['\"`]([^'\"`]+)['\"`]", body):
             node = _node("ui_locator", f"{name}.{field}", selector, path, selector=selector)
@@ -293,7 +293,7 @@ def parse_playwright(path: str, content: bytes | str) -> Parsed:
         nodes.append(node)
         edges += [_edge(node["id"], make_id("ui_page_object", p), "USES_POM") for p in sorted(pages)]
     for name, body in re.findall(r"\binterface\s+(\w+)[^{]*\{([^}]*)\}", source):
-        nodes.append(_node("data_model", name, "", path, properties=dict(re.findall(r"(\w+)\??\s*:\s*([\w\[\]<>|. ]+)", body))))
+        nodes.append(_node("data_model", name, "", path, class_name=name, language="typescript", properties=dict(re.findall(r"(\w+)\??\s*:\s*([\w\[\]<>|. ]+)", body))))
     return nodes, edges
 
 
@@ -308,7 +308,7 @@ def parse_qaf(path: str, content: bytes | str) -> Parsed:
     elif path.endswith(".java"):
         for name, parent in re.findall(r"class\s+(\w+)(?:\s+extends\s+(\w+))?", _bare(source)):
             kind = "ui_page_object" if "Page" in (parent or "") else "data_model" if "DataBean" in (parent or "") else "test_utility" if re.search(r"(Util|Utils|Helper)$", name) else "code_component"
-            nodes.append(_node(kind, name, "", path, language="java"))
+            nodes.append(_node(kind, name, "", path, class_name=name, language="java"))
         nodes += [_node("test_step_definition", text, text, path) for text in re.findall(r"@QAFTestStep\(\s*description\s*=\s*\"([^\"]+)\"", source)]
         nodes += [_endpoint(m, re.sub(r"^\w+://[^/]+", "", r), path) for m, r in re.findall(r"\.(get|post|put|delete|patch)\(\s*\"([^\"]*/[^\"]*)\"", source)]
     else:
