@@ -233,7 +233,19 @@ class Units:
 
 #: Columns of a block beside its ids: of documents, of units, of pairs.
 _DOCS = "n_a n_b n_groups n_links".split()
-_BLOCK = ", ".join([*(f"{c} array<bigint>" for c in _DOCS), "digest array<string>", "n_units array<int>", "unit array<int>", "unit_links array<int>", "link array<int>", "pair array<bigint>", "docs_in array<int>"])
+_BLOCK = ", ".join([*(f"{c} array<bigint>" for c in _DOCS), "digest array<string>", "pair array<bigint>", "docs_in array<int>"])
+#: Numbers that only the block itself reads again: units of each document, units, links of each unit, links; packed as one compressed value.
+_PACKED = ("n_units", "unit", "unit_links", "link")
+
+
+def _pack(numbers: dict[str, np.ndarray]) -> dict:
+    flat = np.concatenate([numbers[c].astype(np.int32) for c in _PACKED])
+    return {"packed": pa.compress(flat.tobytes(), codec="zstd", asbytes=True), "sizes": [len(numbers[c]) for c in _PACKED]}
+
+
+def _unpack(packed: bytes, sizes: list[int]) -> dict[str, np.ndarray]:
+    flat = np.frombuffer(pa.decompress(packed, decompressed_size=4 * sum(sizes), codec="zstd", asbytes=True), np.int32)
+    return dict(zip(_PACKED, np.split(flat.astype(np.int64), np.cumsum(sizes)[:-1]), strict=True))
 
 
 def _block(units: Units, texts: list[str | None]) -> dict[str, list]:
@@ -262,7 +274,7 @@ def _block(units: Units, texts: list[str | None]) -> dict[str, list]:
     doc, u = held // max(len(own), 1), held % max(len(own), 1)
     held, _ = _distinct(np.repeat(doc, links[u]) * max(len(pair), 1) + link[_ranges(_cuts(links)[:-1][u], links[u])], False)
     docs_in = np.bincount(held % max(len(pair), 1), minlength=len(pair))
-    return dict(zip(_DOCS, out.T, strict=True)) | {"digest": digest, "n_units": n_units, "unit": unit, "unit_links": links, "link": link, "pair": pair, "docs_in": docs_in}
+    return dict(zip(_DOCS, out.T, strict=True)) | {"digest": digest, "pair": pair, "docs_in": docs_in} | _pack({"n_units": n_units, "unit": unit, "unit_links": links, "link": link})
 
 
 _workers: dict[int, tuple[ByteLevel, Pieces]] = {}
@@ -295,12 +307,13 @@ def _blocks(documents: DataFrame, id_col: str, text_col: str, byte_bpe: str, pie
                 end = min(int(np.searchsorted(chars, before + BLOCK_CHARS)) + 1, batch.num_rows)
                 row = _block(units, column.slice(start, end - start).to_pylist())
                 own = pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), ids.slice(start, end - start))
-                yield pa.RecordBatch.from_arrays([own, *(pa.ListArray.from_arrays(pa.array([0, len(row[n])], pa.int32()), pa.array(row[n], kind.value_type)) for n, kind in lists)], names=["ids", *(n for n, _ in lists)])
+                flat = [pa.ListArray.from_arrays(pa.array([0, len(row[n])], pa.int32()), pa.array(row[n], kind.value_type)) for n, kind in lists]
+                yield pa.RecordBatch.from_arrays([own, *flat, pa.array([row["packed"]], pa.binary()), pa.array([row["sizes"]], pa.list_(pa.int32()))], names=["ids", *(n for n, _ in lists), "packed", "sizes"])
                 start = end
         units.forget(everything=True)
         give_back()
 
-    return map_arrow(slim, run, f"ids array<{dict(slim.dtypes)['id']}>, {_BLOCK}")
+    return map_arrow(slim, run, f"ids array<{dict(slim.dtypes)['id']}>, {_BLOCK}, packed binary, sizes array<int>")
 
 
 def _of_blocks(batch: pa.RecordBatch, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -308,14 +321,11 @@ def _of_blocks(batch: pa.RecordBatch, id_type: pa.DataType) -> Iterator[pa.Recor
     column = {name: batch.column(name) for name in batch.schema.names}
     for i in range(batch.num_rows):
         part = lambda name, i=i: column[name].slice(i, 1).flatten()
-        number = lambda name: part(name).to_numpy(zero_copy_only=False).astype(np.int64)
-        scores = part("scores")
-        links, link, unit, sizes = number("unit_links"), number("link"), number("unit"), number("n_units")
-        out = []
+        scores, own, out = part("scores"), _unpack(column["packed"][i].as_py(), column["sizes"][i].as_py()), []
         for name in ("best", "n"):
             score = scores.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
-            of_unit = np.diff(np.append(0, np.cumsum(score[link]))[_cuts(links)])
-            out.append(np.diff(np.append(0, np.cumsum(of_unit[unit]))[_cuts(sizes)]))
+            of_unit = np.diff(np.append(0, np.cumsum(score[own["link"]]))[_cuts(own["unit_links"])])
+            out.append(np.diff(np.append(0, np.cumsum(of_unit[own["unit"]]))[_cuts(own["n_units"])]))
         ids = part("ids")
         yield pa.RecordBatch.from_arrays([ids.cast(id_type), *(part(n) for n in _DOCS), *(pa.array(x) for x in out), part("digest")], names=["id", *_DOCS, "n_best", "count_sum", "groups_sha256"])
 
@@ -331,7 +341,7 @@ def align(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     held = blocks.select("block", F.posexplode("pair").alias("pos", "pair"))
     scores = held.join(counts.select("pair", "n", "best"), "pair").groupBy(F.col("block").alias("s_block")).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("scores"))
     none = F.array().cast("array<struct<pos: int, n: bigint, best: boolean>>")
-    joined = blocks.join(scores, F.col("block") == F.col("s_block"), "left").select("ids", *_DOCS, "digest", "n_units", "unit", "unit_links", "link", F.coalesce("scores", none).alias("scores"))
+    joined = blocks.join(scores, F.col("block") == F.col("s_block"), "left").select("ids", *_DOCS, "digest", "packed", "sizes", F.coalesce("scores", none).alias("scores"))
     id_kind = dict(blocks.dtypes)["ids"][6:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
