@@ -50,9 +50,9 @@ from loomgraph.llm.token_counts import PATTERN
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of text that make a block; a longer text is a block of its own.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Units, and code points of them, that a worker keeps from block to block.
-MAX_UNITS, MAX_UNIT_CHARS = 150_000, 4_000_000
+MAX_UNITS, MAX_UNIT_CHARS = 60_000, 2_000_000
 #: Characters that an engine of patterns might take for white space, besides those of Python's.
 _DOUBTFUL = "᠎​﻿"
 _CUT = re.compile(f"(?<=[^\\s{_DOUBTFUL}]) ")
