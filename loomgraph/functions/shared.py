@@ -28,6 +28,28 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where it is not there."""
+    files, place = _place(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
 def materialise(df: DataFrame, name: str = "loomgraph") -> DataFrame:
     """Write rows to the shared folder as Parquet and read them back.
 

@@ -33,13 +33,24 @@ def _limits(policy: DataFrame) -> DataFrame:
 
 
 def scored(left: DataFrame, right: DataFrame, pairs: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """What SCORED asks for of two weight tables with type and origin; pairs(left, right) finds pairs of them."""
-    out = None
-    for relationship, sources, targets in SCORED:
-        found = pairs(left.where(F.col("type").isin(*sources)), right.where(F.col("type").isin(*targets) & (F.col("origin") != "nfr")))
-        found = found.select("source_id", "target_id", F.lit(relationship).alias("relationship"), "score", "tokens", F.lit("terms").alias("mapper"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    """What SCORED asks for of two weight tables with type and origin; pairs(left, right) finds pairs of them.
+
+    Nodes stand once for each relationship that their type may have, ids and terms
+    marked with its number, so that one search finds the pairs of all of them.
+    """
+    def marked(weights: DataFrame, kinds: list[tuple[str, ...]]) -> DataFrame:
+        marks = F.filter(F.array(*(F.when(F.col("type").isin(*k), F.lit(str(i))) for i, k in enumerate(kinds))), lambda m: m.isNotNull())
+        return weights.withColumn("m", F.explode(marks)).withColumn("id", F.concat("m", "id")).withColumn("term", F.concat("m", "term")).drop("m")
+
+    found = pairs(marked(left, [s for _, s, _ in SCORED]), marked(right.where("origin != 'nfr'"), [t for _, _, t in SCORED]))
+    names = F.array(*(F.lit(r) for r, _, _ in SCORED))
+    bare = lambda c: F.substring(c, F.lit(2), F.length(c))
+    return found.select(bare("source_id").alias("source_id"), bare("target_id").alias("target_id"), F.get(names, F.substring("source_id", 1, 1).cast("int")).alias("relationship"), "score", F.transform("tokens", bare).alias("tokens"), F.lit("terms").alias("mapper"))
+
+
+def marked_ids(ids: DataFrame) -> DataFrame:
+    """The ids (id) as scored() marks them."""
+    return ids.select(F.explode(F.array(*(F.concat(F.lit(str(i)), F.col("id")) for i in range(len(SCORED))))).alias("id"))
 
 
 def with_kind(weights: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def governed(updates: DataFrame) -> DataFrame:
     """normal_types(), with rule_category and rule_family in the metadata (JSON) too, where the latter is not given already."""
     out = normal_types(updates)
     given = F.coalesce(F.from_json("metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    added = F.map_filter(F.create_map(F.lit("rule_category"), F.col("rule_category"), F.lit("rule_family"), F.when(~F.array_contains(F.map_keys(given), "rule_family"), F.col("rule_family"))), lambda k, v: v.isNotNull())
+    added = F.map_filter(F.create_map(F.lit("rule_category"), F.col("rule_category"), F.lit("rule_family"), F.when((F.col("type") != "business_rule") & ~F.array_contains(F.map_keys(given), "rule_family"), F.col("rule_family"))), lambda k, v: v.isNotNull())
     kept = F.map_filter(given, lambda k, v: (k != "rule_category") | F.col("rule_category").isNull())
     return out.withColumn("metadata", F.to_json(F.map_concat(kept, F.transform_values(added, lambda k, v: F.parse_json(F.concat(F.lit('"'), v, F.lit('"')))))))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.functions.shared import delete_at_end, shared_dir
 from loomgraph.operators import blueprint, coverage, graph, merge, planning, provenance, reports, search, similarity, structural
-from loomgraph.plans import schema
+from loomgraph.plans import schema, shards, state
 from loomgraph.plans.adapters import EDGES_SQL, NODES_SQL, edges, nodes, table
 from loomgraph.sources import files as F_
 from loomgraph.sources import text_parsers
@@ -712,3 +714,57 @@ def mentions(spark, d):
     files = e.select(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("x = "), "event_type", F.lit("();")).alias("content"))
     named = e.select(F.concat(F.lit("n_"), "event_type").alias("id"), F.col("event_type").alias("name")).distinct()
     return structural.mention_edges(files, named, "USES").groupBy("source_id").agg(F.array_sort(F.collect_list(F.substring("target_id", 3, 1 << 20))).alias("names"))
+
+
+# --- Graphs that are kept --------------------------------------------------------
+
+# Rules are documents, scenarios benchmark items; documents come in three batches,
+# some change with the second and some go with the third.
+_KEPT = f"""
+said AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+old AS (SELECT doc_id, text FROM said WHERE doc_id % 3 = 0),
+present AS (SELECT doc_id, CASE WHEN doc_id % 30 = 0 THEN replace(text, 'e', 'a') ELSE text END AS text FROM said WHERE doc_id % 31 <> 0),
+scen AS (SELECT 'scenario_s' || item_id AS id, 'S' || item_id || ' ' || coalesce(text, '') AS text FROM benchmark),
+first AS (SELECT 'rule_r' || doc_id AS id, 'R' || doc_id || ' ' || text AS text FROM old UNION ALL SELECT * FROM scen),
+ft AS (SELECT id, unnest({TERMS.format("text")}) AS term FROM first),
+n AS (SELECT count(*) AS n FROM first), idf AS (SELECT term, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM ft, n GROUP BY term),
+now AS (SELECT 'rule_r' || doc_id AS id, 'R' || doc_id || ' ' || text AS text FROM present UNION ALL SELECT * FROM scen),
+nt AS (SELECT id, unnest({TERMS.format("text")}) AS term FROM now),
+w AS (SELECT id, nt.term, coalesce(idf, ln((SELECT n + 1 FROM n)) + 1) AS idf FROM nt LEFT JOIN idf ON nt.term = idf.term),
+norm AS (SELECT id, sum(idf * idf) AS n2 FROM w GROUP BY id),
+pair AS (SELECT a.id AS source_id, b.id AS target_id, sum(a.idf * a.idf) AS dot FROM w a JOIN w b ON a.term = b.term WHERE starts_with(a.id, 's') AND starts_with(b.id, 'r') GROUP BY 1, 2),
+scored AS (SELECT source_id, target_id, round(dot / sqrt(x.n2 * y.n2), 4) AS score FROM pair JOIN norm x ON x.id = source_id JOIN norm y ON y.id = target_id WHERE dot / sqrt(x.n2 * y.n2) >= 0.35)
+SELECT source_id, target_id, score FROM scored"""
+
+
+def _page(kind: str, name, text):
+    """A page with one heading; lines of the text that would be headings are not."""
+    return F.concat(F.lit(f"{'##' if kind == 'Rule' else '###'} {kind}: "), name, F.lit("\n"), F.regexp_replace(F.coalesce(text, F.lit("")), "(?m)^\\s*#", " "))
+
+
+def _kept_files(spark, d):
+    """(path, content, doc_id) of all documents and scenarios, as pages."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("docs/r"), "doc_id", F.lit(".md")).alias("path"), _page("Rule", F.concat(F.lit("R"), "doc_id"), F.col("text")).alias("content"), "doc_id")
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("tests/s"), "item_id", F.lit(".md")).alias("path"), _page("Scenario", F.concat(F.lit("S"), "item_id"), F.col("text")).alias("content"), F.lit(0).cast("bigint").alias("doc_id"))
+    return docs, items
+
+
+def _with_checksum(files):
+    return files.select("path", F.col("content").cast("binary").alias("content"), F.sha2(F.col("content").cast("binary"), 256).alias("checksum"))
+
+
+def _scored_rows(graph_):
+    rows = graph_["edges"].where("relationship = 'TESTS'").select("source_id", "target_id", F.col("confidence").alias("score"))
+    return rows.unionByName(graph_["candidates"].where("relationship = 'TESTS'").select("source_id", "target_id", F.bround("score", 4).alias("score")))
+
+
+@query(f"WITH {_KEPT}")
+def incremental_graph(spark, d):
+    """Edges and candidates of a graph that was built in three batches, with changed and deleted files."""
+    docs, items = _kept_files(spark, d)
+    folder = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    changed = docs.withColumn("content", F.when(F.col("doc_id") % 30 == 0, F.concat(F.substring_index("content", "\n", 1), F.lit("\n"), F.translate(F.expr("substring(content, length(substring_index(content, '\\n', 1)) + 2)"), "e", "a"))).otherwise(F.col("content")))
+    for files in (docs.where("doc_id % 3 = 0").unionByName(items), changed.where("doc_id % 3 < 2").unionByName(items), changed.where("doc_id % 31 != 0").unionByName(items)):
+        state.update(_with_checksum(files), folder)
+    return _scored_rows(state.State(spark, folder).graph())

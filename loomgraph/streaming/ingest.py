@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.hooks import Hooks
 from loomgraph.operators.provenance import changed_files
 from loomgraph.sources.code_parsers import parse_files
 from loomgraph.sources.files import eligible, parser_kind
 
-Hook = Callable[[str, object], None]
-
-
-class Hooks:
-    """Callbacks on the driver at before_ingest, after_parse, before_write and after_ingest; their errors are swallowed."""
-
-    def __init__(self) -> None:
-        self._by_event: dict[str, list[Hook]] = {}
-
-    def on(self, event: str, hook: Hook) -> None:
-        self._by_event.setdefault(event, []).append(hook)
-
-    def fire(self, event: str, value: object = None) -> None:
-        for hook in self._by_event.get(event, []):
-            try:
-                hook(event, value)
-            except Exception:  # noqa: BLE001, S110  a hook must not stop the ingest
-                pass
-
-
 def parse_changed(indexed: DataFrame, files: DataFrame, hooks: Hooks | None = None) -> DataFrame:
     """Parsed rows of the files (path, checksum, content) that are new or changed against the index (path, checksum)."""
     hooks = hooks or Hooks()
