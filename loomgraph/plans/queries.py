@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions.shared import delete_at_end, shared_dir
-from loomgraph.operators import blueprint, coverage, graph, merge, planning, provenance, reports, search, similarity, structural
-from loomgraph.plans import schema, shards, state
+from loomgraph.operators import blueprint, coverage, fold, framework, graph, merge, planning, provenance, reports, search, similarity, structural
+from loomgraph.plans import schema, state
 from loomgraph.plans.adapters import EDGES_SQL, NODES_SQL, edges, nodes, table
 from loomgraph.sources import files as F_
 from loomgraph.sources import text_parsers
@@ -768,3 +768,120 @@ def incremental_graph(spark, d):
     for files in (docs.where("doc_id % 3 = 0").unionByName(items), changed.where("doc_id % 3 < 2").unionByName(items), changed.where("doc_id % 31 != 0").unionByName(items)):
         state.update(_with_checksum(files), folder)
     return _scored_rows(state.State(spark, folder).graph())
+
+
+# Updates of parts by order lines, of which every third goes to one node; objects in
+# the metadata merge, scalars replace, and the type changes.
+_NESTED = """u AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'part_hot' ELSE 'part_' || l_partkey END AS id, l_orderkey * 10 + l_linenumber AS ord,
+  CASE WHEN l_orderkey % 17 = 0 THEN 'validation_rule' ELSE 'business_rule' END AS type, l_shipmode_ AS name, repeat('d', (l_suppkey % 50)::INT) || l_linenumber AS text,
+  l_returnflag AS flag, l_linenumber % 4 = 0 AS scalar, 'k' || l_suppkey % 5 AS member, l_quantity::BIGINT AS quantity FROM (SELECT *, repeat('n', (l_partkey % 7 + l_linenumber)::INT) || l_linestatus AS l_shipmode_ FROM lineitem)),
+last_reset AS (SELECT id, max(ord) AS r FROM u WHERE type <> 'business_rule' GROUP BY id),
+txt AS (SELECT u.id, arg_max(text, struct_pack(a := length(text), b := ord)) FILTER (WHERE r IS NULL OR ord >= r) AS description FROM u LEFT JOIN last_reset ON u.id = last_reset.id GROUP BY u.id),
+last_scalar AS (SELECT id, max(ord) AS r FROM u WHERE scalar GROUP BY id),
+mem AS (SELECT u.id, member, arg_max(quantity, ord) AS q FROM u LEFT JOIN last_scalar s ON u.id = s.id WHERE NOT scalar AND (r IS NULL OR ord > r) GROUP BY u.id, member),
+mix AS (SELECT id, list_sort(list(member || '=' || q)) AS members FROM mem GROUP BY id),
+top AS (SELECT id, arg_max(type, ord) AS type, arg_max(name, struct_pack(a := length(name), b := -ord)) AS name, arg_max(flag, ord) AS flag, count(*) AS n FROM u GROUP BY id)
+SELECT top.id, type, name, description, flag, coalesce(members, ['scalar']) AS members, n > 1 AS is_merged FROM top JOIN txt USING (id) LEFT JOIN mix USING (id)"""
+
+
+def _nested_updates(spark, d):
+    line = table(spark, d, "lineitem")
+    meta = F.when(F.col("l_linenumber") % 4 == 0, F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.lit("scalar").alias("mix")))).otherwise(
+        F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.create_map(F.concat(F.lit("k"), (F.col("l_suppkey") % 5).cast("string")), F.col("l_quantity").cast("bigint")).alias("mix")))
+    )
+    return line.select(
+        F.when(F.col("l_orderkey") % 3 == 0, "part_hot").otherwise(F.concat(F.lit("part_"), "l_partkey")).alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.when(F.col("l_orderkey") % 17 == 0, "validation_rule").otherwise("business_rule").alias("type"), F.concat(F.expr("repeat('n', cast(l_partkey % 7 + l_linenumber as int))"), "l_linestatus").alias("name"),
+        F.concat(F.expr("repeat('d', cast(l_suppkey % 50 as int))"), "l_linenumber").alias("description"), meta.alias("metadata"), F.lit("code").alias("origin"), F.concat(F.lit("f"), (F.col("l_orderkey") % 4).cast("string")).alias("source_file"),
+    )
+
+
+def _nested_rows(nodes_):
+    members = F.map_entries(F.from_json(F.get_json_object("metadata", "$.mix"), "map<string,string>"))
+    listed = F.array_sort(F.transform(members, lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return nodes_.select("id", "type", "name", "description", F.get_json_object("metadata", "$.flag").alias("flag"), F.coalesce(listed, F.array(F.lit("scalar"))).alias("members"), "is_merged")
+
+
+@query(f"WITH {_NESTED}")
+def node_merge_nested(spark, d):
+    """Nodes with nested metadata, one of which a third of all updates are for."""
+    return _nested_rows(fold.nodes_of(fold.combine(fold.pieces_of(_nested_updates(spark, d)))))
+
+
+@query(f"WITH {_NESTED}")
+def shards_merged(spark, d):
+    """The same nodes from four shards that were folded apart and came together in another order.
+
+    A shard's updates are pieces by thousands of places, as a file's are.
+    """
+    updates = _nested_updates(spark, d).withColumn("part", F.expr("ord div 1000"))
+    out = None
+    for n in (2, 0, 3, 1):
+        own = updates.where(F.col("part") % 4 == n)
+        folded = graph.written(fold.combine(fold.pieces_of(own).withColumn("part", F.expr("ord div 1000")), ("id", "part")))
+        out = folded if out is None else out.unionByName(folded)
+    return _nested_rows(fold.nodes_of(fold.combine(out)))
+
+
+@query("""WITH u AS (SELECT 'user_' || user_id AS id, event_id AS ord, CASE WHEN event_id % 5 = 0 THEN 'agent' ELSE 'parser' END AS caller, CASE event_type WHEN 'click' THEN 'documentation' WHEN 'view' THEN 'code' END AS origin, event_type || event_id % 4 AS text FROM events),
+e AS (SELECT *, CASE WHEN caller = 'agent' AND origin = 'documentation' THEN true WHEN caller = 'parser' AND origin IS NOT NULL THEN origin = 'documentation' END AS locks FROM u),
+w AS (SELECT *, last_value(locks IGNORE NULLS) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS locked FROM e),
+k AS (SELECT *, caller = 'agent' AND coalesce(locked, false) AS kept_out FROM w),
+s AS (SELECT id, text, min(ord) AS o FROM k WHERE kept_out GROUP BY id, text), a AS (SELECT id, list(text ORDER BY o) AS anomalies FROM s GROUP BY id)
+SELECT id, arg_max(text, ord) AS description, coalesce(arg_max(origin, ord) FILTER (WHERE origin IS NOT NULL), 'unknown') AS origin, coalesce(any_value(anomalies), []) AS anomalies FROM k LEFT JOIN a USING (id) WHERE NOT kept_out GROUP BY id""")
+def governance_lock(spark, d):
+    """Nodes after updates by parsers and agents, which may not change what documentation says at that point."""
+    kind = F.col("event_type")
+    u = table(spark, d, "events").select(
+        F.concat(F.lit("user_"), "user_id").alias("id"), F.col("event_id").alias("ord"), F.lit("data_model").alias("type"), F.lit("").alias("name"), F.concat("event_type", (F.col("event_id") % 4).cast("string")).alias("description"), F.lit("{}").alias("metadata"),
+        F.when(kind == "click", "documentation").when(kind == "view", "code").alias("origin"), F.lit("f").alias("source_file"), F.when(F.col("event_id") % 5 == 0, "agent").otherwise("parser").alias("caller"),
+    )
+    return merge.upsert_nodes(u).select("id", "description", "origin", "anomalies")
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, k AS (SELECT id FROM nodes WHERE type <> 'supplier' OR ord % 3 > 0)
+SELECT source_id, target_id, relationship, ord, source_id NOT IN (SELECT id FROM k) AS missing_source, target_id NOT IN (SELECT id FROM k) AS missing_target FROM edges WHERE source_id NOT IN (SELECT id FROM k) OR target_id NOT IN (SELECT id FROM k)""")
+def rejected_edges(spark, d):
+    """Edges that are refused as an end is no node."""
+    kept = nodes(spark, d).where("type != 'supplier' OR ord % 3 > 0")
+    return graph.split_edges(edges(spark, d), kept)[1].select("source_id", "target_id", "relationship", "ord", "missing_source", "missing_target")
+
+
+# --- Edges of test code -----------------------------------------------------------
+
+# Documents as code: their commas build, their full stops type, what follows `the` is made.
+_CODE = r"""code AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' END AS own, regexp_replace(replace(replace(replace(coalesce(text, ''), ', ', '.builder() '), '. ', ': '), ' the ', ' new '), 'ing ', 'ing( ', 'g') AS c FROM documents),
+names AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark) WHERE length(name) >= 2),
+pages_ AS (SELECT 'page_' || name AS id, name, CASE WHEN length(name) % 3 = 0 THEN 'java' WHEN length(name) % 3 = 1 THEN 'typescript' END AS theirs FROM names WHERE lower(name) NOT IN ('page', 'basepage', 'webdriverbasetestpage'))"""
+
+
+def _code(spark, d):
+    content = F.regexp_replace(F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(".builder() ")), F.lit(". "), F.lit(": ")), F.lit(" the "), F.lit(" new ")), "ing ", "ing( ")
+    n = F.col("doc_id") % 3
+    path = F.concat(F.lit("src/d"), "doc_id", F.when(n == 0, ".java").when(n == 1, ".ts").otherwise(".py"))
+    files = table(spark, d, "documents").select("doc_id", path.alias("path"), content.alias("content"))
+    names = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), 0)).alias("name")).distinct().where("length(name) >= 2")
+    language = F.when(F.length("name") % 3 == 0, "java").when(F.length("name") % 3 == 1, "typescript")
+    return files, framework.words_of(files), names.withColumn("theirs", language)
+
+
+@query(f"""WITH {_CODE} SELECT DISTINCT 'step_' || doc_id AS source_id, id AS target_id FROM code JOIN pages_ ON (own IS NULL OR own IS NOT DISTINCT FROM theirs) AND (contains(c, name) OR contains(c, lower(name[1]) || name[2:]))""")
+def page_mentions(spark, d):
+    """Steps, whole documents, that mention a page's class, as part of any word."""
+    files, words, names = _code(spark, d)
+    file = F.when(F.col("theirs") == "java", "p.java").when(F.col("theirs") == "typescript", "p.ts").otherwise("p")
+    pages = names.select(F.concat(F.lit("page_"), "name").alias("id"), F.col("name").alias("class_name"), file.alias("file"), F.lit(None).cast("string").alias("framework"))
+    return framework.mention_edges(files.select(F.concat(F.lit("step_"), "doc_id").alias("id"), F.col("path").alias("file")), pages, words).select("source_id", "target_id")
+
+
+@query(f"""WITH {_CODE}, models AS (SELECT 'schema_' || name AS id, name, CASE WHEN length(name) % 3 = 0 THEN 'java' WHEN length(name) % 3 = 1 THEN 'typescript' END AS theirs FROM names),
+used AS (SELECT doc_id, own, id, name, theirs FROM code JOIN models ON contains(c, name || '.builder()') OR contains(c, 'new ' || name || '(') OR (own = 'typescript' AND (contains(c, ': ' || name) OR contains(c, ':' || name) OR contains(c, '<' || name || '>') OR contains(c, 'as ' || name)))),
+taken AS (SELECT doc_id, id FROM used WHERE own IS NULL OR own IS NOT DISTINCT FROM theirs OR lower(name) NOT IN (SELECT lower(m.name) FROM models m WHERE m.theirs IS NOT DISTINCT FROM own))
+SELECT DISTINCT 'step_' || doc_id AS source_id, id AS target_id FROM taken UNION SELECT 'scenario_' || item_id, id FROM benchmark JOIN models ON contains(lower(text), lower(name))""")
+def model_uses(spark, d):
+    """Models that steps, whole documents, build, make or type, and that scenarios name."""
+    files, words, names = _code(spark, d)
+    models = names.select(F.concat(F.lit("schema_"), "name").alias("id"), F.col("name").alias("class_name"), F.col("theirs").alias("language"))
+    steps = files.select(F.concat(F.lit("step_"), "doc_id").alias("id"), F.col("path").alias("file"))
+    scenarios = table(spark, d, "benchmark").select(F.concat(F.lit("scenario_"), "item_id").alias("id"), F.lit("").alias("name"), F.col("text").alias("description"))
+    return framework.model_edges(steps, steps.limit(0), scenarios, models, words).select("source_id", "target_id")
