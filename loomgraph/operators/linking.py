@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import framework, similarity, structural
-from loomgraph.operators.graph import existing_edges
+from loomgraph.operators.graph import existing_edges, written
 from loomgraph.plans.schema import AUTO_EMIT, CANDIDATE, DOMAIN_STOPWORDS, GENERIC_STOPWORDS, RULE_FAMILY, type_allowed
 
 #: What is scored: relationship, types of the source and of the target.
@@ -130,5 +130,5 @@ def infer(nodes: DataFrame, edges: DataFrame, policy: DataFrame, mappers: list[M
     allowed = typed.where(read).unionByName(type_allowed(typed.where(~read), policy)).drop("src_type", "tgt_type")
     fresh = existing_edges(edges, allowed, negate=True)
     limited = fresh.join(F.broadcast(_limits(policy)), "relationship", "left").withColumn("limit", F.coalesce("limit", F.lit(AUTO_EMIT)))
-    emit = F.col("score") >= F.col("limit")
-    return limited.where(emit).drop("limit"), limited.where(~emit & (F.col("score") >= CANDIDATE)).drop("limit")
+    found = written(limited.where(F.col("score") >= F.least("limit", F.lit(CANDIDATE))).withColumn("emit", F.col("score") >= F.col("limit")).drop("limit"))
+    return found.where("emit").drop("emit"), found.where(~F.col("emit") & (F.col("score") >= CANDIDATE)).drop("emit")

@@ -772,7 +772,7 @@ def incremental_graph(spark, d):
 
 # Updates of parts by order lines, of which every third goes to one node; objects in
 # the metadata merge, scalars replace, and the type changes.
-_NESTED = """u AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'part_hot' ELSE 'part_' || l_partkey END AS id, l_orderkey * 10 + l_linenumber AS ord,
+_NESTED = """u AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'part_hot' ELSE 'part_' || l_partkey END AS id, (((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey % 10000) * 100 + l_suppkey % 100) * 100 + l_quantity::BIGINT % 100 AS ord,
   CASE WHEN l_orderkey % 17 = 0 THEN 'validation_rule' ELSE 'business_rule' END AS type, l_shipmode_ AS name, repeat('d', (l_suppkey % 50)::INT) || l_linenumber AS text,
   l_returnflag AS flag, l_linenumber % 4 = 0 AS scalar, 'k' || l_suppkey % 5 AS member, l_quantity::BIGINT AS quantity FROM (SELECT *, repeat('n', (l_partkey % 7 + l_linenumber)::INT) || l_linestatus AS l_shipmode_ FROM lineitem)),
 last_reset AS (SELECT id, max(ord) AS r FROM u WHERE type <> 'business_rule' GROUP BY id),
@@ -790,7 +790,7 @@ def _nested_updates(spark, d):
         F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.create_map(F.concat(F.lit("k"), (F.col("l_suppkey") % 5).cast("string")), F.col("l_quantity").cast("bigint")).alias("mix")))
     )
     return line.select(
-        F.when(F.col("l_orderkey") % 3 == 0, "part_hot").otherwise(F.concat(F.lit("part_"), "l_partkey")).alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.when(F.col("l_orderkey") % 3 == 0, "part_hot").otherwise(F.concat(F.lit("part_"), "l_partkey")).alias("id"), F.expr("(((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey % 10000) * 100 + l_suppkey % 100) * 100 + cast(l_quantity as bigint) % 100").alias("ord"),
         F.when(F.col("l_orderkey") % 17 == 0, "validation_rule").otherwise("business_rule").alias("type"), F.concat(F.expr("repeat('n', cast(l_partkey % 7 + l_linenumber as int))"), "l_linestatus").alias("name"),
         F.concat(F.expr("repeat('d', cast(l_suppkey % 50 as int))"), "l_linenumber").alias("description"), meta.alias("metadata"), F.lit("code").alias("origin"), F.concat(F.lit("f"), (F.col("l_orderkey") % 4).cast("string")).alias("source_file"),
     )
@@ -812,13 +812,14 @@ def node_merge_nested(spark, d):
 def shards_merged(spark, d):
     """The same nodes from four shards that were folded apart and came together in another order.
 
-    A shard's updates are pieces by thousands of places, as a file's are.
+    A shard holds the updates of hundreds of orders together, as of a file.
     """
-    updates = _nested_updates(spark, d).withColumn("part", F.expr("ord div 1000"))
+    part = F.expr("ord div 100000000000")
+    updates = _nested_updates(spark, d).withColumn("part", part)
     out = None
     for n in (2, 0, 3, 1):
         own = updates.where(F.col("part") % 4 == n)
-        folded = graph.written(fold.combine(fold.pieces_of(own).withColumn("part", F.expr("ord div 1000")), ("id", "part")))
+        folded = graph.written(fold.combine(fold.pieces_of(own).withColumn("part", part), ("id", "part")))
         out = folded if out is None else out.unionByName(folded)
     return _nested_rows(fold.nodes_of(fold.combine(out)))
 
