@@ -132,6 +132,16 @@ def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("shard", "n_rows", "first_slot", "last_slot", "n_slots", F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"))  # 24 rows
 
 
+#: Limits under which boilerplate decides about documents of small tables too, see quality_tight_limits().
+TIGHT = {"few_percent": 4.0, "depleted_percent": 10}
+
+
+def quality_tight_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1's operator says under limits that reject many documents for their common lines."""
+    scored = quality.score(table(spark, sf_dir, "documents"), **TIGHT)
+    return scored.select("doc_id", "n_words", "base_failed", "kept", "removed_words")
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op7 works to: size, source size and target of every document."""
     mixed = op7_source_mixing(spark, sf_dir)
@@ -141,7 +151,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op11_html_extraction, op12_periodic_runs, op13_token_alignment, sharding_laws, mixing_targets
+        op1_quality_rules, op2_license_scans, op3_sharding, op4_chat_formatting, op5_token_counts, op6_ngram_jaccard_join, op7_source_mixing, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op11_html_extraction, op12_periodic_runs, op13_token_alignment, sharding_laws, mixing_targets, quality_tight_limits
     )
 }
 
@@ -167,8 +177,8 @@ _LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 _BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
 _TERMS = f"list_filter(regexp_extract_all({{}}, '{licenses.TERM}'), lambda x: NOT list_contains([{', '.join(map(_quoted, licenses.STOP))}], x))"
 
-SQL = {
-    "op1_quality_rules": rf"""
+def _quality_sql(few_percent: float, depleted_percent: int) -> str:
+    return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
@@ -179,7 +189,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lw GROUP
 host AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
 held AS (SELECT source, norm, count(DISTINCT text) AS n FROM lw GROUP BY source, norm),
 boiler AS (SELECT held.source, norm FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source 
-  WHERE n > 50 AND n * 100 > host_docs * 2.0 OR n > 5 AND n * 100 > host_docs * 5.0 OR n > 10000),
+  WHERE n > 50 AND n * 100 > host_docs * 2.0 OR n > 5 AND n * 100 > host_docs * {few_percent} OR n > 10000),
 gone AS (SELECT doc_id, sum(k) AS removed_words FROM lw JOIN boiler ON lw.norm = boiler.norm AND lw.source IS NOT DISTINCT FROM boiler.source GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
@@ -188,8 +198,13 @@ s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lam
 SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) 
-  AND NOT 100 * removed_words > 50 * n_words AND NOT (removed_words > 0 AND n_words - removed_words < 50) AS kept, removed_words FROM s
-""",
+  AND NOT 100 * removed_words > {depleted_percent} * n_words AND NOT (removed_words > 0 AND n_words - removed_words < 50) AS kept, removed_words FROM s
+"""
+
+
+SQL = {
+    "op1_quality_rules": _quality_sql(5.0, 50),
+    "quality_tight_limits": f"SELECT doc_id, n_words, base_failed, kept, removed_words FROM ({_quality_sql(**TIGHT)})",
     "op2_license_scans": rf"""
 WITH template(i, name, body) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}),
 tt AS (SELECT i, name, unnest({_TERMS.format("lower(body)")}) AS t FROM template),
