@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.shared import free_name, materialise, release, shared_dir, written_so_far  # noqa: F401  the operators' helpers
+from loomgraph.functions.shared import free_name, materialise, shared_dir  # noqa: F401  the operators' helpers
 from loomgraph.functions.shipping import ship
 
 #: One word: a run of characters outside blank, tab, LF, VT, FF and CR (a fixed value of the contracts).

@@ -87,9 +87,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules: list[Rule] | DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page row: the id, host, path, rule (host and path, or null) and verdict.
 
-    `rules` may be a table with columns host, path and verdict.
+    `rules` may be a table with columns host, path and verdict; more than
+    MAX_RULES of either kind are joined.
     """
     host, path = host_and_path(F.col(url_col))
+    if not isinstance(rules, DataFrame) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string")
     slim = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if isinstance(rules, DataFrame):
         rules = rules.select(*(F.coalesce(c, F.lit("")).alias(c) for c in Rule._fields)).distinct()
@@ -124,7 +127,9 @@ def _judge_by_join(slim: DataFrame, rules: DataFrame, id_col: str, default: str)
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The pages, all columns, whose verdict is allow."""
+    """The pages, all columns, whose verdict is allow; for more than MAX_RULES rules join judge()'s verdicts instead."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules are not broadcast; judge() joins them")
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
     host, path = host_and_path(F.col(url_col))
     wide = pages.select("*", host.alias(free_name(pages, "u_host")), path.alias(free_name(pages, "u_path")))
