@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.functions.shared import delete, delete_at_end, scope, shared_dir
 from loomgraph.llm import decontaminate, jaccard, mixing, quality, sharding
-from loomgraph.llm.common import release, shared_dir, written_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; a stage's table goes once the next one is written, the last one when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_end(spark, at)
     for n, (_, stage) in enumerate(STAGES):
-        before = written_so_far(spark)
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{n}")
+        with scope(spark):  # what the stage writes for itself goes once it is written
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{n}")
         docs = spark.read.parquet(f"{at}/{n}")
-        release(spark, before)  # what the stage has written for itself
+        if n:
+            delete(spark, f"{at}/{n - 1}")
     return docs

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only on a local master that names no shared folder, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/loomgraph-checkpoints"
 
-_written: dict[str, list[str]] = {}
+_owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,29 +58,30 @@ def materialise(df: DataFrame, name: str = "loomgraph") -> DataFrame:
 
     Cuts the lineage like checkpoint(), so values such as row numbers stay fixed
     when a task is run again after a lost executor, and is columnar and compressed.
-    The table goes with release(), or else when the driver ends.
+    The table goes at the end of its scope(), or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     files, place = _place(spark, path)
     df.write.parquet(path)
     files.deleteOnExit(place)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    owner = _owner.get()
+    if owner is not None:
+        owner.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_so_far(spark: SparkSession) -> int:
-    """How many tables of this application are there; see release()."""
-    return len(_written.get(spark.sparkContext.applicationId, []))
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete what materialise() has written since then; results read from it must be saved first."""
-    paths = _written.get(spark.sparkContext.applicationId, [])
-    for path in paths[since:]:
-        files, place = _place(spark, path)
-        files.delete(place, True)
-    del paths[since:]
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What materialise() writes inside, by this thread, goes at the end; results read from it must be saved first."""
+    owned: list[str] = []
+    before = _owner.set(owned)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+        for path in owned:
+            delete(spark, path)
 
 
 def free_name(df: DataFrame, wish: str) -> str:
