@@ -701,3 +701,34 @@ def test_short_items_are_found_in_long_documents(spark):
     got = {tuple(r) for r in decontaminate.containment_search(docs, bench).collect()}
     assert got == {(d, i, 1, 1, 1.0) for d, i in ((1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (4, 2), (3, 3))}
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [5]
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Texts and copies with 1 to 12 changed words: every pair at or above 85 % is one component, and no other."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, linked = [], 0
+    shingles = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    want = {}
+    for n in range(150):
+        text = [word() for _ in range(rng.randint(40, 400))]
+        copy = list(text)
+        for _ in range(rng.randint(1, 12)):
+            copy[rng.randrange(len(copy))] = word()
+        a, b = shingles(text), shingles(copy)
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(copy))]
+        alike = 100 * len(a & b) >= 85 * len(a | b)
+        linked += alike
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n if alike else 2 * n + 1}
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 30 < linked < 130
+
+
+def test_many_rules_in_a_list_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.example.com/en/x", "http://www.example.com/en/", "x", None, "http://b.net/es/1"])], "page_id long, url string")
+    rows = lambda: sorted(map(tuple, urls.judge(pages, queries.URL_RULES).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(urls, "MAX_RULES", 2)
+    assert rows() == broadcast
+    with pytest.raises(ValueError, match="judge"):
+        urls.filter_urls(pages, queries.URL_RULES)
