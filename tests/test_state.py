@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import shared
 from loomgraph.operators import fold, graph, merge
 from loomgraph.plans import ingest, shards, state
 
@@ -166,3 +167,13 @@ def test_stream_of_files(spark, tmp_path):
     assert [(c["parsed_files"], c["deleted_files"]) for c in counts] == [(4, 0), (1, 1)] and counts[1]["nodes_removed"] == 2
     ids = {r.id for r in state.State(spark, f"{tmp_path}/graph").of_nodes("nodes").collect()}
     assert "feature_flood_cover" in ids and "rule_constant_limit_days" not in ids and "rule_deductible_waiver_flood_zone" not in ids
+
+
+def test_scopes_own_what_they_write(spark):
+    with shared.scope(spark):
+        outer = shared.materialise(spark.range(3))
+        with shared.scope(spark):
+            inner = shared.materialise(spark.range(2)).inputFiles()[0]
+        left = outer.inputFiles()[0]
+        assert not shared.exists(spark, inner) and shared.exists(spark, left) and outer.count() == 3
+    assert not shared.exists(spark, left)
