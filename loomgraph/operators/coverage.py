@@ -128,6 +128,53 @@ def audit(matrix: DataFrame, tests: DataFrame, rules: DataFrame) -> DataFrame:
     return missing.unionByName(unknown).unionByName(short).unionByName(odd)
 
 
+# What a first step must not say, columns that are no fields of a page.
+ASSERTIONS = ("assert", "verify", "status code", "responds with", "returns", "validates", "should return", "expect")
+META_COLUMNS = ("flow_type", "test_id", "tc_id", "expected_result", "expected", "reference", "iteration", "test_data_set", "data_set_name")
+BOUNDARIES = ("boundary_low", "boundary_at", "boundary_high")
+# End of the fixed values.
+
+
+def audit_steps(steps: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
+    """(point, severity, tc_id, step_number, action_type) of steps (tc_id, step_number, action, expected) that break a rule.
+
+    2: step 1 asserts something.  3: a step expects what the step before it did.
+    6: a step lacks a number, action or expected outcome, or names two status
+    codes.  7: a step fills in a column of the test data.  9: a test of a matrix
+    row (tc_id, precondition; null: none is needed) has no such text in its first
+    two steps, in any case of letters.
+    """
+    both = F.lower(F.concat_ws(" ", "action", "expected"))
+    said = F.lit(False)
+    for word in ASSERTIONS:
+        said = said | F.contains(both, F.lit(word))
+
+    def found(rows: DataFrame, point: int, severity: str, remedy: str) -> DataFrame:
+        return rows.select(F.lit(point).alias("point"), F.lit(severity).alias("severity"), "tc_id", "step_number", F.lit(remedy).alias("action_type"))
+
+    before = steps.where("expected != ''").select(F.col("tc_id").alias("b_id"), (F.col("step_number") + 1).alias("b_number"), F.col("expected").alias("b_expected"))
+    same = (F.col("tc_id") == F.col("b_id")) & (F.col("step_number") == F.col("b_number")) & (F.col("expected") == F.col("b_expected"))
+    columns = "|".join(META_COLUMNS)
+    out = found(steps.where((F.col("step_number") == 1) & said), 2, "high", "FIX_EXPECTED_OUTCOME")
+    out = out.unionByName(found(steps.join(before, same, "left_semi"), 3, "medium", "FIX_EXPECTED_OUTCOME"))
+    empty = F.col("step_number").isNull() | (F.coalesce("action", F.lit("")) == "") | (F.coalesce("expected", F.lit("")) == "")
+    out = out.unionByName(found(steps.where(empty | F.coalesce(F.col("expected").rlike(r"\b\d{3} or \d{3}\b"), F.lit(False))), 6, "low", "FIX_STATUS_CODE"))
+    out = out.unionByName(found(steps.where(F.lower("action").rlike(rf"\b(enter ({columns}) value|select ({columns}) option)\b")), 7, "high", "REMOVE_META_COLUMN_FROM_UI"))
+    if matrix is not None:
+        needed = matrix.where("precondition is not null").select("tc_id", F.lower("precondition").alias("p"))
+        met = steps.where("step_number <= 2").join(needed, "tc_id").where(F.contains(both, F.col("p"))).select("tc_id")
+        out = out.unionByName(found(needed.join(met, "tc_id", "left_anti").withColumn("step_number", F.lit(None).cast(steps.schema["step_number"].dataType)), 9, "medium", "ADD_STATEFUL_PRECONDITION"))
+    return out
+
+
+def row_categories(rows: DataFrame) -> DataFrame:
+    """(category_id, candidate_count) of matrix rows (is_straight_through, varied_attribute, partition): only categories that have rows; all straight rows are one candidate."""
+    rbac = F.coalesce(F.col("varied_attribute") == "RBAC", F.lit(False))
+    category = F.when(F.col("is_straight_through"), "happy_path").when(rbac, "negative_security").when(F.col("partition").isin(*BOUNDARIES), "boundary_limit").otherwise("functional_expansion")
+    counted = rows.groupBy(category.alias("category_id")).agg(F.count("*").alias("n"))
+    return counted.select("category_id", F.when(F.col("category_id") == "happy_path", F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("candidate_count"))
+
+
 def loop_state(iterations: DataFrame, ceiling: int = 3) -> DataFrame:
     """(iteration, gaps, state): success without gaps, divergence if they did not fall, ceiling, else continue."""
     before = F.lag("gaps").over(Window.orderBy("iteration"))

@@ -73,3 +73,15 @@ def rules_for_query(rules: DataFrame, words: list[str]) -> DataFrame:
         for w in words:
             hit = hit | F.contains(text, F.lit(w.lower()))
     return rules.where(hit).groupBy("feature_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "feature_id")
+
+
+def anomaly_flags(rules: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """(id, anomaly_flags): the different kinds of each rule's anomalies (node_id, anomaly_kind), in order; without any, an empty list."""
+    kinds = anomalies.where("anomaly_kind != ''").groupBy(F.col("node_id").alias("k_id")).agg(F.array_sort(F.collect_set("anomaly_kind")).alias("anomaly_flags"))
+    return rules.select("id").join(kinds, F.col("id") == F.col("k_id"), "left").select("id", F.coalesce("anomaly_flags", F.array().cast("array<string>")).alias("anomaly_flags"))
+
+
+def anomalies_of_severity(anomalies: DataFrame, severity: str | None = None) -> DataFrame:
+    """The anomalies of a severity, given in any case; without one, all."""
+    wanted = (severity or "").strip().lower()
+    return anomalies.where(F.col("severity") == wanted) if wanted else anomalies

@@ -886,3 +886,49 @@ def model_uses(spark, d):
     steps = files.select(F.concat(F.lit("step_"), "doc_id").alias("id"), F.col("path").alias("file"))
     scenarios = table(spark, d, "benchmark").select(F.concat(F.lit("scenario_"), "item_id").alias("id"), F.lit("").alias("name"), F.col("text").alias("description"))
     return framework.model_edges(steps, steps.limit(0), scenarios, models, words).select("source_id", "target_id")
+
+
+# --- Flags and audits -------------------------------------------------------------
+
+
+@query(f"""WITH {ANOMALY_SQL}, r AS (SELECT 'user_' || c_custkey AS id FROM customer), k AS (SELECT node_id, list_sort(list(DISTINCT anomaly_kind)) AS f FROM an WHERE anomaly_kind IS NOT NULL GROUP BY node_id)
+SELECT id, coalesce(f, []) AS anomaly_flags FROM r LEFT JOIN k ON node_id = id""")
+def anomaly_flags(spark, d):
+    return reports.anomaly_flags(table(spark, d, "customer").select(F.concat(F.lit("user_"), "c_custkey").alias("id")), _anomalies(spark, d))
+
+
+@query(f"WITH {ANOMALY_SQL} SELECT node_id, anomaly_kind, summary, ord FROM an WHERE severity = 'critical'")
+def critical_anomalies(spark, d):
+    return reports.anomalies_of_severity(_anomalies(spark, d), " Critical ").select("node_id", "anomaly_kind", "summary", "ord")
+
+
+@query("""WITH m AS (SELECT l_returnflag = 'A' AS s, CASE WHEN l_partkey % 7 = 0 THEN 'RBAC' WHEN l_partkey % 7 < 3 THEN 'age' END AS a, CASE l_suppkey % 5 WHEN 0 THEN 'boundary_low' WHEN 1 THEN 'boundary_high' WHEN 2 THEN 'valid' WHEN 3 THEN 'invalid' END AS p FROM lineitem),
+c AS (SELECT CASE WHEN s THEN 'happy_path' WHEN a = 'RBAC' THEN 'negative_security' WHEN p IN ('boundary_low', 'boundary_at', 'boundary_high') THEN 'boundary_limit' ELSE 'functional_expansion' END AS category_id FROM m)
+SELECT category_id, CASE WHEN category_id = 'happy_path' THEN 1 ELSE count(*) END AS candidate_count FROM c GROUP BY category_id""")
+def row_categories(spark, d):
+    attribute = F.when(F.col("l_partkey") % 7 == 0, "RBAC").when(F.col("l_partkey") % 7 < 3, "age")
+    partition = F.element_at(F.array(F.lit("boundary_low"), F.lit("boundary_high"), F.lit("valid"), F.lit("invalid"), F.lit(None).cast("string")), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    return coverage.row_categories(table(spark, d, "lineitem").select((F.col("l_returnflag") == "A").alias("is_straight_through"), attribute.alias("varied_attribute"), partition.alias("partition")))
+
+
+# Lines of documents as steps, with words that the audit looks for in place of frequent ones.
+_STEPS = r"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text <> ''),
+st AS (SELECT doc_id, no::INT AS step_number, CASE WHEN no % 5 = 2 THEN 'Enter tc_id value ' WHEN no % 5 = 3 THEN 'Enter name value ' ELSE '' END || replace(line, ' of ', ' Verify ') AS action, replace(line, ' to ', ' 400 or 422 ') AS expected FROM ln),
+need AS (SELECT doc_id, substr(text, 1, 4) AS p FROM documents WHERE text <> '' AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 'signed in as an owner' FROM documents WHERE text <> '' AND doc_id % 2 = 1),
+bad AS (SELECT 2 AS point, 'high' AS severity, doc_id, step_number, 'FIX_EXPECTED_OUTCOME' AS action_type FROM st WHERE step_number = 1 AND regexp_matches(lower(action || ' ' || expected), 'assert|verify|status code|responds with|returns|validates|should return|expect')
+UNION ALL SELECT 3, 'medium', a.doc_id, a.step_number, 'FIX_EXPECTED_OUTCOME' FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.step_number = b.step_number + 1 AND a.expected = b.expected AND b.expected <> ''
+UNION ALL SELECT 6, 'low', doc_id, step_number, 'FIX_STATUS_CODE' FROM st WHERE action = '' OR expected = '' OR contains(expected, ' 400 or 422 ')
+UNION ALL SELECT 7, 'high', doc_id, step_number, 'REMOVE_META_COLUMN_FROM_UI' FROM st WHERE starts_with(action, 'Enter tc_id value ')
+UNION ALL SELECT 9, 'medium', doc_id, NULL, 'ADD_STATEFUL_PRECONDITION' FROM need n WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = n.doc_id AND step_number <= 2 AND contains(lower(action || ' ' || expected), lower(n.p))))
+SELECT point, severity, 'T' || doc_id AS tc_id, step_number, action_type FROM bad"""
+
+
+@query(f"WITH {_STEPS}")
+def audit_steps(spark, d):
+    """What an audit finds in the lines of all documents, taken for steps."""
+    docs = table(spark, d, "documents").where("text != ''")
+    line = docs.select(F.concat(F.lit("T"), "doc_id").alias("tc_id"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
+    opening = F.when(F.col("no") % 5 == 2, "Enter tc_id value ").when(F.col("no") % 5 == 3, "Enter name value ").otherwise("")
+    steps = line.select("tc_id", F.col("no").alias("step_number"), F.concat(opening, F.replace("line", F.lit(" of "), F.lit(" Verify "))).alias("action"), F.replace("line", F.lit(" to "), F.lit(" 400 or 422 ")).alias("expected"))
+    needed = docs.select(F.concat(F.lit("T"), "doc_id").alias("tc_id"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 4)).otherwise("signed in as an owner").alias("precondition"))
+    return coverage.audit_steps(steps, needed)
