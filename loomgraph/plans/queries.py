@@ -13,8 +13,8 @@ from loomgraph.functions.shared import delete_at_end, shared_dir
 from loomgraph.operators import blueprint, coverage, fold, framework, graph, merge, planning, provenance, reports, search, similarity, structural
 from loomgraph.plans import schema, state
 from loomgraph.plans.adapters import EDGES_SQL, NODES_SQL, edges, nodes, table
+from loomgraph.sources import api_schemas, text_parsers
 from loomgraph.sources import files as F_
-from loomgraph.sources import text_parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -932,3 +932,37 @@ def audit_steps(spark, d):
     steps = line.select("tc_id", F.col("no").alias("step_number"), F.concat(opening, F.replace("line", F.lit(" of "), F.lit(" Verify "))).alias("action"), F.replace("line", F.lit(" to "), F.lit(" 400 or 422 ")).alias("expected"))
     needed = docs.select(F.concat(F.lit("T"), "doc_id").alias("tc_id"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 4)).otherwise("signed in as an owner").alias("precondition"))
     return coverage.audit_steps(steps, needed)
+
+
+# --- API descriptions ---------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE k AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k AS src, k // 3 AS tgt, [1, 0, 0] AS step FROM k UNION ALL SELECT k, k + 1, [2, 0, 0] FROM k WHERE k % 10 = 0),
+f AS (SELECT k AS root, k AS cur, []::INT[] AS place, []::BIGINT[] AS seen FROM k UNION ALL SELECT root, tgt, list_concat(place, step), list_append(seen, tgt) FROM f JOIN e ON src = cur JOIN k ON k = tgt WHERE NOT list_contains(seen, tgt)),
+p AS (SELECT root, 'shared' AS property, 't' || cur % 4 AS type, list_concat(place, [1, 1, 4]) AS place FROM f UNION ALL SELECT root, 'a' || cur % 5, 'integer', list_concat(place, [1, 1, 4]) FROM f
+  UNION ALL SELECT root, 'own', 'T' || cur % 3, list_concat(place, [4]) FROM f UNION ALL SELECT root, 'b' || cur % 5, 'any', list_concat(place, [4]) FROM f)
+SELECT 'S' || root AS name, property, arg_max(type, place) AS type FROM p GROUP BY root, property""")
+def flat_schemas(spark, d):
+    """Models, one for each supplier, that are put together of one another, with cycles, with all their properties."""
+    k, place = F.col("s_suppkey"), "#/components/schemas/"
+    ref = lambda name: F.concat(F.lit('{"$ref": "' + place), name, F.lit('"}'))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    either = F.when(k % 10 == 0, text('"oneOf": [', ref(text("S", k + 1)), "], ")).otherwise("")
+    schema = text('{"allOf": [', ref(text("S", F.expr("s_suppkey div 3"))), ', {"properties": {"shared": {"type": "t', k % 4, '"}, "a', k % 5, '": {"type": "integer"}}}], ', either, '"properties": {"own": ', ref(text("T", k % 3)), ', "b', k % 5, '": true}}')
+    rows = table(spark, d, "supplier").select(F.lit("api/spec.json").alias("path"), text("S", k).alias("name"), schema.alias("schema"))
+    return api_schemas.flat_properties(rows).select("name", "property", "type")
+
+
+@query(r"""WITH p AS (SELECT page_id, '/' || page_id || regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS route FROM pages),
+o AS (SELECT page_id, route, unnest(['get', 'post', 'trace']) AS m FROM p)
+SELECT route, upper(m) AS http_method, 'page ' || page_id AS description, CASE WHEN m = 'get' THEN ['M' || page_id % 7] ELSE list_sort(list_distinct(['M' || page_id % 7, 'N' || page_id % 3])) END AS models FROM o WHERE m <> 'trace'""")
+def described_endpoints(spark, d):
+    """Endpoints of a description for each page, and the models that they refer to."""
+    path = F.concat(F.lit("/"), "page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", ""))
+    ref = lambda name: F.create_map(F.lit("$ref"), F.concat(F.lit("#/components/schemas/"), name))
+    m, n = F.concat(F.lit("M"), (F.col("page_id") % 7).cast("string")), F.concat(F.lit("N"), (F.col("page_id") % 3).cast("string"))
+    said = F.concat(F.lit("page "), "page_id")
+    one = lambda *models: F.to_json(F.struct(said.alias("summary"), F.array(*map(ref, models)).alias("content")))
+    text = F.concat(F.lit('{"paths": {'), F.concat(F.lit('"'), path, F.lit('"')), F.lit(': {"get": '), one(m), F.lit(', "post": '), one(m, n), F.lit(', "trace": {}, "parameters": []}}}'))
+    files = table(spark, d, "pages").select(F.concat(F.lit("api/p"), "page_id", F.lit(".json")).alias("path"), text.alias("text"))
+    return api_schemas.endpoints(files).select("route", "http_method", "description", "models")
