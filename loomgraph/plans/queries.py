@@ -13,7 +13,7 @@ from loomgraph.functions.shared import delete_at_end, shared_dir
 from loomgraph.operators import blueprint, coverage, fold, framework, graph, merge, planning, provenance, reports, search, similarity, structural
 from loomgraph.plans import schema, state
 from loomgraph.plans.adapters import EDGES_SQL, NODES_SQL, edges, nodes, table
-from loomgraph.sources import api_schemas, text_parsers
+from loomgraph.sources import api_schemas, routes, text_parsers
 from loomgraph.sources import files as F_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -966,3 +966,19 @@ def described_endpoints(spark, d):
     text = F.concat(F.lit('{"paths": {'), F.concat(F.lit('"'), path, F.lit('"')), F.lit(': {"get": '), one(m), F.lit(', "post": '), one(m, n), F.lit(', "trace": {}, "parameters": []}}}'))
     files = table(spark, d, "pages").select(F.concat(F.lit("api/p"), "page_id", F.lit(".json")).alias("path"), text.alias("text"))
     return api_schemas.endpoints(files).select("route", "http_method", "description", "models")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 = 0 AS bare FROM orders), l AS (SELECT l_orderkey, l_partkey, l_linenumber % 5 AS m FROM lineitem)
+SELECT 'src/c' || o_custkey || CASE WHEN o_custkey % 2 = 0 THEN '.java' ELSE '.ts' END AS path, 'C' || o_orderkey AS class_name, ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][m + 1] AS http_method,
+  CASE WHEN bare THEN '' ELSE '/o/' || o_orderkey END || '/p' || l_partkey AS route FROM o JOIN l ON o_orderkey = l_orderkey""")
+def controller_routes(spark, d):
+    """Routes of source files, one for each customer, with a class for each order and a mapped method for each of its lines."""
+    java = F.col("o_custkey") % 2 == 0
+    name = F.element_at(F.array(*map(F.lit, ("Get", "Post", "Put", "Delete", "Patch"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    mapped = F.concat(F.lit("  @"), name, F.when(java, "Mapping(\"/p").otherwise("('p"), "l_partkey", F.when(java, '", produces = "json")\n  String m() { return x; }').otherwise("')\n  m() { return 1; }"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    methods = lines.groupBy("o_custkey", "o_orderkey").agg(F.array_join(F.collect_list(mapped), "\n").alias("body"))
+    base = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.when(java, '@RequestMapping(value = "/o/').otherwise("@Controller('o/"), "o_orderkey", F.when(java, '")').otherwise("')")))
+    whole = F.concat(base, F.lit("\n@Tag(\"of it\") // class Old {\nexport class C"), "o_orderkey", F.lit(" {\n"), "body", F.lit("\n}\n"))
+    files = methods.groupBy("o_custkey").agg(F.array_join(F.collect_list(whole), "\n").alias("content"))
+    return routes.endpoints(files.select(F.concat(F.lit("src/c"), "o_custkey", F.when(java, ".java").otherwise(".ts")).alias("path"), "content"))
