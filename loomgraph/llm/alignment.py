@@ -112,13 +112,15 @@ class Pieces:
 
 def stab(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group of each A token and of each B token, where both cover the same bytes; ends rise."""
+    if not len(b_ends):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a_starts, b_starts = np.append(0, a_ends[:-1]), np.append(0, b_ends[:-1])
     first = np.searchsorted(b_ends, a_starts, side="right")
     last = np.searchsorted(b_starts, a_ends, side="left") - 1
     n = len(b_ends)
     # A token over B tokens first..last spans the gaps behind first..last-1.
     spanned = np.cumsum(np.bincount(first, minlength=n) - np.bincount(last, minlength=n))
-    group = np.cumsum(np.append(0, spanned[:-1] == 0)) if n else np.zeros(0, np.int64)
+    group = np.cumsum(np.append(0, spanned[:-1] == 0))
     return group[first], group
 
 
