@@ -26,7 +26,7 @@ FRAMEWORKS = {"qaf_selenium": "java", "selenium": "java", "playwright": "typescr
 TYPESCRIPT = ("ts", "js", "tsx", "jsx")
 #: What a word stands in: (kind, pattern, group).
 SIGNS = (
-    ("word", r"\w+", 0), ("builder", r"(\w+)\.builder\(\)", 1), ("made", r"(?<=new )\w+(?=\()", 0), ("generic", r"(?<=<)\w+(?=>)", 0), ("typed", r"(?<=:|: )\w+", 0), ("cast", r"(?<=as )\w+", 0),
+    ("word", r"\w+", 0), ("builder", r"(?<!\w)(\w++)\.builder\(\)", 1), ("made", r"(?<=new )\w+(?=\()", 0), ("generic", r"(?<=<)\w+(?=>)", 0), ("typed", r"(?<=:|: )\w+", 0), ("cast", r"(?<=as )\w+", 0),
 )
 
 
@@ -41,10 +41,11 @@ def words_of(files: DataFrame) -> DataFrame:
     last = lambda x: F.element_at(F.split(F.element_at(F.split(x, r"\."), -1), "/"), -1)
     java, script = F.regexp_extract_all(text, F.lit(r"import\s+([a-zA-Z0-9_.]+);"), 1), F.regexp_extract_all(text, F.lit(r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]"), 1)
     language = _language("path")
-    imported = F.transform(F.when(language == "java", java).when(language == "typescript", script).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("import").alias("kind"), F.lower(last(x)).alias("word")))
+    imported = F.transform(F.when(language == "java", java).when(language == "typescript", script).otherwise(F.array().cast("array<string>")), lambda x: F.lower(last(x)))
+    # Words are made distinct kind by kind, as strings, which are hashed; an array of structs would be compared pair by pair.
     sign = lambda kind: lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word"))
-    found = [F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), g)), sign(kind)) for kind, p, g in SIGNS]
-    return files.select(F.col("path").alias("file"), language.alias("language"), F.explode(F.array_distinct(F.concat(imported, *found))).alias("w")).select("file", "language", "w.kind", "w.word")
+    found = [F.transform(F.array_distinct(words), sign(kind)) for kind, words in (("import", imported), *((kind, F.regexp_extract_all(text, F.lit(p), g)) for kind, p, g in SIGNS))]
+    return files.select(F.col("path").alias("file"), language.alias("language"), F.explode(F.concat(*found)).alias("w")).select("file", "language", "w.kind", "w.word")
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -92,8 +93,12 @@ def mention_edges(steps: DataFrame, pages: DataFrame, words: DataFrame) -> DataF
     name = F.col("class_name")
     camel = F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
     frameworks = F.create_map(*(F.lit(x) for pair in FRAMEWORKS.items() for x in pair))
-    named = pages.where((name != "") & ~F.lower(name).isin(*PLAIN_PAGES)).select(F.col("id").alias("target_id"), F.coalesce(_language("file"), F.element_at(frameworks, F.col("framework"))).alias("theirs"), F.explode(F.array(name, camel)).alias("name"))
-    found = _mentions(steps, named, words).where(~_apart(F.col("own"), F.col("theirs")))
+    named = pages.where((name != "") & ~F.lower(name).isin(*PLAIN_PAGES)).select(F.col("id").alias("target_id"), F.coalesce(_language("file"), F.element_at(frameworks, F.col("framework"))).alias("theirs"), F.explode(F.array_distinct(F.array(name, camel))).alias("name"))
+    # Names of another language go before words and files meet: of a file's languages they are most.
+    said = words.where("kind = 'word'")
+    told = words_with(said, named).join(named.select("name", "theirs").distinct(), "name")
+    hits = said.join(told, "word").where(~_apart(F.col("language"), F.col("theirs"))).select("file", "name", F.col("theirs").alias("of")).distinct()
+    found = steps.select(F.col("id").alias("source_id"), "file").join(hits, "file").join(named.withColumnRenamed("name", "n"), (F.col("name") == F.col("n")) & F.col("of").eqNullSafe(F.col("theirs")))
     return found.select("source_id", "target_id", F.lit("REFERENCES").alias("relationship")).distinct()
 
 

@@ -38,23 +38,49 @@ def mention_edges(files: DataFrame, named: DataFrame, relationship: str) -> Data
     return found.select("source_id", "target_id", F.lit(relationship).alias("relationship")).distinct()
 
 
-def class_endpoint_edges(endpoints: DataFrame, components: DataFrame) -> DataFrame:
-    """Endpoints (id, class_name) to components (id, name) whose name contains the class, by IMPLEMENTS.
+def _classes_in_names(classes: DataFrame, components: DataFrame) -> DataFrame:
+    """(held, target_id): the classes (held), in lower case and once each, that the names of components (id, name) contain, once each.
 
     A class name of three characters or more meets the names that hold its first
     three; shorter ones meet the names' pieces of their length.  Both are exact
     keys for containment, as many as a name is long, and are checked afterwards.
     """
-    name, held = F.lower("name"), F.lower("class_name")
+    name = F.lower("name")
     n = F.length(name)
     of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     pieces = F.concat(*map(of_length, (1, 2, 3)))
     keys = components.where("name != ''").select(F.col("id").alias("target_id"), name.alias("whole"), F.explode(F.array_distinct(pieces)).alias("c"))
-    classes = endpoints.where("class_name != ''").select(F.col("id").alias("source_id"), held.alias("held"), F.substring(held, 1, 3).alias("c"))
-    found = classes.join(keys, "c").where(F.contains("whole", F.col("held")))
+    keyed = classes.withColumn("c", F.substring("held", 1, 3))
+    return keyed.join(keys, "c").where(F.contains("whole", F.col("held"))).select("held", "target_id").distinct()
+
+
+def _classes(endpoints: DataFrame) -> DataFrame:
+    return endpoints.where("class_name != ''").select(F.col("id").alias("source_id"), F.lower("class_name").alias("held"))
+
+
+def class_endpoint_edges(endpoints: DataFrame, components: DataFrame) -> DataFrame:
+    """Endpoints (id, class_name) to components (id, name) whose name contains the class, by IMPLEMENTS; classes are looked for once each."""
+    classes = _classes(endpoints)
+    found = classes.join(_classes_in_names(classes.select("held").distinct(), components), "held")
     return found.select("source_id", "target_id", F.lit("IMPLEMENTS").alias("relationship"), F.lit(1.0).alias("confidence")).distinct()
 
 
+def class_endpoint_counts(endpoints: DataFrame, components: DataFrame) -> DataFrame:
+    """(source_id, n): how many edges class_endpoint_edges() has for each endpoint that has any.
+
+    Endpoints with the same classes have the same targets, which are counted once
+    for each such set of classes: endpoints and components are not paired.
+    """
+    own = _classes(endpoints).groupBy("source_id").agg(F.array_sort(F.collect_set("held")).alias("classes"))
+    sets = own.select("classes").distinct().select("classes", F.explode("classes").alias("held"))
+    found = sets.join(_classes_in_names(sets.select("held").distinct(), components), "held")
+    # What one class finds is there once already; targets of several classes may be the same.
+    alone = F.size("classes") == 1
+    one = found.where(alone).groupBy("classes").agg(F.count("*").alias("n"))
+    more = found.where(~alone).select("classes", "target_id").distinct().groupBy("classes").agg(F.count("*").alias("n"))
+    return own.join(one.unionByName(more), "classes").select("source_id", "n")
+
+
 def trace_tests(calls: DataFrame, components: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Steps that call a component to the endpoints of the component's file, by TESTS."""
     c = components.select(F.col("id").alias("target_id"), "source_file")

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import coverage, graph, merge, planning, provenance, search, similarity, structural
+from loomgraph.operators import coverage, framework, graph, merge, planning, provenance, search, similarity, structural
 
 
 def chain(spark, k, confidence=1.0):
@@ -153,3 +153,24 @@ def test_loop_states_and_first_step(spark):
     steps = spark.createDataFrame([([(1, "Verify the sum", "ok")],)], "steps array<struct<step_number:int,action:string,expected:string>>")
     row = steps.select(coverage.asserts_in_first_step(F.col("steps")).alias("a"), coverage.with_setup_step(F.col("steps")).alias("s")).head()
     assert row.a and [s.step_number for s in row.s] == [1, 2]
+
+
+def test_class_counts_equal_the_edges(spark):
+    """One count for each endpoint, of one class or several, as many as it has edges; equal classes are looked for once."""
+    endpoints = spark.createDataFrame([("e1", "a"), ("e2", "a"), ("e3", "ab"), ("e3", "ba"), ("e4", "Login"), ("e5", "zzz"), ("e6", ""), ("e7", None)], "id string, class_name string")
+    parts = spark.createDataFrame([("p1", "aba"), ("p2", "cab"), ("p2", "xba"), ("p3", "MyLoginImpl"), ("p4", ""), ("p5", None)], "id string, name string")
+    edges = structural.class_endpoint_edges(endpoints, parts).groupBy("source_id").count().collect()
+    counts = {r.source_id: r.n for r in structural.class_endpoint_counts(endpoints, parts).collect()}
+    assert counts == {r["source_id"]: r["count"] for r in edges} == {"e1": 2, "e2": 2, "e3": 2, "e4": 1}
+
+
+def test_words_of_a_long_text_are_distinct_by_kind(spark):
+    """30,000 different words in one text, which took minutes when they were compared pair by pair."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(30_000)) + " User.builder() new User( User"
+    files = spark.createDataFrame([("a.ts", text)], "path string, content string")
+    began = time.monotonic()
+    rows = [(r.kind, r.word) for r in framework.words_of(files).collect()]
+    assert time.monotonic() - began < 60
+    assert len(rows) == len(set(rows)) and ("builder", "User") in rows and ("made", "User") in rows and ("word", "w29999") in rows
