@@ -33,9 +33,9 @@ def weights(postings: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def _prefixes(weighted: DataFrame, floor: float, name: str) -> DataFrame:
-    """(name, term): the heaviest terms of each document, down to where the rest cannot reach the floor any more."""
+    """(name, term, name_rest, name_norm): the heaviest terms of each document, down to where the rest cannot reach the floor any more, with what each and the lighter ones weigh."""
     rest = F.sum("w").over(Window.partitionBy("id").orderBy(F.col("w"), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return weighted.withColumn("rest", rest).where(F.col("rest") >= F.col("norm2") * (floor * floor * (1 - 1e-9))).select(F.col("id").alias(name), "term")
+    return weighted.withColumn("rest", rest).where(F.col("rest") >= F.col("norm2") * (floor * floor * (1 - 1e-9))).select(F.col("id").alias(name), "term", F.col("rest").alias(f"{name}_rest"), F.col("norm2").alias(f"{name}_norm"))
 
 
 def _vectors(weighted: DataFrame, prefix: str) -> DataFrame:
@@ -53,9 +53,11 @@ def cosine_pairs(left: DataFrame, right: DataFrame, floor: float = CANDIDATE) ->
     square norm that t and its lighter terms make up.  So both have t among
     their heaviest terms down to floor**2 of the norm, and documents that meet
     in no such term need not be looked at.  Frequent terms are light: they are
-    seldom joined.  Whole vectors decide.
+    seldom joined.  Nor can the pair share more than t and lighter terms weigh in
+    either, so at t the lesser of both must reach the floor.  Whole vectors decide.
     """
-    pairs = _prefixes(left, floor, "source_id").join(_prefixes(right, floor, "target_id"), "term").select("source_id", "target_id").distinct()
+    enough = F.least("source_id_rest", "target_id_rest") >= F.sqrt(F.col("source_id_norm") * F.col("target_id_norm")) * (floor * (1 - 1e-9))
+    pairs = _prefixes(left, floor, "source_id").join(_prefixes(right, floor, "target_id"), "term").where(enough).select("source_id", "target_id").distinct()
     both = pairs.join(_vectors(left, "x"), F.col("source_id") == F.col("x_id")).join(_vectors(right, "y"), F.col("target_id") == F.col("y_id"))
     code = lambda c: F.struct((-F.split(c, " ")[1].cast("double")).alias("k"), F.split(c, " ")[0].alias("term"))
     shared = both.withColumn("t", F.array_sort(F.transform(F.array_intersect("x_terms", "y_terms"), code)))
