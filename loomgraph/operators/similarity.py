@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.shared import materialise
 from loomgraph.functions.text import raw_words, smoothed_idf, terms
 from loomgraph.plans.schema import AUTO_EMIT, CANDIDATE
 
@@ -108,15 +109,18 @@ def overlapping(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
     one's least - 1 most frequent; pairs meet in the others only, and whole lists
     of words then count.  A word that a third of all rows have is seldom joined.
     """
-    tokens = lambda df, name: df.select(F.col("id").alias(name), raw_words("text").alias(f"{name}_words")).where(F.size(f"{name}_words") >= least)
+    tokens = lambda df, name: df.select(F.col("id").alias(name), F.array_sort(raw_words("text")).alias(f"{name}_words")).where(F.size(f"{name}_words") >= least)
     a, b = tokens(left, "source_id"), tokens(right, "target_id")
-    posted = a.select("source_id", F.explode("source_id_words").alias("w"))
+    # Rows with the same words are one list, with a number; lists meet, and rows come back to them by equality.
+    lists = lambda df, c, n: materialise(df.select(c).distinct().withColumn(n, F.monotonically_increasing_id()))
+    x, y = lists(a, "source_id_words", "x"), lists(b, "target_id_words", "y")
+    posted = x.select("x", F.explode("source_id_words").alias("w"))
     counts = posted.groupBy("w").agg(F.count("*").alias("held"))
-    listed = b.select("target_id", F.explode("target_id_words").alias("w")).join(counts, "w")
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("held"), "w"))
-    pairs = posted.join(listed.withColumn("rank", rank).where(F.col("rank") >= least).select("target_id", "w"), "w").select("source_id", "target_id").distinct()
-    both = pairs.join(a, "source_id").join(b, "target_id")
-    return both.select("source_id", "target_id", F.size(F.array_intersect("source_id_words", "target_id_words")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
+    listed = y.select("y", F.explode("target_id_words").alias("w")).join(counts, "w")
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("held"), "w"))
+    pairs = posted.join(listed.withColumn("rank", rank).where(F.col("rank") >= least).select("y", "w"), "w").select("x", "y").distinct()
+    both = pairs.join(x, "x").join(y, "y").withColumn("shared", F.size(F.array_intersect("source_id_words", "target_id_words")).cast("bigint")).where(F.col("shared") >= least)
+    return a.join(both, "source_id_words").join(b, "target_id_words").select("source_id", "target_id", "shared")
 
 
 def is_functional(rule_origin: str = "rule_origin") -> Column:
