@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 from loomgraph.functions.shared import free_name, materialise
 from loomgraph.plans.schema import TRAVERSABLE
 
+#: Up to so many ids, counted, are broadcast; beyond, they are joined by a shuffle.
+FEW = 500_000
+
+
 def written(df: DataFrame) -> DataFrame:
     """Rows written to the folder that all executors share, and read back: a cut of the lineage."""
     return materialise(df, "graph")
 
 
+def _counted(ids: DataFrame) -> DataFrame:
+    """Written ids, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def find_nodes(nodes: DataFrame, query: str = "", kind: str | None = None) -> DataFrame:
     """Nodes of a type whose name, description or metadata contains the query, whatever its case."""
     if kind:
@@ -60,9 +69,15 @@ def last_edges(edges: DataFrame) -> DataFrame:
 
 
 def rooted_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among the nodes."""
-    ids = nodes.select("id")
-    return edges.join(ids, F.col("source_id") == F.col("id"), "left_semi").join(ids, F.col("target_id") == F.col("id"), "left_semi")
+    """Edges with both ends among the nodes; the ends that are not are found first, so that edges meet these only."""
+    lost = _unknown(edges, nodes)
+    whole = edges.where("source_id is not null and target_id is not null")
+    return whole.join(lost, F.col("source_id") == F.col("id"), "left_anti").join(lost, F.col("target_id") == F.col("id"), "left_anti")
+
+
+def _unknown(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id): ends of edges that are no node, without null."""
+    return _counted(written(dangling_ends(edges, nodes).where("id is not null")))
 
 
 class MissingEnds(ValueError):
@@ -71,10 +86,11 @@ class MissingEnds(ValueError):
 
 def split_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with both ends among the nodes, the others with missing_source and missing_target)."""
-    ids = nodes.select("id").where("id is not null").distinct()
-    s, t = ids.select(F.col("id").alias("s_id")), ids.select(F.col("id").alias("t_id"))
+    lost = _unknown(edges, nodes)
+    s, t = lost.select(F.col("id").alias("s_id")), lost.select(F.col("id").alias("t_id"))
     checked = edges.join(s, F.col("source_id") == F.col("s_id"), "left").join(t, F.col("target_id") == F.col("t_id"), "left")
-    checked = checked.withColumn("missing_source", F.col("s_id").isNull()).withColumn("missing_target", F.col("t_id").isNull()).drop("s_id", "t_id")
+    missing = lambda end, found: F.col(end).isNull() | F.col(found).isNotNull()
+    checked = checked.withColumn("missing_source", missing("source_id", "s_id")).withColumn("missing_target", missing("target_id", "t_id")).drop("s_id", "t_id")
     bad = F.col("missing_source") | F.col("missing_target")
     return checked.where(~bad).drop("missing_source", "missing_target"), checked.where(bad)
 
@@ -138,8 +154,8 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 2,
     visited = nodes.where(F.col("id") == root).select("id").distinct().withColumn("depth", F.lit(0))
     frontier = visited
     for step in range(1, depth + 1):
-        # Only edges that touch the frontier are shuffled further; adaptive execution broadcasts a small frontier after measuring it.
-        reached = around(edges, frontier, floor)
+        # Only edges that touch the frontier are shuffled further; a frontier that has been counted as small shuffles no edges.
+        reached = around(edges, _counted(frontier), floor)
         frontier = written(reached.join(visited, "id", "left_anti").join(nodes.select("id"), "id", "left_semi").withColumn("depth", F.lit(step)))
         visited = visited.unionByName(frontier)
     inside = undirected(induced_edges(edges, visited), floor)
@@ -159,10 +175,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, relationships: tuple[str, ...]
     steps = edges.where(F.upper("relationship").isin(*relationships)).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     if both_ways:
         steps = steps.unionAll(steps.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    steps = steps.distinct()
     visited = frontier = written(seeds.select("id").distinct())
-    while frontier.limit(1).count():
-        leaving = frontier if nodes is None else frontier.join(nodes.select("id"), "id", "left_semi")
+    # Equal steps are left in: what they lead to is made distinct anyway, and that costs less than all steps in every turn.
+    while n := frontier.count():
+        leaving = frontier if nodes is None else written(nodes.select("id").join(F.broadcast(frontier) if n <= FEW else frontier, "id", "left_semi").distinct())
+        leaving = F.broadcast(leaving) if n <= FEW else leaving
         frontier = written(steps.join(leaving.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(visited, "id", "left_anti"))
         visited = visited.unionAll(frontier)
     return visited

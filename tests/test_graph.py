@@ -174,3 +174,31 @@ def test_words_of_a_long_text_are_distinct_by_kind(spark):
     rows = [(r.kind, r.word) for r in framework.words_of(files).collect()]
     assert time.monotonic() - began < 60
     assert len(rows) == len(set(rows)) and ("builder", "User") in rows and ("made", "User") in rows and ("word", "w29999") in rows
+
+
+def test_ends_that_are_no_node_are_split_off(spark, monkeypatch):
+    """Null ends too, and with ids that are too many to be broadcast."""
+    nodes = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "x")], "id string, type string")
+    edges = spark.createDataFrame([("a", "b", 0), ("a", "z", 1), ("z", "b", 2), (None, "b", 3), ("a", None, 4), ("z", None, 5)], "source_id string, target_id string, ord long")
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        whole, bad = graph.split_edges(edges, nodes)
+        assert {r.ord for r in whole.collect()} == {0} == {r.ord for r in graph.rooted_edges(edges, nodes).collect()}
+        assert {(r.ord, r.missing_source, r.missing_target) for r in bad.collect()} == {(1, False, True), (2, True, False), (3, True, False), (4, False, True), (5, True, True)}
+
+
+def test_steps_are_the_same_whether_the_frontier_is_broadcast(spark, monkeypatch):
+    nodes, edges = chain(spark, 6)
+    seeds = nodes.where("id = 'n2'")
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert {r.id for r in graph.reachable(edges, seeds, nodes=nodes).collect()} == {f"n{i}" for i in range(6)}
+        assert {r.id for r in graph.neighbourhood(edges, nodes, "n2", 2).collect()} == {f"n{i}" for i in range(5)}
+
+
+def test_equal_lists_of_words_meet_once(spark):
+    """Rows with the same words, in any order, have the pairs of their list of words."""
+    left = spark.createDataFrame([("l1", "red big car"), ("l2", "car red big"), ("l3", "red"), ("l4", "big old car"), ("l5", None)], "id string, text string")
+    right = spark.createDataFrame([("r1", "big car"), ("r2", "car, big"), ("r3", "red old")], "id string, text string")
+    got = {(r.source_id, r.target_id): r.shared for r in similarity.overlapping(left, right).collect()}
+    assert got == {(s, t): 2 for s in ("l1", "l2", "l4") for t in ("r1", "r2")}
