@@ -75,23 +75,36 @@ def _marked(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _metadata(pieces: DataFrame, keys: list[str], nested: bool) -> DataFrame:
-    """(keys as m_.., metadata) of each group."""
-    rows = pieces.select(*keys, "last", F.explode("metadata").alias("key", "v"))
-    own = [*keys, "key"]
-    per = rows.groupBy(*own).agg(
-        F.max_by("v.object", "last").alias("object"), F.max_by("v.json", F.when(~F.col("v.object"), F.col("last"))).alias("json"), F.max(F.when(F.col("v.fresh"), F.col("last"))).alias("reset"), F.bool_or("v.object").alias("any_object")
-    )
-    value = F.struct(F.col("reset").isNotNull().alias("fresh"), "object", "json")
+    """(keys as m_.., metadata) of each group.
+
+    The latest of each member comes first, whatever was reset: a member whose latest is older than the reset has no
+    later one that could stay.  So nothing is joined back, and only what differs by member goes on.
+    """
+    rows = pieces.select(*keys, "last", F.explode("metadata").alias("key", "v")).select(*keys, "last", "key", "v.*")
+    is_scalar = ~F.col("object")
+    if nested:
+        # A row for each member of an object; one without a member for a scalar and for an object that has none.
+        rows = rows.select(*keys, "last", "key", "fresh", "object", F.when(is_scalar, F.col("json")).alias("scalar"), F.explode_outer(F.when(F.col("object"), F.from_json("json", "map<string,variant>"))).alias("member", "of_member"))
+        rows = rows.select(*keys, "last", "key", "member", "fresh", "object", F.when(F.col("member").isNotNull(), F.to_json("of_member")).otherwise(F.col("scalar")).alias("text"))
+        says = F.when(F.col("member").isNotNull() | is_scalar, F.col("last"))
+    else:
+        rows = rows.select(*keys, "last", "key", F.lit(None).cast("string").alias("member"), "fresh", "object", F.col("json").alias("text"))
+        says = F.when(is_scalar, F.col("last"))
+    latest = rows.groupBy(*keys, "key", "member").agg(F.max("last").alias("last"), F.max_by("object", "last").alias("object"), F.max_by("text", says).alias("text"), F.max(F.when(F.col("fresh"), F.col("last"))).alias("reset"))
+    # As many rows as a node has different keys and members meet by the node.
+    of_key = [F.max_by("object", "last").alias("object"), F.max(F.when(F.col("member").isNull(), F.col("text"))).alias("json"), F.max("reset").alias("reset")]
+    if nested:
+        of_key.append(F.collect_list(F.when(F.col("member").isNotNull(), F.struct("member", "text", "last"))).alias("members"))
+    per = latest.repartition(*keys).groupBy(*keys, "key").agg(*of_key)
+    text = F.col("json")
     if nested:
-        resets = _marked(per.where("any_object and reset is not null").select(*own, "reset"), own)
-        members = rows.where("v.object").select(*own, "last", F.explode(F.from_json("v.json", "map<string,variant>")).alias("member", "of_member")).select(*own, "last", "member", F.to_json("of_member").alias("value"))
-        live = members.join(resets, _same(members, resets, own), "left").where(F.col("reset").isNull() | (F.col("last") >= F.col("reset"))).select(*own, "last", "member", "value")
-        latest = live.groupBy(*own, "member").agg(F.max_by("value", "last").alias("value"))
-        whole = F.to_json(F.transform_values(F.map_from_entries(F.array_sort(F.collect_list(F.struct("member", "value")))), lambda k, v: F.parse_json(v)))
-        merged = _marked(latest.groupBy(*own).agg(whole.alias("merged")), own)
-        per = per.join(merged, _same(per, merged, own), "left")
-        value = F.struct(F.col("reset").isNotNull().alias("fresh"), "object", F.when(F.col("object"), F.coalesce("merged", F.lit("{}"))).otherwise(F.col("json")).alias("json"))
-    # As many entries as a node has different keys.
+        live = F.array_sort(F.filter("members", lambda m: F.col("reset").isNull() | (m["last"] >= F.col("reset"))))
+        # Names without anything to escape are put together as text, which takes a fraction of the time.
+        plain = F.concat(F.lit("{"), F.array_join(F.transform(live, lambda m: F.concat(F.lit('"'), m["member"], F.lit('":'), m["text"])), ","), F.lit("}"))
+        escaped = F.to_json(F.map_from_entries(F.transform(live, lambda m: F.struct(m["member"].alias("key"), F.parse_json(m["text"]).alias("value")))))
+        whole = F.when(F.forall("members", lambda m: m["member"].rlike("^[A-Za-z0-9_ .-]*$")), plain).otherwise(escaped)
+        text = F.when(F.col("object"), whole).otherwise(text)
+    value = F.struct(F.col("reset").isNotNull().alias("fresh"), F.col("object"), text.alias("json"))
     return _marked(per.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", value.alias("value"))))).alias("metadata")), keys)
 
 

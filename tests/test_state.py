@@ -177,3 +177,15 @@ def test_scopes_own_what_they_write(spark):
         left = outer.inputFiles()[0]
         assert not shared.exists(spark, inner) and shared.exists(spark, left) and outer.count() == 3
     assert not shared.exists(spark, left)
+
+
+def test_metadata_folds_without_joining_updates_back(spark):
+    """Members before a reset go, names are escaped, and no row of an update meets another in a join (there were two on every member)."""
+    said = ['{"m": {"a": 1, "b": {"x": 1.5}}, "s": "1"}', '{"m": 7}', '{"m": {}, "s": {"q\\"\\u00e9": null}}', '{"m": {"c": [1, "y"]}}', '{"m": {"a": 2, "c": "z"}}', None]
+    rows = [("n", i, "rule", "", "", text, None, "f") for i, text in enumerate(said)] + [("o", 0, "rule", "", "", '{"m": {"k": 1}}', None, "f"), ("o", 1, "rule", "", "", '{"m": {}}', None, "f")]
+    pieces = fold.pieces_of(spark.createDataFrame(rows, "id string, ord bigint, type string, name string, description string, metadata string, origin string, source_file string"))
+    got = {r.id: r.metadata for r in fold.nodes_of(fold.combine(pieces)).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {"n": {"m": {"a": 2, "c": "z"}, "s": {'q"\u00e9': None}}, "o": {"m": {"k": 1}}}
+    apart = fold.combine(pieces.withColumn("part", F.floor(F.col("ord") / 2)), ("id", "part"))
+    assert {r.id: r.metadata for r in fold.nodes_of(fold.combine(apart)).collect()} == got
+    assert " Join " not in fold._metadata(pieces, ["id"], True)._jdf.queryExecution().optimizedPlan().toString()
