@@ -32,32 +32,40 @@ def _extension(path: str) -> Column:
 
 
 def marks(files: DataFrame, language: str) -> DataFrame:
-    """(path, n, kind, name, inside): the marks of files (path, content) in order."""
+    """(path, n, kind, name, inside): the marks of files (path, content) in order; of brackets and full stops directly after one another only the first."""
     kinds = MARKS[language]
     whole = "|".join(f"(?:{pattern})" for _, pattern in kinds)
-    found = files.select("path", F.posexplode(F.regexp_extract_all(strip_comments(F.coalesce("content", F.lit(""))), F.lit(whole), 0)).alias("n", "mark"))
-    kind, name, inside = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    every = files.select("path", F.regexp_extract_all(strip_comments(F.coalesce("content", F.lit(""))), F.lit(whole), 0).alias("marks"))
+    # No other mark is a single character.
+    first = lambda mark, i: (F.length(mark) > 1) | (i == 0) | (F.length(F.get("marks", i - 1)) > 1)
+    found = every.select("path", F.posexplode(F.filter("marks", first)).alias("n", "mark"))
+    kind = name = inside = F.lit(None).cast("string")
     for k, pattern in reversed(kinds):
-        hit = F.col("mark").rlike(f"^(?:{pattern})$")
+        hit = F.length("mark") == 1 if k == "body" else F.col("mark").rlike(f"^(?:{pattern})$")
         kind = F.when(hit, F.lit(k)).otherwise(kind)
+    found = found.withColumn("kind", kind)
+    for k, pattern in kinds:
+        hit = F.col("kind") == k
         name = F.when(hit, F.regexp_extract("mark", pattern, 1)).otherwise(name)
         inside = F.when(hit, F.regexp_extract("mark", pattern, 2)).otherwise(inside)
-    return found.select("path", "n", kind.alias("kind"), name.alias("name"), inside.alias("inside"))
+    return found.select("path", "n", "kind", name.alias("name"), inside.alias("inside"))
 
 
 def routes(files: DataFrame, language: str) -> DataFrame:
     """(path, class_name, http_method, route) of the mapped methods of files (path, content) in "java" or "typescript"."""
     in_file = Window.partitionBy("path").orderBy("n")
     rows = marks(files, language).withColumn("quoted", F.regexp_extract("inside", _QUOTED, 1))
-    # A base stands before a class without any bracket or full stop between them.
-    rows = rows.withColumn("next", F.first(F.when(F.col("kind") != "route", F.col("kind")), ignorenulls=True).over(in_file.rowsBetween(1, Window.unboundedFollowing)))
-    is_base = (F.col("kind") == "route") & F.col("name").isin(*BASES) & (F.col("next") == "class")
-    rows = rows.withColumn("is_base", is_base)
-    # The base of a class is the last one since the mark before that was no route.
+    # A span is routes and the mark after them that is none; a base stands in the span of its class.  Every window goes
+    # over its rows once: a frame up to the end of the file would be read anew for each of them.
     span = F.sum(F.when(F.col("kind") != "route", 1).otherwise(0)).over(in_file.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("span", F.coalesce(span, F.lit(0)))
-    own_base = F.last(F.when(F.col("is_base"), F.col("quoted")), ignorenulls=True).over(Window.partitionBy("path", "span").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("base", F.when(F.col("kind") == "class", F.coalesce(own_base, F.lit(""))))
+    in_span = Window.partitionBy("path", "span")
+    base = (F.col("kind") == "route") & F.col("name").isin(*BASES)
+    rows = rows.withColumn("next", F.max(F.when(F.col("kind") != "route", F.col("kind"))).over(in_span))
+    rows = rows.withColumn("own_base", F.max(F.when(base, F.struct("n", "quoted"))).over(in_span)["quoted"])
+    rows = rows.withColumn("is_base", base & (F.col("next") == "class"))
+    # Only routes and classes go on; the last class before a route is its own.
+    rows = rows.where("kind != 'body'").withColumn("base", F.when(F.col("kind") == "class", F.coalesce("own_base", F.lit(""))))
     before = in_file.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("c", F.last(F.when(F.col("kind") == "class", F.struct("name", "base")), ignorenulls=True).over(before))
     kept = rows.where((F.col("kind") == "route") & ~F.col("is_base") & ~((F.col("name") == "Controller")) & (F.col("next").isNull() | (F.col("next") != "class")))

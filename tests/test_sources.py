@@ -154,3 +154,17 @@ def test_incremental_batch_and_stream(spark, tmp_path):
     (tmp_path / "in/b.py").write_text("@app.get('/x')\ndef f(): ...")
     run()
     assert spark.read.parquet(str(tmp_path / "out")).where("row = 'node'").count() == 6
+
+
+def test_routes_of_a_long_file_read_each_mark_once(spark):
+    """Bases, spans and brackets in a row; no frame reaches up to the end of the file for each mark (one did, quadratic in a file's marks)."""
+    from loomgraph.sources import routes
+
+    one = '@RequestMapping("/b%d")\n@Tag("x")\npublic class C%d {{ ;;\n @GetMapping("/g") String a() { return x; }\n @RequestMapping(value = "/r", method = RequestMethod.PUT) String b() {{}}\n}}\n@GetMapping("/lost")\nclass D%d { @PostMapping String c() {} }\n'
+    files = spark.createDataFrame([("A.java", '@GetMapping("/none") ;' + "".join(one % (i, i, i) for i in range(300))), ("E.java", None)], "path string, content string")
+    got = {tuple(r) for r in routes.endpoints(files).collect()}
+    want = {("A.java", None, "GET", "/none")}
+    for i in range(300):
+        want |= {("A.java", f"C{i}", "GET", f"/b{i}/g"), ("A.java", f"C{i}", "PUT", f"/b{i}/r"), ("A.java", f"D{i}", "POST", "/")}
+    assert got == want
+    assert "RowFrame, 1, unboundedfollowing" not in routes.endpoints(files)._jdf.queryExecution().analyzed().toString()
