@@ -26,7 +26,8 @@ lies before, between and behind them is as it was, the middle moved by at most
 one point, and makes a key with the lesser length of the pair.  Three parts
 sieve the lines.  Those that go on meet by their keys of 6 parts; lines of a key
 that more than MAX_GROUP share meet by 24 parts instead, where all but a twelfth
-of a line is equal.  Pairs of a key whose parities allow two edits (which code
+of a line is equal, and only by keys whose two parts lie in the pair of parts that many
+share.  Pairs of a key whose parities allow two edits (which code
 points and pairs of them a line holds an odd number of times; an edit changes
 few) are verified by edit distance; keys that the same lines share are taken as
 one, so that a pair meets once for each such set of lines; in a large
@@ -147,6 +148,24 @@ def _part_keys(points: _Points, first: np.ndarray, last: np.ndarray, parts: int)
     return out
 
 
+def _asked_bits(parts: int) -> np.ndarray:
+    """For each key of _part_keys(), in its order, the bit of the pair of coarse parts (PARTS[0]) that holds the parts it leaves out.
+
+    Lines that share a key share that of its pair too, as cuts of the coarse parts are cuts of the fine ones; parts
+    inside one coarse part go with that part and the next (the last with the one before).
+    """
+    coarse, bits = PARTS[0], []
+    number = {pair: n for n, pair in enumerate((i, j) for i in range(coarse) for j in range(i + 1, coarse))}
+    for shifts in (2, 2, 1):
+        for i in range(parts):
+            for j in range(i + 1, parts):
+                a, b = i * coarse // parts, j * coarse // parts
+                if a == b:
+                    a, b = (a, a + 1) if a + 1 < coarse else (a - 1, a)
+                bits += [1 << number[a, b]] * (1 if j == i + 1 else shifts)
+    return np.array(bits, np.int64)
+
+
 def _n_keys(max_edits: int) -> int:
     """Sieve keys of a line."""
     return KEYS if max_edits < 2 else 11
@@ -181,12 +200,13 @@ def _scan(documents: DataFrame, id_col: str, text_col: str, max_edits: int = 1)
 
 
 def _texts_of(needed: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, ords, line_nos) of the documents that hold the lines `needed` (ord, first)."""
-    lists = needed.groupBy("first.id", "first.body").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "ord")).alias("l"))
-    lists = materialise(lists.select(F.col("id").alias("n_id"), F.col("body").alias("n_body"), F.col("l.ord").alias("ords"), F.col("l.line_no").alias("nos")))
+    """(text, ords, nos, and asked if that is given) of the documents that hold the lines `needed` (ord, first, and asked)."""
+    more = [c for c in ("asked",) if c in needed.columns]
+    lists = needed.groupBy("first.id", "first.body").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "ord", *more)).alias("l"))
+    lists = materialise(lists.select(F.col("id").alias("n_id"), F.col("body").alias("n_body"), F.col("l.ord").alias("ords"), F.col("l.line_no").alias("nos"), *(F.col(f"l.{c}").alias(c) for c in more)))
     lists = F.broadcast(lists) if needed.count() <= MAX_NEEDED else lists.hint("shuffle_hash")
     docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
-    return docs.join(lists, (F.col("body") == F.col("n_body")) & F.col("id").eqNullSafe(F.col("n_id"))).select("text", "ords", "nos")
+    return docs.join(lists, (F.col("body") == F.col("n_body")) & F.col("id").eqNullSafe(F.col("n_id"))).select("text", "ords", "nos", *more)
 
 
 def _wanted(batch: pa.RecordBatch):
@@ -231,26 +251,40 @@ def _strings(texts: DataFrame) -> DataFrame:
 
 
 def _keyed(texts: DataFrame, parts: int) -> DataFrame:
-    """(key, ord, parity): the distinct keys of each line."""
+    """(key, ord, parity, asked): the distinct keys of each line, each with the bits of its pairs of coarse parts; only those with a bit that is asked of the line."""
+    bits, chosen = _asked_bits(parts), "asked" in texts.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, ords, parities = [], [], []
+        keys, ords, parities, pairs = [], [], [], []
+        asked_of = {}
+        if chosen:
+            asked_of = dict(zip(batch.column(1).flatten().to_pylist(), batch.column(3).flatten().to_pylist(), strict=True))
         for chunk, found in _wanted(batch):
             if not found:
                 continue
             points = _Points(chunk)
             o, starts, ends = np.array(found, np.int64).T
             first, last = points.at(starts), points.at(ends)
-            own = np.sort(np.stack(_part_keys(points, first, last, parts), axis=1), axis=1)
+            own = np.stack(_part_keys(points, first, last, parts), axis=1)
+            order = np.argsort(own, axis=1, kind="stable")
+            own, of_key = np.take_along_axis(own, order, axis=1), bits[order]
             new = np.ones(own.shape, bool)
             new[:, 1:] = own[:, 1:] != own[:, :-1]
-            keys.append(own[new])
-            ords.append(np.repeat(o, new.sum(axis=1)))
-            parities.append(np.repeat(points.parities(first, last).view(np.int64), new.sum(axis=1)))
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ords, parities)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["key", "ord", "parity"])
-
-    return map_batches(texts, run, "key bigint, ord bigint, parity bigint")
+            # A key that comes for several pairs has the bits of all.
+            of_key = np.bitwise_or.reduceat(of_key.ravel(), np.flatnonzero(new.ravel()))
+            rows = np.repeat(np.arange(len(o)), new.sum(axis=1))
+            out = own[new]
+            if chosen:
+                kept = (of_key & np.array([asked_of[x] for x in o.tolist()], np.int64)[rows]) != 0
+                out, of_key, rows = out[kept], of_key[kept], rows[kept]
+            keys.append(out)
+            ords.append(o[rows])
+            parities.append(points.parities(first, last).view(np.int64)[rows])
+            pairs.append(of_key)
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ords, parities, pairs)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["key", "ord", "parity", "asked"])
+
+    return map_batches(texts, run, "key bigint, ord bigint, parity bigint, asked bigint")
 
 
 def _with_group(rows: DataFrame, keys: list[str], *of_group: Column) -> DataFrame:
@@ -289,11 +323,12 @@ def _alike_by_two(going: DataFrame, documents: DataFrame, id_col: str, text_col:
         # Keys that the same lines share are one key: a pair that is equal outside one part meets in every key with that part.
         members = F.expr("bit_xor(xxhash64(ord))").over(by_key)
         rows = _keyed(texts(open_lines), parts).withColumn("n", F.count("*").over(by_key)).withColumn("same", members).where("n > 1")
-        rows = materialise(rows.groupBy(F.struct("same", "n").alias("key"), "ord").agg(F.first("parity").alias("parity"), F.first("n").alias("n")))
+        rows = materialise(rows.groupBy(F.struct("same", "n").alias("key"), "ord").agg(F.first("parity").alias("parity"), F.first("n").alias("n"), F.bit_or("asked").alias("asked")))
         few, many = rows.where(F.col("n") <= MAX_GROUP), rows.where(F.col("n") > MAX_GROUP)
         found = verified(met(few, few))
         out = found if out is None else out.unionAll(found)
-        open_lines = many.select("ord").distinct()
+        # Of the finer keys a line needs those inside the pairs of parts that many share; pairs of lines in few are done.
+        open_lines = many.groupBy("ord").agg(F.bit_or("asked").alias("asked"))
         if not many.limit(1).count():
             return out
     first = _with_group(many, ["key"], F.min(F.struct("ord", "parity")).alias("least"))

@@ -670,6 +670,26 @@ def test_lines_by_two_edits(spark, monkeypatch, group):
     assert {r.doc_id: (r.n_lines, r.kept_lines) for r in line_dedup.dedup(df, max_edits=2, min_chars=5).collect()} == want
 
 
+def test_lines_of_a_large_family_make_the_finer_keys_they_need(spark, monkeypatch):
+    """Copies with another word each, and one two edits from a copy: keys inside pairs of parts that few lines share are not made (all were)."""
+    base = [f"word{i:02d}" for i in range(40)]
+    lines = [" ".join([*base[:7], f"{i:06d}"[::-1] * 2, *base[8:]]) for i in range(45)]
+    lines.append(lines[30].replace("word20", "wurd20").replace("word33", "word3"))
+    made, keyed = [], line_dedup._keyed
+
+    def counted(texts, parts):
+        out = keyed(texts, parts)
+        made.append((parts, texts.count(), out.groupBy("ord").count().agg({"count": "max"}).head()[0]))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_keyed", counted)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup(df, max_edits=2, min_chars=5).collect()}
+    want = {i: int(not any(edit_distance(x, line) <= 2 for x in lines[:i])) for i, line in enumerate(lines)}
+    assert got == want and got[45] == 0
+    assert [m[0] for m in made] == [6, 24] and made[1][2] < 0.6 * len(line_dedup._asked_bits(24))
+
+
 # 10. Decontamination
 
 
