@@ -293,8 +293,11 @@ def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """
     dealt = F.pmod(F.xxhash64(F.lit(turn), "key"), F.lit(HUBS))
     hubs = [F.min(F.when(dealt == h, F.struct((-F.col("held")).alias("z"), "key", "info", "label", "parity"))) for h in range(HUBS)]
-    met = _with_list(rows, F.array_compact(F.array(*hubs)).alias("hubs")).where(F.size(F.array_distinct("hubs.label")) + (~F.array_contains("hubs.label", F.col("label"))).cast("int") > 1).withColumn("hub", F.explode(F.array_distinct("hubs")))
-    met = met.where((F.col("label") != F.col("hub.label")) & _fits(F.col("info"), F.col("hub.info"), F.col("parity"), F.col("hub.parity"), percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", "w", F.least(_matches(F.col("info")), _matches(F.col("hub.info"))).alias("l"))
+    fits = lambda hub: (F.col("label") != hub["label"]) & _fits(F.col("info"), hub["info"], F.col("parity"), hub["parity"], percent)
+    near = F.transform(F.filter("hubs", fits), lambda hub: F.struct(hub["key"].alias("key"), F.least(_matches(F.col("info")), _matches(hub["info"])).alias("l")))
+    met = _with_list(rows, F.array_compact(F.array(*hubs)).alias("hubs")).select("key", "w", near.alias("hubs")).where(F.size("hubs") > 0)
+    # Only hubs that fit get rows, and lists where a class has the same ones count as one: near copies share whole runs of lists.
+    met = met.groupBy("key", "hubs").agg(F.sum("w").alias("w")).select("key", "w", F.explode("hubs").alias("hub")).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), "key", "w", "hub.l")
     # Lists have different hubs, so a part of the matches asked for is enough here; a wrong guess costs one verification.
     counted = met.groupBy("key", "a", "b").agg(F.sum("w").alias("shared"), F.first("l").alias("l")).where(F.col("shared") * 4 >= F.col("l"))
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "a", "b"))

@@ -453,6 +453,34 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.near_duplicates(spark.createDataFrame(near, SCHEMA)).collect())) == brute_components(near, 4, 85)[0]
 
 
+def generated_rows(df):
+    """Rows that the explodes of a query made when it ran."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "GenerateExec":
+            total += node.metrics().apply("numOutputRows").value()
+        if kind in ("AdaptiveSparkPlanExec", "ReusedExchangeExec") or kind.endswith("QueryStageExec"):
+            todo.append(node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.child() if kind == "ReusedExchangeExec" else node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_hubs_that_do_not_fit_get_no_rows_and_equal_hubs_get_one(spark):
+    """200 classes, of which a tenth are near copies, that come together in 30 lists."""
+    rng = random.Random(4)
+    classes, lists, words = range(200), range(30), len(jaccard.PARITIES)
+    parity = {k: tuple(0 if k % 10 == 0 else rng.getrandbits(62) for _ in range(words)) for k in classes}
+    rows = [(t, k, int(jaccard._pack(100, t, 8)), 1, 30 + (k % 10 == 0), parity[k], k) for t in lists for k in classes]
+    kind = ", ".join(f"{p}: long" for p in jaccard.PARITIES)
+    found = jaccard._hub_pairs(spark.createDataFrame(rows, f"token long, key long, info long, w long, held long, parity struct<{kind}>, label long"), 0, 85)
+    assert {k for r in found.collect() for k in r} == {k for k in classes if k % 10 == 0}
+    assert 0 < generated_rows(found) <= 20 * jaccard.HUBS
+
+
 def test_one_of_each_group_stays(docs, rows):
     out = jaccard.keep_one(docs)
     assert out.columns == docs.columns
