@@ -1,8 +1,8 @@
 """API descriptions in JSON as tables: models with all their properties, endpoints, and which models these use.
 
 Schemas refer to one another and are put together of parts (allOf, oneOf,
-anyOf).  They are flattened level by level: a frontier of schemas gives the
-properties that are its own, and its references and parts are the next frontier,
+anyOf).  Each is read once, with its parts level by level: its properties and
+references are rows then.  References are followed level by level on these rows
 until none is left.  A branch does not follow a reference twice, which ends
 cycles.  Where a property comes more than once, the later place decides: a schema's
 own properties come after its parts, these in the order of allOf, oneOf and anyOf,
@@ -16,6 +16,8 @@ that is no object is `any`, one without a type is named by its reference, or
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ METHODS = ("get", "post", "put", "delete", "patch", "head", "options")
 PARTS = ("allOf", "oneOf", "anyOf")
 # End of the fixed values.
 OWN = len(PARTS) + 1
+# Schemas of one task, in so many tasks as there are cores at least.
+SHARE = 20_000
 
 
 def _field(json: str | Column, name: str) -> Column:
@@ -49,32 +53,55 @@ def models(files: DataFrame) -> DataFrame:
     return rows.select("path", "name", F.coalesce(_field("schema", "title"), "name").alias("title"), "schema")
 
 
-def flat_properties(schemas: DataFrame) -> DataFrame:
-    """(path, name, property, type) of schemas (path, name, schema as JSON), through references and parts."""
-    known = written(schemas.select(F.col("path").alias("k_path"), F.col("name").alias("k_name"), F.col("schema").alias("k_schema")))
-    frontier = schemas.select("path", "name", "schema", F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("seen"))
-    found = None
+def _parts(step: int, name: str) -> Column:
+    """(steps, schema) of the parts that a schema is put together of in one way."""
+    listed = F.coalesce(F.from_json(_field("schema", name), "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(listed, lambda part, pos: F.struct(F.array(F.lit(step), pos).alias("steps"), F.to_json(part).alias("schema")))
+
+
+def _read(schemas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, name, place, property, type) and (path, name, place, ref) that each schema holds itself or in its parts."""
+    inside = schemas.withColumn("place", F.array().cast("array<int>"))
+    own, references = [], []
     while True:
-        frontier = written(frontier.where(F.startswith("schema", F.lit("{"))))
-        if not frontier.limit(1).count():
+        inside = written(inside.where(F.startswith("schema", F.lit("{"))))
+        if own and inside.isEmpty():
             break
         at = lambda *steps: F.concat("place", F.array(*(F.lit(s) if isinstance(s, int) else s for s in steps)))
-        own = frontier.select("path", "name", at(OWN).alias("place"), F.explode(_members(_field("schema", "properties"))).alias("p"))
+        held = inside.select("path", "name", at(OWN).alias("place"), F.explode(_members(_field("schema", "properties"))).alias("p"))
         inner = F.col("p.value")
         kind = F.when(~F.startswith(inner, F.lit("{")), "any").otherwise(F.coalesce(F.nullif(_field(inner, "type"), F.lit("")), _last_segment(_field(inner, "$ref")), F.lit("object")))
-        own = own.select("path", "name", "place", F.col("p.key").alias("property"), kind.alias("type"))
-        found = own if found is None else found.unionByName(own)
-        reference = _field("schema", "$ref")
-        led = frontier.withColumn("ref", reference).where(F.col("ref").isNotNull() & ~F.array_contains("seen", F.col("ref")))
-        led = led.join(known, (F.col("path") == F.col("k_path")) & (_last_segment(F.col("ref")) == F.col("k_name")))
-        following = led.select("path", "name", F.col("k_schema").alias("schema"), at(0).alias("place"), F.array_append("seen", F.col("ref")).alias("seen"))
-        for step, part in enumerate(PARTS, 1):
-            parts = frontier.select("path", "name", "place", "seen", F.posexplode(F.from_json(_field("schema", part), "array<variant>")).alias("pos", "v"))
-            following = following.unionByName(parts.select("path", "name", F.to_json("v").alias("schema"), at(step, F.col("pos")).alias("place"), "seen"))
-        frontier = following
-    if found is None:
-        return schemas.select("path", "name", F.lit("").alias("property"), F.lit("").alias("type")).limit(0)
-    return found.groupBy("path", "name", "property").agg(F.max_by("type", "place").alias("type"))
+        own.append(held.select("path", "name", "place", F.col("p.key").alias("property"), kind.alias("type")))
+        references.append(inside.select("path", "name", at(0).alias("place"), _field("schema", "$ref").alias("ref")).where(F.col("ref").isNotNull()))
+        some = F.concat(*(_parts(step, part) for step, part in enumerate(PARTS, 1)))
+        inside = inside.select("path", "name", "place", F.explode(some).alias("part")).select("path", "name", F.col("part.schema").alias("schema"), F.concat("place", "part.steps").alias("place"))
+    return reduce(DataFrame.unionByName, own), reduce(DataFrame.unionByName, references)
+
+
+def flat_properties(schemas: DataFrame) -> DataFrame:
+    """(path, name, property, type) of schemas (path, name, schema as JSON), through references and parts."""
+    schemas = schemas.select("path", "name", "schema")
+    # A level has a few rows for each schema, which are few bytes: they would all go to one task otherwise.
+    schemas = schemas.repartition(max(schemas.sparkSession.sparkContext.defaultParallelism, schemas.count() // SHARE), "path", "name")
+    own, references = _read(schemas)
+    roots = written(schemas.select("path", "name").distinct())
+    known = roots.select(F.col("path").alias("k_path"), F.col("name").alias("target"))
+    edges = references.join(known, (F.col("path") == F.col("k_path")) & (_last_segment(F.col("ref")) == F.col("target")))
+    edges = written(edges.select(F.col("path").alias("e_path"), F.col("name").alias("e_name"), F.col("place").alias("step"), "ref", "target"))
+    # Whose properties a model has, and at which place.
+    frontier = roots.select("path", "name", F.col("name").alias("at"), F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("seen"))
+    levels: list[DataFrame] = []
+    while True:
+        frontier = written(frontier)
+        if levels and frontier.isEmpty():
+            break
+        levels.append(frontier.select("path", "name", "at", "place"))
+        led = frontier.join(edges, F.col("path").eqNullSafe(F.col("e_path")) & F.col("at").eqNullSafe(F.col("e_name"))).where(~F.array_contains("seen", F.col("ref")))
+        frontier = led.select("path", "name", F.col("target").alias("at"), F.concat("place", "step").alias("place"), F.array_append("seen", F.col("ref")).alias("seen"))
+    held = written(own.groupBy(F.col("path").alias("h_path"), F.col("name").alias("h_name")).agg(F.collect_list(F.struct(F.col("place").alias("inner"), "property", "type")).alias("held")))
+    found = reduce(DataFrame.unionByName, levels).join(held, F.col("path").eqNullSafe(F.col("h_path")) & F.col("at").eqNullSafe(F.col("h_name")))
+    found = found.select("path", "name", "place", F.explode("held").alias("p"))
+    return found.groupBy("path", "name", "p.property").agg(F.max_by("p.type", F.concat("place", "p.inner")).alias("type"))
 
 
 def endpoints(files: DataFrame) -> DataFrame:

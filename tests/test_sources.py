@@ -5,6 +5,7 @@ import json
 import zipfile
 
 from loomgraph.operators import provenance
+from loomgraph.sources import api_schemas
 from loomgraph.sources import code_parsers as P
 from loomgraph.sources import files as W
 from loomgraph.sources import graph_file, text_parsers
@@ -168,3 +169,19 @@ def test_routes_of_a_long_file_read_each_mark_once(spark):
         want |= {("A.java", f"C{i}", "GET", f"/b{i}/g"), ("A.java", f"C{i}", "PUT", f"/b{i}/r"), ("A.java", f"D{i}", "POST", "/")}
     assert got == want
     assert "RowFrame, 1, unboundedfollowing" not in routes.endpoints(files)._jdf.queryExecution().analyzed().toString()
+
+
+def test_schemas_are_read_once_however_long_references_go(spark, monkeypatch):
+    ref = lambda n: {"$ref": f"#/components/schemas/S{n}"}
+    specs = {f"S{n}": {"allOf": [ref(n + 1), {"oneOf": [{"properties": {"p": {"type": f"t{n}"}, f"p{n}": True}}]}]} for n in range(6)}
+    specs["S6"] = ref(0) | {"anyOf": [{"properties": {"p": {"type": "last"}}}], "properties": {"end": ref(2), "none": {}}}
+    rows = [("a", n, json.dumps(s)) for n, s in specs.items()] + [("b", "S1", "true"), ("b", "S0", json.dumps(specs["S0"])), ("a", "S3", json.dumps(specs["S3"])), (None, "S0", json.dumps(specs["S0"])), ("a", None, json.dumps(ref(6))), ("a", "T", None)]
+    asked, written = [], api_schemas.written
+    monkeypatch.setattr(api_schemas, "written", lambda df: asked.append(df.columns) or written(df))
+    got = {tuple(r) for r in api_schemas.flat_properties(spark.createDataFrame(rows, "path string, name string, schema string")).collect()}
+    every = {(f"p{n}", "any") for n in range(6)} | {("end", "S2"), ("none", "object")}
+    # The cycle goes once around: of each model, its own place for p is the last, and S6 has its own part.
+    want = {("a", f"S{n}", *p) for n in range(7) for p in every | {("p", f"t{n}" if n < 6 else "last")}}
+    want |= {("a", None, *p) for p in every | {("p", "last")}} | {(path, "S0", *p) for path in ("b", None) for p in (("p", "t0"), ("p0", "any"))}
+    assert got == want
+    assert sum("schema" in columns for columns in asked) <= 4
