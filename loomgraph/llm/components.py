@@ -2,10 +2,13 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond"): every round replaces links by links to a
-smaller neighbour until only stars remain.  Minima combine before the shuffle
-and the joins on a hot vertex are plain sort-merge joins, which adaptive
-execution splits.  The links of a round are written to the shared folder, so
-plans stay short and a lost executor repeats one round at most.
+smaller neighbour until only stars remain.  Minima combine before the shuffle.
+The joins are sort-merge joins however small the links are: a broadcast in each
+of so many short queries would fill the driver's memory with tables that are
+used once.  Each star reads its links in one place for the minima and in one for
+the join, so the plan of two stars in a row holds the first one twice, not eight
+times.  The links of a round are written to the shared folder, so plans stay
+short and a lost executor repeats one round at most.
 
 Cases: empty input gives an empty table; self-links and repeated links are
 dropped; nulls are not linked with anything.
@@ -19,20 +22,20 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialise
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(a, b) for each of the named pairs of columns, in one pass over the rows."""
+    return rows.select(F.inline(F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs))))
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Each vertex's larger (or smaller) neighbours linked with the least vertex around it."""
-    ways = _both_ways(links)
+    ways = _each(links, ("a", "b"), ("b", "a"))
     least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = ways.join(least.withColumnRenamed("a", "c"), F.col("a") == F.col("c"))
+    joined = ways.join(least.withColumnRenamed("a", "c").hint("merge"), F.col("a") == F.col("c"))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        near = joined.where(F.col("b") < F.col("a"))
-        out = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(near.select("a", F.col("m").alias("b")))
+        out = _each(joined.where(F.col("b") < F.col("a")), ("b", "m"), ("a", "m"))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
@@ -52,7 +55,7 @@ def components(links: DataFrame, max_rounds: int = 40, settled: bool = True) ->
     if not settled:
         links = materialise(_star(_star(links, large=True), large=False))
         links = _star(_star(links, large=True), large=False).groupBy("a").agg(F.min("b").alias("b"))
-        return materialise(links.unionAll(links.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("b")))
+        return materialise(_each(links, ("a", "b"), ("b", "b")).groupBy("a").agg(F.min("b").alias("b")))
     before = _digest(links)
     for _ in range(max_rounds if before[0] else 0):
         links = materialise(_star(_star(links, large=True), large=False))

@@ -12,7 +12,7 @@ from compare import differences
 from pyspark.sql import functions as F
 
 from loomgraph.llm import chat, decontaminate, jaccard, licenses, line_dedup, mixing, quality, queries, sharding, token_counts, urls
-from loomgraph.llm.components import components
+from loomgraph.llm.components import _star, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -496,6 +496,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_broadcast_nothing_and_hold_no_plan_many_times(spark):
+    links = [(i, i // 2) for i in range(1, 200)] + [(1000 + i, 1000) for i in range(1, 50)]
+    twice = _star(_star(spark.createDataFrame(links, "a long, b long"), large=True), large=False)
+    assert twice.collect()
+    plan = twice._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
+    assert len(plan) == 2 and "Broadcast" not in plan[0]
+    assert plan[1].count("SortMergeJoin") <= 3 and plan[1].count("Scan") <= 4
+
+
+def test_unsettled_components_stay_inside_the_settled_ones(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(30)] + [(7, 600 + i) for i in range(60)]
+    df = spark.createDataFrame(links, "a long, b long")
+    whole = {r.a: r.b for r in components(df).collect()}
+    near = {r.a: r.b for r in components(df, settled=False).collect()}
+    assert whole.keys() == near.keys() == {v for a, b in links if a != b for v in (a, b)}
+    assert all(whole[b] == whole[a] for a, b in near.items()) and all(whole[a] == whole[b] for a, b in links if a != b)
+    assert all(b <= a and whole[b] == b for a, b in whole.items())
+
+
 # 7. Mixing
 
 
