@@ -159,7 +159,7 @@ def _fit(state: State, nodes: DataFrame) -> None:
 
 def _weights(state: State, nodes: DataFrame) -> DataFrame:
     idf, n = state.spark.read.parquet(f"{state.folder}/idf"), state.spark.read.parquet(f"{state.folder}/corpus").head().n_docs
-    return linking.with_kind(similarity.late_documents(linking.node_text(nodes), idf, n), nodes).select("id", "term", "idf", "w", "norm2", "type", "origin")
+    return linking.with_kind(similarity.late_documents(linking.node_text(nodes), idf, n, CANDIDATE), nodes).select("id", "term", "idf", "w", "norm2", "rest", "type", "origin")
 
 
 def fit_again(spark: SparkSession, folder: str) -> None:

@@ -63,6 +63,26 @@ def test_cosine_identical_disjoint_and_subset(spark):
     assert score["a", "d"] == pytest.approx(score["d", "a"]) and not any("e" in k for k in score)
 
 
+def test_cosine_twins_equal_brute_force_and_vectors_travel_to_cells(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
+    near = [(f"n{i}", " ".join(words[:60] + words[100 + i : 104 + i])) for i in range(40)]
+    far = [(f"f{i}", " ".join(words[150 + 3 * i : 162 + 3 * i])) for i in range(40)]
+    w = _weights(spark, near + far + [(f"c{i}", near[0][1]) for i in range(20)] + [("e", "the and")]).cache()
+    docs = {}
+    for r in w.collect():
+        docs.setdefault(r.id, {})[r.term] = r.idf
+    norm = {k: sum(v * v for v in d.values()) for k, d in docs.items()}
+    dots = {(a, b): sorted((-x, t) for t, x in docs[a].items() if t in docs[b]) for a in docs for b in docs if a < b}
+    want = {k: (sum(x * x for x, _ in v) / math.sqrt(norm[k[0]] * norm[k[1]]), [t for _, t in v[:5]]) for k, v in dots.items()}
+    for floor in (0.35, 0.74):
+        got = {(r.source_id, r.target_id): (r.score, r.tokens) for r in similarity.cosine_twins(w, floor).collect()}
+        right = {k: v for k, v in want.items() if v[0] >= floor}
+        assert set(got) == set(right) and len(got) > 1000 and all(got[k] == (pytest.approx(v[0]), v[1]) for k, v in right.items())
+    pairs = spark.createDataFrame([(a, b) for a, _ in near for b, _ in near if a < b], "source_id string, target_id string")
+    cells = similarity._in_cells(pairs, lambda ids: ids, None).select(F.sum(F.size("pairs")).alias("pairs"), F.sum(F.size("xs")).alias("moved")).head()
+    assert cells.pairs == 780 and cells.moved < 200
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([("a", "x y"), ("b", "x z z"), ("c", "w")], "id string, text string")
     got = {r.id: r.score for r in search.bm25(docs, ["z"]).collect()}
