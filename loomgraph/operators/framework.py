@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.shared import materialise
 from loomgraph.operators.similarity import overlapping
 from loomgraph.sources.files import extension
 
@@ -23,6 +24,8 @@ from loomgraph.sources.files import extension
 PLAIN_PAGES = ("page", "basepage", "webdriverbasetestpage")
 FRAMEWORKS = {"qaf_selenium": "java", "selenium": "java", "playwright": "typescript"}
 # End of the fixed values.
+#: Words whose names are broadcast.
+COMMON = 20_000
 TYPESCRIPT = ("ts", "js", "tsx", "jsx")
 #: What a word stands in: (kind, pattern, group).
 SIGNS = (
@@ -96,8 +99,15 @@ def mention_edges(steps: DataFrame, pages: DataFrame, words: DataFrame) -> DataF
     named = pages.where((name != "") & ~F.lower(name).isin(*PLAIN_PAGES)).select(F.col("id").alias("target_id"), F.coalesce(_language("file"), F.element_at(frameworks, F.col("framework"))).alias("theirs"), F.explode(F.array_distinct(F.array(name, camel))).alias("name"))
     # Names of another language go before words and files meet: of a file's languages they are most.
     said = words.where("kind = 'word'")
-    told = words_with(said, named).join(named.select("name", "theirs").distinct(), "name")
-    hits = said.join(told, "word").where(~_apart(F.col("language"), F.col("theirs"))).select("file", "name", F.col("theirs").alias("of")).distinct()
+    told = materialise(words_with(said, named).join(named.select("name", "theirs").distinct(), "name").groupBy("word").agg(F.collect_list(F.struct("name", F.col("theirs").alias("of"))).alias("names")))
+    # What the commonest words tell is broadcast, so that a file's words stay together and its names, which many of them
+    # tell, become distinct before they are shuffled.
+    common = said.groupBy("word").agg(F.count("*").alias("held")).orderBy(F.desc("held"), "word").limit(COMMON).select("word")
+    common = common.join(told, "word", "left")
+    names = said.join(F.broadcast(materialise(common).withColumn("common", F.lit(True))), "word", "left")
+    rare = names.where("common is null").select("file", "language", "word").join(told, "word").select("file", "language", "names")
+    hits = names.where("names is not null").select("file", "language", "names").unionByName(rare).select("file", "language", F.explode("names").alias("n")).select("file", "language", "n.*")
+    hits = hits.where(~_apart(F.col("language"), F.col("of"))).select("file", "name", "of").distinct()
     found = steps.select(F.col("id").alias("source_id"), "file").join(hits, "file").join(named.withColumnRenamed("name", "n"), (F.col("name") == F.col("n")) & F.col("of").eqNullSafe(F.col("theirs")))
     return found.select("source_id", "target_id", F.lit("REFERENCES").alias("relationship")).distinct()
 

@@ -222,3 +222,14 @@ def test_equal_lists_of_words_meet_once(spark):
     right = spark.createDataFrame([("r1", "big car"), ("r2", "car, big"), ("r3", "red old")], "id string, text string")
     got = {(r.source_id, r.target_id): r.shared for r in similarity.overlapping(left, right).collect()}
     assert got == {(s, t): 2 for s in ("l1", "l2", "l4") for t in ("r1", "r2")}
+
+
+@pytest.mark.parametrize("common", [1, 3, 100])
+def test_mentions_are_the_same_whichever_words_are_broadcast(spark, monkeypatch, common):
+    monkeypatch.setattr(framework, "COMMON", common)
+    texts = {"a.java": "LoginPage x x loginPageOne", "b.ts": "x CartPage cartPages LoginPage", "c.py": "CartPage theLoginPage x", "d.py": "x"}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    steps = files.select(F.concat(F.lit("s_"), "path").alias("id"), F.col("path").alias("file"))
+    pages = spark.createDataFrame([("p1", "LoginPage", "p.java", None), ("p2", "CartPage", "q.ts", None), ("p3", "NowherePage", "r", None)], "id string, class_name string, file string, framework string")
+    got = {(r.source_id, r.target_id) for r in framework.mention_edges(steps, pages, framework.words_of(files)).collect()}
+    assert got == {("s_a.java", "p1"), ("s_b.ts", "p2"), ("s_c.py", "p1"), ("s_c.py", "p2")}
