@@ -37,9 +37,13 @@ def scored(left: DataFrame, right: DataFrame, pairs: Callable[[DataFrame, DataFr
 
     Nodes stand once for each relationship that their type may have, ids and terms
     marked with its number, so that one search finds the pairs of all of them.
+    Relationships that no node of left may begin are left out.
     """
+    begins = {t for _, s, _ in SCORED for t in s}
+    there = {r.type for r in left.where(F.col("type").isin(*begins)).select("type").distinct().collect()}
+
     def marked(weights: DataFrame, kinds: list[tuple[str, ...]]) -> DataFrame:
-        marks = F.filter(F.array(*(F.when(F.col("type").isin(*k), F.lit(str(i))) for i, k in enumerate(kinds))), lambda m: m.isNotNull())
+        marks = F.filter(F.array(*(F.when(F.col("type").isin(*k), F.lit(str(i)) if there & set(SCORED[i][1]) else F.lit(None).cast("string")) for i, k in enumerate(kinds))), lambda m: m.isNotNull())
         return weights.withColumn("m", F.explode(marks)).withColumn("id", F.concat("m", "id")).withColumn("term", F.concat("m", "term")).drop("m")
 
     found = pairs(marked(left, [s for _, s, _ in SCORED]), marked(right.where("origin != 'nfr'"), [t for _, _, t in SCORED]))

@@ -218,8 +218,19 @@ def new_pairs(pairs: DataFrame, edges: DataFrame, relationship: str) -> DataFram
 
 
 def incremental_pairs(left: DataFrame, right: DataFrame, dirty: DataFrame, floor: float = CANDIDATE) -> DataFrame:
-    """The cosine pairs of which at least one end is dirty: dirty x all and clean x dirty."""
+    """The cosine pairs of which at least one end is dirty: dirty x all and clean x dirty.
+
+    If the prefixes of left are few, they are broadcast and meet all of right where it
+    lies, and the pairs are sifted; else the documents are, before they meet.
+    """
     d = dirty.select("id").distinct()
+    own = materialise(_prefixes(left, floor, "source_id"))
+    if own.count() <= SMALL:
+        met = _meeting(F.broadcast(own), _prefixes(right, floor, "target_id"), floor)
+        known = _counted(materialise(d), FEW)
+        marked = lambda end: known.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_dirty"))
+        sifted = met.join(marked("source_id"), "source_id", "left").join(marked("target_id"), "target_id", "left").where("source_id_dirty OR target_id_dirty")
+        return _scores(sifted.select("source_id", "target_id"), left, right, floor)
     first = cosine_pairs(left.join(d, "id", "left_semi"), right, floor)
     rest = cosine_pairs(left.join(d, "id", "left_anti"), right.join(d, "id", "left_semi"), floor)
     return first.unionByName(rest)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hooks import Hooks
-from loomgraph.functions.shared import exists
+from loomgraph.functions.shared import exists, scope
 from loomgraph.operators import graph, linking, similarity
 from loomgraph.plans import ingest
 from loomgraph.plans.schema import CANDIDATE
@@ -74,9 +74,11 @@ class State:
     def _changed_in(self, name: str) -> DataFrame:
         return self.table("dirty").groupBy("id").agg(F.max("batch").alias("changed")).select(F.col("id").alias(f"{name}_node"), F.col("changed").alias(f"{name}_changed"))
 
-    def of_nodes(self, name: str) -> DataFrame:
-        """The rows of nodes as they are now."""
+    def of_nodes(self, name: str, but: DataFrame | None = None) -> DataFrame:
+        """The rows of nodes as they are now, without those of some nodes (id)."""
         last = self._changed_in("own")
+        if but is not None:
+            last = last.join(but.select(F.col("id").alias("own_node")), "own_node", "left_anti")
         return self.table(name).join(last, (F.col("id") == F.col("own_node")) & (F.col("batch") == F.col("own_changed")), "left_semi").drop("batch")
 
     def scored(self) -> DataFrame:
@@ -140,8 +142,9 @@ def take_in(state: State, said: dict[str, DataFrame], moved: DataFrame, hooks: H
     if state.batch < 0:
         _fit(state, nodes)
     weights = state.write("weights", _weights(state, nodes))
-    present = _but(state.of_nodes("weights") if state.batch >= 0 else None, dirty, weights)
-    state.write("scored", linking.scored(present, present, lambda a, b: similarity.incremental_pairs(a, b, linking.marked_ids(dirty), CANDIDATE)))
+    with scope(spark):
+        present = weights if state.batch < 0 else graph.written(weights.unionByName(state.of_nodes("weights", dirty), allowMissingColumns=True))
+        state.write("scored", linking.scored(present, present, lambda a, b: similarity.incremental_pairs(a, b, linking.marked_ids(dirty), CANDIDATE)))
     state.write("files", moved)
     had = before.join(dirty, "id", "left_semi").count()
     counts = {"error_files": new["errors"].select("file").distinct().count(), "dirty_nodes": dirty.count(), "nodes_removed": had - seen.get["stay"], "nodes_added": seen.get["all"] - seen.get["stay"], "batch": state.batch + 1}
