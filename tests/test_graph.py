@@ -233,3 +233,14 @@ def test_mentions_are_the_same_whichever_words_are_broadcast(spark, monkeypatch,
     pages = spark.createDataFrame([("p1", "LoginPage", "p.java", None), ("p2", "CartPage", "q.ts", None), ("p3", "NowherePage", "r", None)], "id string, class_name string, file string, framework string")
     got = {(r.source_id, r.target_id) for r in framework.mention_edges(steps, pages, framework.words_of(files)).collect()}
     assert got == {("s_a.java", "p1"), ("s_b.ts", "p2"), ("s_c.py", "p1"), ("s_c.py", "p2")}
+
+
+@pytest.mark.parametrize("small", [-1, 100_000])
+def test_incremental_pairs_are_those_with_a_dirty_end(spark, monkeypatch, small):
+    w = _weights(spark, [("b1", "flood deductible waiver"), ("b2", "renewal notice letter"), ("d1", "flood deductible waiver"), ("d2", "flood waiver renewal"), ("d3", "notice letter renewal")]).cache()
+    a, b = w.where("id LIKE 'b%'"), w.where("id LIKE 'd%'")
+    monkeypatch.setattr(similarity, "SMALL", small)
+    every = {(r.source_id, r.target_id): r.score for r in similarity.cosine_pairs(a, b, 0.01).collect()}
+    got = similarity.incremental_pairs(a, b, spark.createDataFrame([("b1",), ("d3",)], "id string"), 0.01).collect()
+    want = {k: v for k, v in every.items() if k[0] == "b1" or k[1] == "d3"}
+    assert len(got) == len(want) < len(every) and {(r.source_id, r.target_id): r.score for r in got} == pytest.approx(want)
